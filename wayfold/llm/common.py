@@ -122,3 +122,25 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np
     for k in range(width):
         out = mix(out ^ words[at + k]) if k else words[at]
     return out, runs
+
+
+def slices(batch, column: str, most: int = 1 << 20):
+    """Parts of an Arrow batch whose texts have about ``most`` bytes together; a longer text is a part by itself."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def list_array(values: np.ndarray, first: np.ndarray):
+    """An Arrow list of 64-bit integers a row; row k has values[first[k]:first[k + 1]]."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int64)))

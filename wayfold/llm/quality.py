@@ -72,7 +72,9 @@ def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-BASE_FAILED = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed() -> Column:
+    """Of rows of features(): too few words, or more than a fifth of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def rates() -> dict[str, Column]:
@@ -110,7 +112,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta
     Rules or strata without a certified cutoff have no row. Bad labels and null ids don't count.
     """
     good = labels.select(F.col("doc_id").alias("_id"), "quality").groupBy("_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("_id")
-    held = rows.filter(~BASE_FAILED).join(good, F.col("doc_id") == F.col("_id"))
+    held = rows.filter(~base_failed()).join(good, F.col("doc_id") == F.col("_id"))
     risk = alpha / len(GRIDS)
     levels = [
         F.struct(F.lit(name).alias("rule"), sum((value > c * per).cast("int") for c in GRIDS[name]).alias("level")) for name, (value, per) in rates().items()
@@ -144,7 +146,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta: flo
     for name, (value, per) in rates().items():
         failed = failed | F.coalesce(value > F.col(f"_{name}") * per, F.lit(False))
     d = rows.join(wide, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    d = d.withColumn("base_failed", BASE_FAILED).withColumn("kept", ~F.col("base_failed") & ~failed)
+    d = d.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~failed)
     return d.drop("_stratum", *[f"_{r}" for r in GRIDS])
 
 
