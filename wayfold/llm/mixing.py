@@ -55,7 +55,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs: in
     return s.withColumn("target", target).drop("_n", "_w", "_cap", "_before", "_left", "_all", "_level", "_stops")
 
 
-def mix(
+def _taken(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -64,17 +64,8 @@ def mix(
     weights: Sequence[int] = (1, 2, 3),
     max_epochs: int = 3,
     rows_per_bucket: int = 1024,
-    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """How much of each document the mix takes: (doc_id, source, size, source_size, target, taken) and ``keep`` columns.
-
-    size: words of the text (null and empty: 0). taken: words taken, repeats counted; the document at the edge of a
-    source's budget gives just the words that fill it, so a source's taken words are its target rounded down.
-    A null id, source or text is a value like others. Rows with the same id share a key and are taken in the order of
-    their text's hash; rows alike in both are alike in the result but for which of them fills the edge. An empty table
-    gives an empty result. Other columns, whatever their names, don't matter; ``keep`` returns those asked for as
-    ``kept_<name>``.
-    """
+    """mix() with the hash of each text, _tie."""
     text, size = F.col(text_col), common.word_count(F.col(text_col))
     u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1) / _TOP
     base = common.staged(
@@ -84,7 +75,6 @@ def mix(
             size.alias("size"),
             (-F.log(u) / quality_weight(text)).alias("_key"),
             F.xxhash64(text).alias("_tie"),
-            *[F.col(c).alias(f"kept_{c}") for c in keep],
         ),
         "mix",
     )
@@ -104,7 +94,34 @@ def mix(
     epochs = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal_words - epochs * F.col("source_size") - F.col("_offset") - F.col("_run")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return b.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *[f"kept_{c}" for c in keep])
+    return b.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "_tie")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """How much of each document the mix takes: (doc_id, source, size, source_size, target, taken).
+
+    size: words of the text (null and empty: 0). taken: words taken, repeats counted; the document at the edge of a
+    source's budget gives just the words that fill it, so a source's taken words are its target rounded down.
+    A null id, source or text is a value like others. Rows with the same id share a key and are taken in the order of
+    their text's hash; rows alike in both are alike in the result but for which of them fills the edge. An empty table
+    gives an empty result. Other columns, whatever their names, don't matter.
+    """
+    return _taken(docs, **options).drop("_tie")
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    The document at the edge of a budget comes once more if at least half of it is taken; documents without words are
+    never taken. Rows alike in id, text and source come alike, by the mean of what they take.
+    """
+    plan = _taken(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
+    times = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_tie").alias("_t")).agg(F.round(F.avg(share)).cast("int").alias("_times"))
+    times = times.filter("_times > 0")
+    on = docs[id_col].eqNullSafe(times["_i"]) & docs[source_col].eqNullSafe(times["_s"]) & (F.xxhash64(docs[text_col]) == times["_t"])
+    out = docs.join(times, on).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
+    return out.select([docs[c] for c in docs.columns])
 
 
 ORACLE = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, neardup, quality
+from . import decontaminate, linededup, mixing, neardup, quality, sstable, toxicity
 from .common import read
 
 
@@ -26,5 +26,31 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op5_line_dedup, op8_mixing)}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.3).cast("int").alias("predicted"),
+        F.col("_flagged").alias("flagged"),
+    )
+
+
+def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(sstable.write(read(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op5_line_dedup, op7_sstable, op8_mixing, op10_decontamination)}
 ORACLES = {"op2_quality_rules": quality.ORACLE, "op5_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
