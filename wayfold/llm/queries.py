@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, neardup, quality, sstable, toxicity
-from .common import read
+from . import chat, decontaminate, editcount, linededup, mixing, neardup, pages, quality, sstable, toxicity
+from .common import read, staged
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,10 +37,40 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of all conversations parsed again; the model learns from three quarters of them, by crc32 of the id."""
+    made = chat.transcribe(read(spark, sf_dir, "conversations"))
+    made = staged(made.withColumn("id", F.struct("conv_id", "part", "n_turns", "roles", F.col("states").alias("truth"))), "transcripts")
+    held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
+    model = chat.fit(made.filter(~F.coalesce(held, F.lit(False))))
+    found = chat.parse(made, model)
+    right = F.aggregate(F.zip_with("states", "id.truth", lambda a, b: (F.floor(a / 2) == F.floor(b / 2)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "id.conv_id",
+        "id.part",
+        F.coalesce(F.crc32(F.col("id.conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out"),
+        "id.n_turns",
+        F.size("turns").cast("long").alias("n_found"),
+        F.size("states").cast("long").alias("n_lines"),
+        right.alias("n_right"),
+        F.array_join("turns.role", " ").alias("roles"),
+        "rendered",
+    )
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(sstable.write(read(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json")))
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return editcount.counted(docs, editcount.sample_edits(F.col("text")), tokenizer_path=tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), "item_id", "covered", "item_words", (F.col("covered") / F.col("item_words")).alias("coverage"))
@@ -52,5 +82,5 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op5_line_dedup, op7_sstable, op8_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_line_dedup, op6_html_extraction, op7_sstable, op8_mixing, op9_edit_counts, op10_decontamination)}
 ORACLES = {"op2_quality_rules": quality.ORACLE, "op5_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
