@@ -69,12 +69,12 @@ def test_mixing_odd_rows(odd):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     got = [r for r in QUERIES["op3_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
     y, s = np.array([labels[r.doc_id] for r in got]), np.array([r.score for r in got])
     auc = (s[y == 1][:, None] > s[y == 0]).mean()
-    assert auc > 0.8 and all(0 <= x <= 1 for x in s)
+    assert auc > 0.95 and all(0 <= x <= 1 for x in s)
     assert all((zlib.crc32(str(r.doc_id).encode()) % 4 == 2) == r.held_out for r in got)
 
 
@@ -90,7 +90,7 @@ def test_chat_recovers_roles(spark):
 
 
 def test_chat_odd_rows(spark):
-    model = chat.fit(spark.createDataFrame([("User: a\n\nAI: b", [2, 3, 4])], "text string, states array<bigint>"))
+    model = chat.fit(chat.transcribe(spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")))
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "Human: hi?\nmore\n\n[ASSISTANT] yes."), (3, "no marker at all")], "id int, text string")
     got = {(r.id, r.rendered) for r in chat.parse(rows, model).collect()}
     assert (1, "") in got and (2, "") in got and (3, "<|user|>\nhi?\nmore\n<|assistant|>\nyes.\n") in got

@@ -33,7 +33,7 @@ class Counter:
         known, out = self.spaced, []
         split = [None if self.uneven(x) else x.split(" ") for x in texts]
         new = list({w for ws in split if ws for w in ws[1:]}.difference(known))
-        fresh = dict(zip(new, map(len, self.code.encode_ordinary_batch([" " + w for w in new], num_threads=1))))
+        fresh = {w: len(self.code.encode_ordinary(" " + w)) for w in new}
         if len(known) < self.most:
             known.update(fresh)
             fresh = known

@@ -120,8 +120,9 @@ def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta
     counts = held.select("stratum", F.explode(F.array(*levels)).alias("r")).groupBy("stratum", "r.rule", "r.level").count()
     grid = F.create_map(*[x for name, g in GRIDS.items() for x in (F.lit(name), F.array(*[F.lit(c) for c in g]))])
     steps = counts.select("stratum", "rule", "level", "count", F.posexplode(F.element_at(grid, F.col("rule"))).alias("step", "cutoff"))
-    # cutoff number k (from 0) rejects texts of a level above k
-    tests = steps.groupBy("stratum", "rule", "step", "cutoff").agg(F.sum("count").alias("n_good"), F.sum(F.when(F.col("level") > F.col("step"), F.col("count")).otherwise(0)).alias("n_errors"))
+    # a text fails the last ``level`` cutoffs of the grid, the strictest
+    fails = F.col("level") >= F.size(F.element_at(grid, F.col("rule"))) - F.col("step")
+    tests = steps.groupBy("stratum", "rule", "step", "cutoff").agg(F.sum("count").alias("n_good"), F.sum(F.when(fails, F.col("count")).otherwise(0)).alias("n_errors"))
     strata = tests.agg(F.count_distinct(F.coalesce("stratum", F.lit("\0"))).alias("_strata"))
     p = F.when(F.col("n_errors") <= F.col("n_good") * risk, binomial_tail(F.col("n_good"), F.col("n_errors"), risk)).otherwise(1.0)
     tests = tests.crossJoin(strata).withColumn("p_value", p)  # strata is one row
