@@ -123,9 +123,9 @@ def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta
     # a text fails the last ``level`` cutoffs of the grid, the strictest
     fails = F.col("level") >= F.size(F.element_at(grid, F.col("rule"))) - F.col("step")
     tests = steps.groupBy("stratum", "rule", "step", "cutoff").agg(F.sum("count").alias("n_good"), F.sum(F.when(fails, F.col("count")).otherwise(0)).alias("n_errors"))
-    strata = tests.agg(F.count_distinct(F.coalesce("stratum", F.lit("\0"))).alias("_strata"))
+    strata = F.size(F.collect_set(F.coalesce("stratum", F.lit("\0"))).over(W.partitionBy()))  # over a few rows a stratum
     p = F.when(F.col("n_errors") <= F.col("n_good") * risk, binomial_tail(F.col("n_good"), F.col("n_errors"), risk)).otherwise(1.0)
-    tests = tests.crossJoin(strata).withColumn("p_value", p)  # strata is one row
+    tests = tests.withColumns({"_strata": strata, "p_value": p})
     passed = F.col("p_value") <= delta / len(GRIDS) / F.col("_strata")
     on = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
     sound = tests.withColumn("_sound", F.min(passed).over(on)).filter("_sound")
