@@ -19,7 +19,8 @@ def distance(lat1: Num, lng1: Num, lat2: Num, lng2: Num) -> Column:
     a1, a2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     s = F.sin((a2 - a1) / 2) * F.sin((a2 - a1) / 2)
     d = F.sin((F.radians(_c(lng2)) - F.radians(_c(lng1))) / 2)
-    return 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(s + F.cos(a1) * F.cos(a2) * d * d)))
+    h = F.sqrt(s + F.cos(a1) * F.cos(a2) * d * d)
+    return 2 * EARTH_M * F.asin(F.when(h > 1, 1.0).otherwise(h))  # not least(), which skips nulls
 
 
 def positive_degrees(x: Column) -> Column:
@@ -47,7 +48,7 @@ def lng_of(x: Column, y: Column) -> Column:
 
 
 def clamp(x: Num, low: Num, high: Num) -> Column:
-    return F.greatest(_c(low), F.least(_c(high), _c(x)))
+    return F.when(_c(x).isNotNull(), F.greatest(_c(low), F.least(_c(high), _c(x))))
 
 
 def usable(lat: Column, lng: Column, h_acc: Column) -> Column:

@@ -8,7 +8,7 @@ R = "6371008.8"
 
 def hav(a: str, b: str, c: str, d: str) -> str:
     h = f"(sin((radians({c}) - radians({a})) / 2) ^ 2 + cos(radians({a})) * cos(radians({c})) * sin((radians({d}) - radians({b})) / 2) ^ 2)"
-    return f"(2 * {R} * asin(least(1.0, sqrt({h}))))"
+    return f"(2 * {R} * asin(CASE WHEN sqrt({h}) > 1 THEN 1.0 ELSE sqrt({h}) END))"
 
 
 USABLE = "coalesce(h_acc >= 0 AND latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0), false)"
