@@ -67,6 +67,20 @@ def test_large_group_of_near_copies(spark):
     assert partition([r.id for r in got], [r.class_id for r in got]) == partition([r[0] for r in rows], brute(rows))
 
 
+def test_large_group_of_texts_somewhat_alike(spark):
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            w[int(rng.integers(0, 150))] = f"x{rng.integers(0, 3000)}"
+        rows.append((i, " ".join(w)))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = partition([r[0] for r in rows], brute(rows))
+    assert len(want) > 20 and partition([r.id for r in got], [r.class_id for r in got]) == want
+
+
 def test_edges(spark):
     rows = [Row(doc_id=1, text=None, v=1, root="a"), Row(doc_id=2, text="", v=1, root="a"), Row(doc_id=3, text="a b", v=2, root="b"), Row(doc_id=4, text="a  b", v=3, root="c"), Row(doc_id=4, text="a  b", v=3, root="c"), Row(doc_id=None, text="q r s t u v", v=None, root=None), Row(doc_id=9, text="x " * 30000, v=4, root="d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, v long, root string")

@@ -20,7 +20,7 @@ PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 class Encoder:
     """encode(text) -> ids as bytes, little-endian 16 bits each, the same as the tokenizer's for the whole text."""
 
-    def __init__(self, path: str, pieces: int = 400_000, parts: int = 800_000):
+    def __init__(self, path: str, pieces: int = 300_000, parts: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
