@@ -63,8 +63,8 @@ def round_half_away(x: Column, digits: int) -> Column:
 
 
 def truncated(x: Column) -> Column:
-    """Towards zero, as a whole number."""
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long")
+    """Towards zero, as a whole number: what a cast does."""
+    return x.cast("long")
 
 
 CELL_DEGREES = {1: 10.0, 2: 0.1}

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from wayfold.schemas import LIMITS, SLEEP_STATES, Thresholds
+
 
 def fold(df: DataFrame, start: Callable[[], object], step: Callable[[object, tuple], tuple | None], schema: str, order: tuple[str, ...] = ("t", "sample_id"), key: str = "device_id") -> DataFrame:
     """Runs ``step(state, row)`` over each device's rows in order and keeps what isn't None; ``start()`` makes a state."""
@@ -100,3 +102,59 @@ def kalman(fixes: DataFrame, q_place: float = 4.0, q_height: float = 3.0) -> Dat
         return sample, device, t, lat, lng, s["place"].variance, height[0] if height else 0.0, s["height"].variance**0.5 if height else -1.0
 
     return fold(d, start, step, "sample_id bigint, device_id bigint, t bigint, latitude double, longitude double, variance double, altitude double, v_acc double")
+
+
+def recorded_items(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """Items as a recorder makes them: (sample_id, device_id, item_no, is_visit), with types and speeds deciding between paths.
+
+    A new item after a gap and when moving flips; two moving samples share one if the type is the path's commonest
+    moving type so far, or if both are faster than the mode-shift speed. Counts by type are the only state that grows.
+    """
+    d = samples.select("device_id", "t", "sample_id", "moving_state", "recording_state", "confirmed_type", "classified_type", "speed")
+
+    def step(s: dict, r: tuple):
+        device, t, sample, state, recording, confirmed, classified, speed = r
+        kind, moves = confirmed or classified, state != "stationary"
+        gap = moves and recording == "off"
+        same = bool(s) and s["moves"] == moves and s["gap"] == gap
+        if same and moves and not gap and kind != s["kind"]:
+            fast = limits.mode_shift_kmh / 3.6
+            same = s["speed"] is not None and speed is not None and s["speed"] > fast and speed > fast
+        if not same:
+            s.update(no=s.get("no", 0) + 1, moves=moves, gap=gap, counts={}, kind=None)
+        if kind != "stationary":
+            s["counts"][kind] = s["counts"].get(kind, 0) + 1
+            s["kind"] = max(s["counts"], key=lambda k: (s["counts"][k], k or ""))
+        s["speed"] = speed
+        return sample, device, s["no"], not moves
+
+    return fold(d, dict, step, "sample_id bigint, device_id bigint, item_no bigint, is_visit boolean")
+
+
+def pruned_sleep(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """Leaves out samples of an item's trailing sleep: older than the time kept, and too soon after the last kept one.
+
+    ``samples`` carry item_no and the item's end_t. The oldest and newest of the run stay. The run is found from the
+    end by a window; the spacing is a fold.
+    """
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    back = W.partitionBy("device_id", "item_no").orderBy(F.desc("t"), F.desc("sample_id")).rowsBetween(W.unboundedPreceding, 0)
+    asleep = F.col("recording_state").isin(*SLEEP_STATES)
+    d = samples.withColumn("_run", F.min(asleep.cast("int")).over(back)).withColumn("_newest", F.row_number().over(W.partitionBy("device_id", "item_no").orderBy(F.desc("t"), F.desc("sample_id"))) == 1)
+    d = d.select("device_id", "t", "sample_id", "item_no", "end_t", "_run", "_newest")
+
+    def step(s: dict, r: tuple):
+        device, t, sample, item, end, run, newest = r
+        if not run:
+            return sample, device, item
+        if s.get("item") != item:
+            s.update(item=item, kept=t)
+        elif not newest and end - t >= limits.sleep_keep_s and t - s["kept"] < limits.sleep_apart_s:
+            return None
+        else:
+            s["kept"] = t
+        return sample, device, item
+
+    return fold(d, dict, step, "sample_id bigint, device_id bigint, item_no bigint")

@@ -176,3 +176,33 @@ def best(scores: DataFrame) -> DataFrame:
     """The name of the highest score above 0 of each sample, unknown if there is none; ties by name."""
     top = scores.groupBy("sample_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
     return top.select("sample_id", F.when(F.col("b.s") < 0, F.col("b.name")).otherwise("unknown").alias("name"), (-F.col("b.s")).alias("score"))
+
+
+def stale(have: Column, wanted: tuple[str, ...], complete: Column, updated_age: Column, fetched_age: Column) -> Column:
+    """Whether a set of models is due: a type is missing, or it was neither fetched nor updated lately for how complete it is."""
+    missing = F.size(F.array_except(F.array(*map(F.lit, wanted)), have)) > 0
+    return F.when(missing, True).when(fetched_age < 3600, False).when(updated_age < 60 * 86400 * complete, False).when(fetched_age < 7 * 86400 * complete, False).otherwise(True)
+
+
+def serialise_matrix(cells: DataFrame, depth: int, *keys: str) -> DataFrame:
+    """A text for each matrix: rows,columns,pseudo;x,y,n;... with filled bins alone."""
+    rows, cols = MATRIX[depth]
+    bins = F.array_sort(F.collect_list(F.struct("lat_bin", "lng_bin", "n")))
+    text = F.transform(bins, lambda b: F.concat_ws(",", b["lat_bin"].cast("string"), b["lng_bin"].cast("string"), b["n"].cast("string")))
+    return cells.groupBy(*keys, "cell_lat", "cell_lng").agg(F.concat(F.lit(f"{rows},{cols},0;"), F.array_join(text, ";")).alias("bins"))
+
+
+def blended(samples: DataFrame) -> DataFrame:
+    """Scores at depth 2 (cells of a tenth of a degree) blended with depth 0 by the cell's completeness; a side that is missing adds nothing."""
+    cell = {"la": geo.cell_min(F.col("latitude"), 2, -90.0), "lo": geo.cell_min(F.col("longitude"), 2, -180.0)}
+    s = samples.withColumns(cell)
+    local = train(s, "la", "lo")
+    whole = local.groupBy("la", "lo").agg(F.sum("total_samples").alias("_all"), F.avg(completeness(F.col("total_samples"), 2)).alias("_complete"))
+    timed = s.withColumn("time_of_day", (F.col("t") % 86400).cast("double"))
+    values = timed.select("sample_id", "la", "lo", "moving_state", *[F.col(column).cast("double").alias(f"{name}_value") for name, (column, *_) in FEATURES.items()])
+    near = values.join(local.join(whole, ["la", "lo"]), ["la", "lo"])
+    near = near.select("sample_id", F.col("confirmed_type").alias("name"), (score(2) * F.col("total_samples") / (1 + F.col("_all"))).alias("near"))
+    far = classify(samples, train(samples)).withColumnRenamed("score", "far")
+    weight = values.select("sample_id", "la", "lo").join(whole.select("la", "lo", "_complete"), ["la", "lo"], "left").select("sample_id", F.coalesce("_complete", F.lit(0.0)).alias("w"))
+    both = near.join(far, ["sample_id", "name"], "full").join(weight, "sample_id")
+    return both.select("sample_id", "name", (F.coalesce("near", F.lit(0.0)) * F.col("w") + F.coalesce("far", F.lit(0.0)) * (1 - F.col("w"))).alias("score"))
