@@ -24,21 +24,23 @@ def geo_key(name: Column, lat: Column, lng: Column, depth: int) -> Column:
     return F.format_string(f"GD{depth} %s %.2f,%.2f", name, geo.cell_min(lat, depth, -90.0) + half[0], geo.cell_min(lng, depth, -180.0) + half[1])
 
 
-def histograms(values: DataFrame, *keys: str, trim: bool = False, low: float | None = None, high: float | None = None, pseudo: int = 1, snap: bool = False) -> DataFrame:
+def histograms(values: DataFrame, *keys: str, trim: Column | bool = False, low: Column | float | None = None, high: Column | float | None = None, pseudo: Column | int = 1, snap: bool = False) -> DataFrame:
     """One histogram a key over column ``value``: (keys, bins, min, max, pseudo).
 
-    Values beyond four deviations are trimmed on request, then the bounds hold. Bins follow Freedman and Diaconis with
-    quartiles by index, ten bins where that width is no more than the spread over the count. Repeated values are counted first, so that
-    a hot key is met as many times as it has distinct values.
+    Values beyond four deviations are trimmed on request, then the bounds hold; both may depend on the keys. Bins follow
+    Freedman and Diaconis with quartiles by index, ten bins where that width is no more than the spread over the count.
+    Repeated values are counted first, so that a hot key is met as many times as it has distinct values.
     """
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
     v = values.filter(F.col("value").isNotNull())
-    if trim:
+    if trim is not False:
         limits = v.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-        v = v.join(limits, list(keys)).filter(F.col("value").between(F.col("_m") - 4 * F.col("_s"), F.col("_m") + 4 * F.col("_s")))
+        near = F.col("value").between(F.col("_m") - 4 * F.col("_s"), F.col("_m") + 4 * F.col("_s"))
+        v = v.join(limits, list(keys)).filter(~col(trim) | near)
     if low is not None:
-        v = v.filter(F.col("value") >= low)
+        v = v.filter(F.coalesce(F.col("value") >= col(low), F.lit(True)))
     if high is not None:
-        v = v.filter(F.col("value") <= high)
+        v = v.filter(F.coalesce(F.col("value") <= col(high), F.lit(True)))
     counts = v.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
     along = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     counts = counts.withColumn("_upto", F.sum("_n").over(along))
@@ -51,6 +53,7 @@ def histograms(values: DataFrame, *keys: str, trim: bool = False, low: float | N
     n_bins = F.when(spread <= 0, 1).when(width <= spread / F.col("_all"), 10).otherwise(F.ceil(F.try_divide(spread, width))).cast("int")
     lo, hi = F.col("_lo"), F.col("_hi")
     if snap and low is not None and high is not None:
+        low, high = col(low), col(high)
         lo = F.when(lo - low < (high - low) * 0.02, low).otherwise(lo)
         hi = F.when(high - hi < (high - low) * 0.02, high).otherwise(hi)
     stat = stat.join(quart, list(keys)).select(*keys, "_all", lo.alias("min"), hi.alias("max"), n_bins.alias("_bins"))
@@ -60,8 +63,8 @@ def histograms(values: DataFrame, *keys: str, trim: bool = False, low: float | N
     filled = b.groupBy(*keys, place.alias("_bin")).agg(F.sum("_n").alias("_c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_m"))
     out = stat.join(filled, list(keys))
     one = F.col("min") >= F.col("max")
-    many = F.transform(F.sequence(F.lit(0), F.col("_bins") - 1), lambda i: (F.coalesce(F.element_at("_m", i), F.lit(0)) + pseudo).cast("int"))
-    return out.select(*keys, F.when(one, F.array(F.lit(pseudo + 1))).otherwise(many).alias("bins"), "min", "max", F.lit(pseudo).alias("pseudo"))
+    many = F.transform(F.sequence(F.lit(0), F.col("_bins") - 1), lambda i: (F.coalesce(F.element_at("_m", i), F.lit(0)) + col(pseudo)).cast("int"))
+    return out.select(*keys, F.when(one, F.array((col(pseudo) + 1).cast("int"))).otherwise(many).alias("bins"), "min", "max", col(pseudo).cast("int").alias("pseudo"))
 
 
 def probability(h: Column, value: Column) -> Column:
@@ -129,10 +132,19 @@ def train(samples: DataFrame, *cell: str) -> DataFrame:
         F.coalesce(F.try_divide(F.count_if(F.col("moving_state") == "moving"), F.count_if(F.col("moving_state") != "uncertain")), F.lit(0.5)).alias("moving_pct"),
         F.try_divide(right, known).alias("accuracy"),
     )
-    for name, (column, trim, low, high, pseudo, where) in FEATURES.items():
-        h = histograms(s.filter(where).select(*keys, F.col(column).cast("double").alias("value")), *keys, trim=trim, low=low, high=high, pseudo=pseudo)
-        base = base.join(h.select(*keys, F.struct("bins", "min", "max", "pseudo").alias(name)), keys, "left")
-    return base
+    # all features in one pass: a row for each that a sample has
+    given = [F.when(F.expr(where), F.struct(F.lit(name).alias("feature"), F.col(column).cast("double").alias("value"))) for name, (column, *_, where) in FEATURES.items()]
+    rows = s.select(*keys, F.explode(F.array_compact(F.array(*given))).alias("x")).select(*keys, "x.*")
+
+    def of(k: int) -> Column:
+        out = F.lit(None)
+        for name, f in FEATURES.items():
+            out = F.when(F.col("feature") == name, F.lit(f[k])).otherwise(out)
+        return out
+
+    h = histograms(rows, *keys, "feature", trim=of(1), low=of(2).cast("double"), high=of(3).cast("double"), pseudo=of(4).cast("int"))
+    wide = h.groupBy(*keys).agg(*[F.first(F.when(F.col("feature") == name, F.struct("bins", "min", "max", "pseudo")), ignorenulls=True).alias(name) for name in FEATURES])
+    return base.join(wide, keys, "left")
 
 
 def score(depth: int = 0) -> Column:
