@@ -118,9 +118,9 @@ PAGE = """<html><head><title>x</title></head><body><header><a>Home</a></header><
 def test_pages(spark):
     assert [t for t, _ in pages.blocks_of(PAGE)] == ["Title & co", "One two three", "Four <b>", "a", "b", "tail"]
     same = "<div><p>Sign up today</p></div>"
-    rows = [(i, "http://h.example/%d" % i, f"<body>{same}<div><p>Text {i}</p></div></body>") for i in range(6)] + [(9, None, None), (9, "", ""), (10, "http://o.example/", f"<body>{same}</body>")]
+    rows = [(i, "http://h.example/%d" % i, f"<body>{same}<div><p>Text {i}</p></div></body>") for i in range(12)] + [(90, None, None), (90, "", ""), (91, "http://o.example/", f"<body>{same}</body>")]
     got = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
-    assert got[0].text == "Text 0" and got[0].n_removed == 1 and got[9].text == "" and got[10].text == "Sign up today" and got[0].n_chars == 6
+    assert got[0].text == "Text 0" and got[0].n_removed == 1 and got[90].text == "" and got[91].text == "Sign up today" and got[0].n_chars == 6
 
 
 def test_encoder_equals_tokenizer():

@@ -186,7 +186,7 @@ def _parsed(batches):
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(pages, kind)], [*keep, "blocks"])
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 5) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.9, least: int = 10) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed) of each row: blocks joined by two line feeds, and how many blocks the template took.
 
     A null html is empty: its text is ''. The host is the url's, in lower case ('' for none). Repeated rows count as pages each
