@@ -105,7 +105,7 @@ def _add(a: Column, term: Column) -> Column:
     return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
 
 
-def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta: float = 0.05) -> DataFrame:
+def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The strictest certified cutoff of each (stratum, rule): (stratum, rule, cutoff, n_good, n_errors, p_value).
 
     ``labels``: (doc_id, quality), 1 for good; a document with several labels counts once, by its lowest.
@@ -133,7 +133,7 @@ def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta
     return sound.groupBy("stratum", "rule").agg(last.alias("x")).select("stratum", "rule", "x.*")
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.08, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """features() of each row with base_failed and kept.
 
     kept: passes the base rules and no rate is above its stratum's certified cutoff. Null and empty texts have no
@@ -174,7 +174,7 @@ rated AS (
   FROM b JOIN good USING (doc_id), (SELECT DISTINCT rule FROM grid) WHERE NOT base_failed),
 tests AS (SELECT stratum, r.rule, step, cutoff, count(*) AS n, count(*) FILTER (v > cutoff * per) AS x FROM rated r JOIN grid g ON r.rule = g.rule GROUP BY ALL),
 tails AS (
-  SELECT *, CASE WHEN x > n * 0.02 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.02) + (n - k) * ln(0.98))) FROM generate_series(0, x) t(k)) END AS p
+  SELECT *, CASE WHEN x > n * 0.005 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.005) + (n - k) * ln(0.995))) FROM generate_series(0, x) t(k)) END AS p
   FROM tests),
 passed AS (SELECT *, bool_and(p <= 0.05 / 4 / (SELECT count(DISTINCT stratum) FROM tests)) OVER (PARTITION BY stratum, rule ORDER BY step) AS ok FROM tails),
 cut AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM passed WHERE ok GROUP BY ALL),
