@@ -163,6 +163,14 @@ def _meeting(sets: DataFrame, strays: DataFrame, similarity: float) -> DataFrame
     return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
 
+def _mixed(keyed: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (h, v, root) of buckets with several components, and each such bucket's largest one (h, main)."""
+    now = keyed.join(roots, "v", "left").select("h", "v", F.coalesce("root", "v").alias("root"))
+    mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
+    now = common.staged(now.join(mixed, "h"), "mixed")
+    return now, now.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root")).alias("m")).select("h", F.col("m.root").alias("main"))
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, k: int = 192, bands: int = 32) -> DataFrame:
     """Of each row: (id, v, class_id, class_size, first): its text's md5, its class, and whether it stands for it.
 
@@ -189,10 +197,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     links = common.staged(_verified(pairs, sets, similarity), "links")
     roots = components(links)
 
-    now = keyed.join(roots, "v", "left").select("h", "v", F.coalesce("root", "v").alias("root"))
-    mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    now = common.staged(now.join(mixed, "h"), "mixed")
-    sizes = now.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root")).alias("m")).select("h", F.col("m.root").alias("main"))
+    # strays meet the member of their bucket's main component that has most links so far: it is near the middle
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
+    now, sizes = _mixed(keyed, roots)
+    main = now.join(sizes, "h").join(ends, "v", "left").filter("root = main")
+    hubs = main.groupBy("h").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
+    pairs = now.join(sizes, "h").filter("root <> main").join(hubs, "h").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+    links = links.union(common.staged(_verified(pairs, sets, similarity), "links"))
+    roots = components(links)
+
+    now, sizes = _mixed(keyed, roots)
     strays = now.join(sizes, "h").filter("root <> main").select("v").distinct()
     pairs = _meeting(sets.join(now.select("v", "root").distinct(), "v"), strays, similarity)
     links = links.union(common.staged(_verified(pairs, sets, similarity), "links"))
