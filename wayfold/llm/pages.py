@@ -1,6 +1,6 @@
 """Main text of web pages: site template removal by recurring element subtrees, and structural rules.
 
-Each page is parsed once, leniently (unclosed and misnested tags, truncated pages). Parts that are never main text by
+Pages are parsed leniently (unclosed and misnested tags, truncated pages). Parts that are never main text by
 their element, role or class are left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and comments; so is what lies outside ``article`` or ``main`` elements, where a page has such with text. What remains
 is a list of blocks, each with the hashes of the element subtrees it lies in. Spark counts each (host, subtree hash)
@@ -177,35 +177,49 @@ def blocks_of(html: str) -> list[tuple[str, list[int]]]:
     return [(text, [signed[k] for k in chain]) for text, chain, _ in found]
 
 
-def _parsed(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("chain", pa.list_(pa.int64()))]))
+def _chains(batches):
+    """Each page's host with the hashes of its subtrees that hold blocks."""
     for whole in batches:
         for b in common.slices(whole, "html"):
-            pages = [[{"text": t, "chain": c} for t, c in blocks_of(x or "")] for x in b.column(b.schema.get_field_index("html")).to_pylist()]
-            keep = [n for n in b.schema.names if n != "html"]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(pages, kind)], [*keep, "blocks"])
+            hashes = [sorted({h for _, c in blocks_of(x or "") for h in c}) for x in b.column(b.schema.get_field_index("html")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("host")), pa.array(hashes, pa.list_(pa.int64()))], ["host", "hashes"])
+
+
+def _texts(batches):
+    """Each page's text without the blocks in subtrees of its host's template."""
+    for whole in batches:
+        for b in common.slices(whole, "html"):
+            texts, removed = [], []
+            for html, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                blocks, gone = blocks_of(html or ""), set(gone or ())
+                left = [t for t, c in blocks if gone.isdisjoint(c)]
+                texts.append("\n\n".join(left))
+                removed.append(len(blocks) - len(left))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
+
+
+def template(pages: DataFrame, *, share: float = 0.9, least: int = 10) -> DataFrame:
+    """Of (host, html): (host, gone), the hashes of the subtrees that recur on ``share`` of a host's pages, ``least`` or more.
+
+    A hash is on most of its host's pages, so a host has hardly more of them than a page has elements.
+    """
+    trees = pages.mapInArrow(_chains, "host string, hashes array<bigint>").select("host", F.explode("hashes").alias("h"))
+    sizes = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
+    counts = trees.groupBy("host", "h").count().filter(F.col("count") >= least)
+    often = counts.join(sizes, F.col("host") == F.col("_host")).filter(F.col("count") >= share * F.col("_pages"))
+    return often.groupBy("host").agg(F.collect_list("h").alias("gone"))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.9, least: int = 10) -> DataFrame:
     """(page_id, url, text, n_chars, n_removed) of each row: blocks joined by two line feeds, and how many blocks the template took.
 
     A null html is empty: its text is ''. The host is the url's, in lower case ('' for none). Repeated rows count as pages each
-    and get the same text. An empty table gives an empty result; other columns don't matter.
+    and get the same text. An empty table gives an empty result; other columns don't matter. Pages are parsed twice, which costs less than keeping
+    their blocks; the template is a table of its own, which Spark broadcasts if its size allows.
     """
     url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), F.xxhash64(url, html_col).alias("row"), F.col(html_col).alias("html"))
-    kinds = dict(p.dtypes)
-    p = p.mapInArrow(_parsed, f"page_id {kinds['page_id']}, url string, host string, row bigint, blocks array<struct<text: string, chain: array<bigint>>>")
-    p = common.staged(p, "blocks")
-    trees = p.select("page_id", "host", "row", F.explode(F.array_distinct(F.flatten("blocks.chain"))).alias("h"))
-    sizes = p.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
-    counts = trees.groupBy("host", "h").count().filter(F.col("count") >= least)
-    often = counts.join(sizes, F.col("host") == F.col("_host")).filter(F.col("count") >= share * F.col("_pages")).select(F.col("host").alias("_h"), F.col("h").alias("_t"))
-    often = common.staged(often, "template")
-    gone = trees.join(often, (F.col("host") == F.col("_h")) & (F.col("h") == F.col("_t"))).groupBy(F.col("page_id").alias("_p"), F.col("row").alias("_r")).agg(F.collect_set("h").alias("gone"))
-    d = p.join(gone, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("row") == F.col("_r")), "left")
-    left = F.when(F.col("gone").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["chain"], F.col("gone"))))
-    d = d.withColumn("_left", left)
-    d = d.withColumn("text", F.array_join("_left.text", "\n\n"))
-    return d.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), (F.size("blocks") - F.size("_left")).cast("long").alias("n_removed"))
+    p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).alias("html"))
+    gone = common.staged(template(p.select("host", "html"), share=share, least=least), "template")
+    d = p.join(gone, "host", "left").select("page_id", "url", "html", "gone")
+    return d.mapInArrow(_texts, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars bigint, n_removed bigint")
