@@ -6,6 +6,7 @@ pooling), and a logistic layer makes the score. Language, source, ids and labels
 
 Training takes a bounded sample of labelled rows (``sample`` of each class, by a hash of the id; texts of over
 ``max_chars`` aren't drawn), so its cost doesn't grow with the corpus. Scoring is a map over all rows and whole texts.
+The thresholds of the languages come from the scores of all labelled rows that the model wasn't fitted on, counted in Spark.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from . import common
 
 PREFIXES = (4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
+#: Cutoffs of a score of which one is a language's threshold.
+CUTOFFS = tuple(round(0.05 * k, 2) for k in range(1, 20))
 _TABLE = 20
 
 
@@ -182,39 +185,55 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, max_chars:
     """A model from at most ``sample`` labelled rows of each class, and the threshold of each language.
 
     Labels of held_out() ids are never read. A document with several labels counts as toxic if one says so; of several
-    rows with one id, one is taken. A fifth of the sample sets the thresholds: each language's is the one of best F1 nearest
-    to 0.3; languages with under 20 such rows have none. Without labels of both classes, no word counts.
+    rows with one id, one is taken for fitting. A fifth of the sample isn't fitted on: with all labelled rows outside the
+    sample it sets the thresholds, see best_cutoffs(). Without labels of both classes, no word counts.
     """
 
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(11), F.col("_id"))
     picked = chosen.filter("toxic = 1").orderBy(order).limit(sample).union(chosen.filter("toxic = 0").orderBy(order).limit(sample))
-    d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang")).filter(F.length("text") <= max_chars)
+    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("lang"))
     # the broadcast side has at most 2 * sample rows
-    rows = d.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.first("text").alias("text"), F.first("lang").alias("lang"), F.first("toxic").alias("toxic"))
-    rows = rows.select("text", "lang", "toxic", F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)).alias("fold"), F.xxhash64(F.lit(11), "_id").alias("o")).toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
-    fold, toxic = rows["fold"].to_numpy(), rows["toxic"].to_numpy().astype(float)
+    rows = named.filter(F.length("text") <= max_chars).join(F.broadcast(picked), "_id").groupBy("_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = rows.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(5)) != 0)
+    rows = rows.select("_id", "text", "toxic", F.xxhash64(F.lit(11), "_id").alias("o")).toArrow().sort_by([("o", "ascending"), ("text", "ascending")])
+    toxic = rows["toxic"].to_numpy().astype(float)
+    if len(set(toxic)) < 2:
+        return Model(np.zeros(0, np.uint64)), {}
+    model = fit(*featurize(pa.concat_arrays(rows["text"].chunks)), toxic)
+    fitted = F.broadcast(docs.sparkSession.createDataFrame(rows.select(["_id"])).withColumn("fitted", F.lit(True)))
+    # scores are joined, not texts
+    known = scored(named, model).select("_id", "lang", "score").join(chosen, "_id").join(fitted, "_id", "left")
+    return model, best_cutoffs(known.withColumn("fitted", F.coalesce("fitted", F.lit(False))))
 
-    def features(mask):
-        return featurize(pa.concat_arrays(rows["text"].filter(pa.array(mask)).chunks) if mask.any() else pa.array([], pa.string()))
 
-    use = fold != 0
-    if len(set(toxic[use])) < 2:
-        return Model(np.zeros(0, np.uint64)), {}
-    model = fit(*features(use), toxic[use])
-    thresholds = {}
-    langs = np.array(rows["lang"].to_pylist(), object)
-    if (~use).any():
-        f, first = features(~use)
-        score, y, lang = model.score(model.lookup(f), first), toxic[~use], langs[~use]
-        for name in sorted({x for x in lang if x is not None}):
-            at = lang == name
-            if at.sum() >= 20:
-                grid = np.round(np.arange(0.05, 0.96, 0.05), 2)
-                f1 = [2 * ((score[at] >= t) & (y[at] == 1)).sum() / max(1, (score[at] >= t).sum() + y[at].sum()) for t in grid]
-                thresholds[name] = float(min(grid[np.array(f1) == max(f1)], key=lambda t: abs(t - 0.3)))
-    return model, thresholds
+def best_cutoffs(known: DataFrame) -> dict[str, float]:
+    """Of rows (lang, score, toxic, fitted): each language's cutoff of best F1, of equals the one nearest to 0.3.
+
+    Only rows not fitted on say how many of a class a cutoff flags; these shares apply to all of the class's rows, as
+    fitting takes rows of one class more often than of the other. Languages with under 20 rows to tell by, or none of
+    a class they have, get no cutoff. A few numbers a language come to the driver.
+    """
+    level = sum((F.col("score") >= t).cast("int") for t in CUTOFFS)
+    counts = known.filter("lang IS NOT NULL").groupBy("lang", F.col("toxic").cast("int").alias("toxic"), "fitted", level.alias("level")).count().collect()
+    found = {}
+    for name in sorted({r.lang for r in counts}):
+        seen, whole = np.zeros((2, len(CUTOFFS) + 1)), np.zeros(2)
+        for r in counts:
+            if r.lang == name:
+                y = int(r.toxic == 1)
+                whole[y] += r["count"]
+                if not r.fitted:
+                    seen[y, r.level] += r["count"]
+        n = seen.sum(axis=1)
+        if n.sum() < 20 or ((n == 0) & (whole > 0)).any():
+            continue
+        # a row of level k reaches the first k cutoffs
+        flagged = (seen[:, ::-1].cumsum(axis=1)[:, ::-1] / np.maximum(n, 1)[:, None] * whole[:, None])[:, 1:]
+        f1 = 2 * flagged[1] / np.maximum(1e-9, flagged.sum(axis=0) + whole[1])
+        found[name] = min((t for t, f in zip(CUTOFFS, f1) if f >= f1.max() - 1e-12), key=lambda t: abs(t - 0.3))
+    return found
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
