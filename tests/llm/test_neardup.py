@@ -99,3 +99,15 @@ def test_signature_estimates_weighted_jaccard():
         sig = neardup.signatures(common.mix(np.concatenate([a, a]) + np.uint64(s)), weight, np.array([0, 200, 400]), 192)
         agree.append((sig[0] == sig[1]).mean())
     assert abs(np.mean(agree) - 0.5) < 0.03
+
+
+def test_texts_and_their_repeated_selves(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+        rows += [(10 * i + n, " ".join(base * n)) for n in (1, 2, 3, 4)]
+    rows += [(1000 + i, " ".join(f"y{x}" for x in rng.integers(0, 10**6, 80))) for i in range(20)] + [(2000, None), (2001, "one two")]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = partition([r[0] for r in rows], brute(rows))
+    assert len(want) == 30 and partition([r.id for r in got], [r.class_id for r in got]) == want

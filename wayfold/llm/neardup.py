@@ -11,7 +11,11 @@ Darts come from hashed cells of area one: level (nu, rho) has weights from 2^nu
 its cells up to the rank where about k ln k + 3 k darts are expected in all, so the time is sparse: it does not grow
 with shingles times k. If a coordinate is still empty, it looks half as far again.
 
-Bands of ``rows`` coordinates bucket the documents. Within a bucket, each is compared with a pivot, not with all;
+Links are judged by sets, whose similarity is above the weighted one where shingles recur in one document only (a text
+and the same text written twice). So a document with recurring shingles also has a signature with all weights 1; for
+others it is the same one. Any two documents thus meet with the probability of their set similarity at least.
+
+Bands of ``rows`` coordinates bucket the documents by both signatures. Within a bucket, each is compared with a pivot, not with all;
 links are exact (Jaccard of the shingle sets at least 0.8). Components follow. In buckets that still hold several
 components, each document outside the largest one meets those documents of such buckets with which it shares one of its rarest shingles:
 with shingles in the order of their frequency, sets of that similarity must meet in a short prefix, at ranks that
@@ -120,13 +124,18 @@ def _signed(batches, k: int, bands: int, width: int):
         for b in common.slices(whole, "text"):
             words, first = common.text_words(b.column(b.schema.get_field_index("text")))
             h, counts, start = shingle_sets(words, first, width)
-            s = signatures(h, 1 + np.log2(counts), start, k).reshape(len(b), bands, rows)
-            key = np.broadcast_to(mix(np.arange(1, bands + 1).astype(np.uint64)), (len(b), bands))
+            size = np.diff(start)
+            row = np.repeat(np.arange(len(b)), size)
+            some = size > 0
+            recur = np.bincount(row[counts > 1], minlength=len(b)) > 0
+            plain = signatures(h[recur[row]], np.ones(recur[row].sum()), np.concatenate([[0], np.cumsum(size[recur])]), k)
+            s = np.concatenate([signatures(h, 1 + np.log2(counts), start, k)[some], plain]).reshape(-1, bands, rows)
+            key = np.broadcast_to(mix(np.arange(1, bands + 1).astype(np.uint64)), s.shape[:2])
             for j in range(rows):
                 key = mix(key ^ s[:, :, j])
-            some = np.diff(start) > 0
-            first_band = np.concatenate([[0], np.cumsum(some * bands)])
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("v")), b.column(b.schema.get_field_index("id")), common.list_array(key[some].reshape(-1), first_band)], ["v", "id", "bands"])
+            key = key[np.argsort(np.concatenate([np.flatnonzero(some), np.flatnonzero(recur)]), kind="stable")]
+            first_band = np.concatenate([[0], np.cumsum((some + recur.astype(int)) * bands)])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("v")), b.column(b.schema.get_field_index("id")), common.list_array(key.reshape(-1), first_band)], ["v", "id", "bands"])
 
 
 def _sets(batches, width: int):
@@ -185,7 +194,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = dict(docs.dtypes)["id"]
     signed = common.staged(docs.mapInArrow(lambda it: _signed(it, k, bands, width), f"v binary, id {kind}, bands array<bigint>"), "signed")
     texts = signed.filter(F.size("bands") > 0).groupBy("v").agg(F.first("bands").alias("bands"))
-    keyed = texts.select("v", F.explode("bands").alias("h"))
+    keyed = texts.select("v", F.explode(F.array_distinct("bands")).alias("h"))
     shared = keyed.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x <> y").select("h")
     keyed = common.staged(keyed.join(shared, "h").select("h", "v"), "buckets")
     involved = keyed.select("v").distinct()
