@@ -48,6 +48,15 @@ def test_merging_keeps_every_sample_and_ends(spark, merged):
     assert left.count() == 0
 
 
+def test_merging_of_a_long_run_of_like_items_ends(spark):
+    schema = "sample_id long, device_id long, t long, latitude double, longitude double, h_acc double, moving_state string, recording_state string, confirmed_type string, classified_type string"
+    rows = [(i, 1, 10 * i, None, None, 5.0, ("moving", "stationary")[i // 2 % 2], "recording", None, None) for i in range(108)]
+    s = I.number_items(spark.createDataFrame(rows, schema))
+    assert s.select("item_no").distinct().count() == 54
+    after = merging.merge_rounds(s)
+    assert after.count() == 108 and after.select("item_no").distinct().count() == 1
+
+
 def test_edge_items(spark):
     schema = "sample_id long, device_id long, t long, latitude double, longitude double, h_acc double, moving_state string, recording_state string, confirmed_type string, classified_type string"
     rows = [(1, 1, 0, None, None, 5.0, "stationary", "recording", None, None), (2, 2, 0, 0.0, 0.0, 5.0, "moving", "off", None, None), (3, 3, 0, 90.0, 180.0, 7.0, "moving", "recording", "car", None), (4, 3, 20, 90.0, 180.0, 7.0, "moving", "recording", "bus", None)]

@@ -131,30 +131,31 @@ def scored(rows: DataFrame) -> DataFrame:
 def chosen(scores: DataFrame) -> DataFrame:
     """Of a device's possible merges, those that are better than every other that shares an item with them.
 
-    Order: score, smallest gap, the keeper's start, ids. In a round many merges that don't touch each other are made at once.
+    Order: score, smallest gap, a hash of the items, the keeper's start, ids. In a round many merges that don't touch each other
+    are made at once: by the hash also within a run of items whose merges are all alike, which start times would let merge only from one end.
     """
-    s = scores.filter("score > 0").withColumn("rank", F.struct((-F.col("score")).alias("s"), F.abs(time_gap(F.col("keeper"), F.col("deadman"))).alias("g"), F.col("keeper.start_t").alias("t"), "k", "d"))
+    items = F.xxhash64(F.least("k", "d"), F.greatest("k", "d"), F.col("b"))
+    s = scores.filter("score > 0").withColumn("rank", F.struct((-F.col("score")).alias("s"), F.abs(time_gap(F.col("keeper"), F.col("deadman"))).alias("g"), items.alias("h"), F.col("keeper.start_t").alias("t"), "k", "d"))
     touched = s.select("device_id", "rank", F.explode(F.array_compact(F.array("k", "b", "d"))).alias("i"))
     best = touched.groupBy("device_id", "i").agg(F.min("rank").alias("best"))
     wins = touched.join(best, ["device_id", "i"]).groupBy("device_id", "rank").agg(F.bool_and(F.col("rank") == F.col("best")).alias("wins")).filter("wins")
     return s.join(wins.drop("wins"), ["device_id", "rank"])
 
 
-def merge_rounds(samples: DataFrame, limits: Thresholds = LIMITS, most: int = 50) -> DataFrame:
+def merge_rounds(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     """Samples with the item numbers that remain after merging until no merge is possible.
 
     Each round sums up the items, scores the candidates and makes all merges that are locally best; the kept item's
-    number goes to the samples of the others. A merged item keeps its kind. ``most`` rounds only guard against a fault: every merge removes an item.
+    number goes to the samples of the others. A merged item keeps its kind. It ends, as every merge removes an item.
     """
     s = samples.withColumn("kind_visit", F.first(~I.moving()).over(W.partitionBy(*KEYS).orderBy("t", "sample_id")))
     s = staged(s, "merge")
-    for _ in range(most):
+    while True:
         plain = s.withColumn("moving_state", F.when(F.col("kind_visit"), "stationary").otherwise("moving"))
         rows = facts(I.summarize(plain, limits), plain, limits)
         moves = chosen(scored(rows)).select("device_id", "k", F.col("keeper.is_visit").alias("kv"), F.explode(F.array_compact(F.array("b", "d"))).alias("item_no"))
         moves = staged(moves, "moves")
         if not moves.limit(1).count():
-            break
+            return s
         s = s.join(moves, KEYS, "left").withColumns({"item_no": F.coalesce("k", "item_no"), "kind_visit": F.coalesce("kv", "kind_visit")}).drop("k", "kv")
         s = staged(s, "merge")
-    return s
