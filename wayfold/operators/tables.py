@@ -21,6 +21,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: iterations keep no lineage, and lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/wayfold-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).staged(df, tag)
+
+
+class Scratch:
+    """Tables of one job in the shared folder, which can be deleted once what was made of them is itself a table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def staged(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/wayfold-{tag}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = path, made
+        return made
+
+    def drop(self, *tables: DataFrame, but: tuple[DataFrame, ...] = ()) -> None:
+        """Deletes these tables, or all but those of ``but``. Nothing that reads them may still be to run."""
+        gone = [id(t) for t in tables] if tables else [k for k in self.paths if k not in {id(t) for t in but}]
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        for k in gone:
+            path, _ = self.paths.pop(k)
+            place = jvm.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
