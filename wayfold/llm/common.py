@@ -1,14 +1,13 @@
-"""What the corpus operators share: the word rule, tables kept in the shared folder, and word hashes."""
+"""What the corpus operators share: the word rule, Arrow maps, and word hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.tables import Scratch, shared_dir, staged  # noqa: F401
+
 #: The white space of the word rule: space, and tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,22 +17,31 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session gets one of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInArrow of a generator function; a task's end gives freed memory back, since Python workers live on."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(held, schema)
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/wayfold-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Gives memory that Arrow and the allocator keep for later back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
 
 
 def words_of(text: Column) -> Column:
@@ -70,20 +78,19 @@ def _power(n: np.ndarray) -> np.ndarray:
     low, high = n & 4095, n >> 12
     out = _POWERS[low]
     if high.any():
-        step = _POWERS[4096]
+        step = _POWERS[4096:4097]
         far = np.ones_like(out)
         for k in range(int(high.max()).bit_length()):
             far = np.where(high >> k & 1, far * step, far)
-            step = step * step
+            step = np.square(step)
         out = out * far
     return out
 
 
-def text_words(column) -> tuple[np.ndarray, np.ndarray]:
-    """Of an Arrow string column (null: empty): a 64-bit hash of each word, and each row's first word (rows + 1).
+def word_places(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow string column (null: empty): (bytes, starts, ends, first): where each word is, and each row's first word (rows + 1).
 
-    A hash is a polynomial of the word's bytes in BASE, scrambled. The rows' bytes are put apart by a space first,
-    so that no word runs over two rows.
+    The rows' bytes are put apart by a space first, so that no word runs over two rows.
     """
     import pyarrow as pa
 
@@ -102,13 +109,29 @@ def text_words(column) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = (raw != 32) & ((raw < 9) | (raw > 13))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    return raw, starts, ends, np.searchsorted(starts, rows) if len(starts) else np.zeros(len(column) + 1, np.int64)
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes in BASE, scrambled. Done for about ``most`` bytes at a time."""
     size = ends - starts
-    at = np.flatnonzero(inside[1:-1])
-    terms = (raw[at].astype(np.uint64) + np.uint64(1)) * _power(at - np.repeat(starts, size))
-    sums = np.add.reduceat(terms, np.cumsum(size) - size)
-    return mix(sums ^ (size.astype(np.uint64) << np.uint64(48))), np.searchsorted(starts, rows)
+    upto = np.cumsum(size)
+    out, k = np.zeros(len(size), np.uint64), 0
+    while k < len(size):
+        to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + most, side="right")))
+        n = size[k:to]
+        before = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(starts[k:to] - before, n)
+        terms = (raw[at].astype(np.uint64) + np.uint64(1)) * _power(at - np.repeat(starts[k:to], n))
+        out[k:to] = mix(np.add.reduceat(terms, before) ^ (n.astype(np.uint64) << np.uint64(48)))
+        k = to
+    return out
+
+
+def text_words(column) -> tuple[np.ndarray, np.ndarray]:
+    """Of an Arrow string column (null: empty): a 64-bit hash of each word, and each row's first word (rows + 1)."""
+    raw, starts, ends, first = word_places(column)
+    return word_hashes(raw, starts, ends), first
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

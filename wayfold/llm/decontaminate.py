@@ -131,7 +131,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, threshold: fl
         ids, texts = pa.array([r.item_id for r in part]), pa.array([r.text for r in part], pa.string())
         words, first = common.text_words(texts)
         shared = spark.sparkContext.broadcast(Block(ids, words, first, size))
-        out.append(d.mapInArrow(lambda it: _tiled(it, shared, threshold, kinds), schema))
+        out.append(common.arrow_map(d, lambda it: _tiled(it, shared, threshold, kinds), schema))
 
     waiting: dict[int, tuple[list, int]] = {}
     for r in items.toLocalIterator():  # a block at a time is held

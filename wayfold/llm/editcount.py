@@ -177,7 +177,7 @@ def counted(docs: DataFrame, edits: Column, *, tokenizer_path: str, id_col: str
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_tokens", "n_leaves", "n_edits", "n_encoded", "n_tokens_after", "n_chars_after"])
 
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), edits.alias("edits"))
-    return d.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_leaves bigint, n_edits bigint, n_encoded bigint, n_tokens_after bigint, n_chars_after bigint")
+    return common.arrow_map(d, run, f"doc_id {kind}, n_tokens bigint, n_leaves bigint, n_edits bigint, n_encoded bigint, n_tokens_after bigint, n_chars_after bigint")
 
 
 def sample_edits(text: Column) -> Column:

@@ -192,14 +192,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.unhex(F.md5("text")).alias("v"), "id", "text")
     kind = dict(docs.dtypes)["id"]
-    signed = common.staged(docs.mapInArrow(lambda it: _signed(it, k, bands, width), f"v binary, id {kind}, bands array<bigint>"), "signed")
+    signed = common.staged(common.arrow_map(docs, lambda it: _signed(it, k, bands, width), f"v binary, id {kind}, bands array<bigint>"), "signed")
     texts = signed.filter(F.size("bands") > 0).groupBy("v").agg(F.first("bands").alias("bands"))
     keyed = texts.select("v", F.explode(F.array_distinct("bands")).alias("h"))
     shared = keyed.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x <> y").select("h")
     keyed = common.staged(keyed.join(shared, "h").select("h", "v"), "buckets")
     involved = keyed.select("v").distinct()
     once = docs.join(involved, "v").groupBy("v").agg(F.first("text").alias("text"))
-    sets = common.staged(once.mapInArrow(lambda it: _sets(it, width), "v binary, s array<bigint>"), "sets")
+    sets = common.staged(common.arrow_map(once, lambda it: _sets(it, width), "v binary, s array<bigint>"), "sets")
 
     pivots = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("v").alias("o"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
     pairs = keyed.join(pivots, "h").filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()

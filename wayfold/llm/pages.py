@@ -203,7 +203,7 @@ def template(pages: DataFrame, *, share: float = 0.9, least: int = 10) -> DataFr
 
     A hash is on most of its host's pages, so a host has hardly more of them than a page has elements.
     """
-    trees = pages.mapInArrow(_chains, "host string, hashes array<bigint>").select("host", F.explode("hashes").alias("h"))
+    trees = common.arrow_map(pages, _chains, "host string, hashes array<bigint>").select("host", F.explode("hashes").alias("h"))
     sizes = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
     counts = trees.groupBy("host", "h").count().filter(F.col("count") >= least)
     often = counts.join(sizes, F.col("host") == F.col("_host")).filter(F.col("count") >= share * F.col("_pages"))
@@ -222,4 +222,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     gone = common.staged(template(p.select("host", "html"), share=share, least=least), "template")
     d = p.join(gone, "host", "left").select("page_id", "url", "html", "gone")
-    return d.mapInArrow(_texts, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars bigint, n_removed bigint")
+    return common.arrow_map(d, _texts, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars bigint, n_removed bigint")

@@ -9,9 +9,10 @@ Documents are range-partitioned and sorted by (id, hash of the text); each parti
     Bloom filter  ``BLOOM_BITS`` bits a key, ``BLOOM_HASHES`` hashes
     footer        offsets and lengths of index and filter, documents, tokens, magic
 
-A key is 0 for a null id or 1 and the id with its sign bit flipped, big-endian, then the number of the row among those
-with the id, big-endian: bytes sort as ids do. A value is the ids, little-endian 16 bits each. ``Shard.get`` asks the
-filter, searches the index by halves and reads one block.
+A key is 0 for a null id or 1 and the id with its sign bit flipped, then the hash of the text likewise, then the number of
+the row among those alike in both, all big-endian: bytes sort as ids do, and a key is in one shard alone, since rows alike
+in id and text are in one partition. A value is the ids, little-endian 16 bits each. ``Shard.get`` asks the filter (it
+knows ids), searches the index by halves and reads the blocks of the id; ``get`` finds the shards by the manifest first.
 
 Each attempt of a task writes files of a new name; only names in the manifest, which is the job's result, count. A
 lost executor so costs a file nobody reads. Files are written and read by pyarrow's file systems, by URI.
@@ -38,12 +39,19 @@ ENTRY = struct.Struct("<QII")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
-def key_of(doc_id: int | None, number: int) -> bytes:
-    return struct.pack(">BQI", doc_id is not None, 0 if doc_id is None else doc_id + (1 << 63), number)
+ID = struct.Struct(">BQ")  # the part of a key that names the document
+
+
+def id_key(doc_id: int | None) -> bytes:
+    return ID.pack(doc_id is not None, 0 if doc_id is None else doc_id + (1 << 63))
+
+
+def key_of(doc_id: int | None, tie: int, number: int) -> bytes:
+    return id_key(doc_id) + struct.pack(">QI", tie + (1 << 63), number)
 
 
 def id_of(key: bytes) -> int | None:
-    some, doc_id, _ = struct.unpack(">BQI", key)
+    some, doc_id = ID.unpack_from(key)
     return doc_id - (1 << 63) if some else None
 
 
@@ -106,7 +114,7 @@ class Writer:
         index = b"".join(self.index)
         size = max(64, BLOOM_BITS * len(self.keys))
         bits = np.zeros(size, bool)
-        for k in self.keys:
+        for k in {k[: ID.size] for k in self.keys}:
             bits[bloom_places(k, size)] = True
         bloom = struct.pack("<Q", size) + np.packbits(bits).tobytes()
         self.out.write(index + bloom + FOOTER.pack(self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.tokens, MAGIC))
@@ -148,22 +156,24 @@ class Shard:
         for k in range(len(self.blocks)):
             yield from self._entries(k)
 
-    def may_have(self, key: bytes) -> bool:
+    def may_have(self, doc_id: int | None) -> bool:
         if self.bloom is None:
             raw = bytes(self.file.read_at(self.bloom_n, self.bloom_at))
             self.bloom = struct.unpack_from("<Q", raw)[0], np.frombuffer(raw, np.uint8, offset=8)
         size, bits = self.bloom
-        return all(bits[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_places(key, size))
+        return all(bits[p >> 3] >> (7 - (p & 7)) & 1 for p in bloom_places(id_key(doc_id), size))
 
-    def get(self, doc_id: int | None, number: int = 0) -> np.ndarray | None:
-        key = key_of(doc_id, number)
-        if not self.may_have(key):
-            return None
-        k = bisect.bisect_right(self.keys, key) - 1
-        for found, value in self._entries(k) if k >= 0 else ():
-            if found == key:
-                return np.frombuffer(value, "<u2")
-        return None
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The token ids of each document with this id, in the order of their keys."""
+        if not self.may_have(doc_id):
+            return []
+        want, found = id_key(doc_id), []
+        # the last block that begins before the id, and those that begin with it
+        for k in range(max(0, bisect.bisect_left(self.keys, want) - 1), len(self.keys)):
+            if self.keys[k][: ID.size] > want:
+                break
+            found += [np.frombuffer(value, "<u2") for key, value in self._entries(k) if key[: ID.size] == want]
+        return found
 
 
 def _open(uri: str):
@@ -178,46 +188,48 @@ def _write(batches, root: str, tokenizer: str, end: int, block_bytes: int, shard
 
     system, folder = _open(root)
     system.create_dir(folder, recursive=True)
-    tail = struct.pack("<H", end)
-    done, out, writer, name, number, last = [], None, None, None, 0, object()
+    tail = np.array([end], np.uint16)
+    done, out, writer, name, number, last = [], None, None, None, 0, None
 
     def close():
         writer.close()
         out.close()
-        done.append((f"{root}/{name}", writer.keys[0], writer.tokens, len(writer.keys)))
+        done.append((f"{root}/{name}", writer.keys[0], writer.keys[-1], writer.tokens, len(writer.keys)))
 
     for whole in batches:
-        for b in common.slices(whole, "text", 1 << 22):
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for doc_id, value in zip(ids, encoder(tokenizer).encode(texts)):
-                number = number + 1 if doc_id == last else 0
-                last = doc_id
+        for b in common.slices(whole, "text"):
+            tokens, first = encoder(tokenizer).encode(b.column(2))
+            for k, row in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                number = number + 1 if row == last else 0
+                last = row
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.sst"
                     out = system.open_output_stream(f"{folder}/{name}")
                     writer = Writer(out, block_bytes)
-                writer.add(key_of(doc_id, number), value + tail)
+                writer.add(key_of(*row, number), np.concatenate([tokens[first[k] : first[k + 1]], tail]).astype("<u2").tobytes())
                 if writer.at >= shard_bytes:
                     close()
                     writer = None
     if writer is not None:
         close()
-    paths, firsts, tokens, docs = zip(*done) if done else ((), (), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(firsts, pa.binary()), pa.array(tokens, pa.int64()), pa.array(docs, pa.int64())], ["path", "first", "n_tokens", "n_docs"])
+    cols = zip(*done) if done else [()] * 5
+    kinds = pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()
+    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], ["path", "first", "last", "n_tokens", "n_docs"])
 
 
 def write(docs: DataFrame, *, tokenizer: str, end: int = 2, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 10, shard_bytes: int = 64 << 20) -> DataFrame:
-    """Writes the shards of ``docs`` and returns their manifest, one row a shard: (path, first, n_tokens, n_docs, start).
+    """Writes the shards of ``docs`` and returns their manifest, one row a shard: (path, first, last, n_tokens, n_docs, start).
 
-    start: tokens of all shards before it. Null texts count as empty: their value is the end id alone. Null ids come
-    first; rows with one id are numbered in the order of their text's hash within a partition. An empty table has no shards.
-    ``tokenizer`` is a file the executors have, at the same path.
+    first, last: its keys' ends; start: tokens of all shards before it. Null texts count as empty: their value is the
+    end id alone. Null ids come first; rows with one id are in the order of their text's hash, and rows alike in both are
+    numbered. An empty table has no shards. Other columns don't matter, whatever their names. ``tokenizer`` is a file the
+    executors have, at the same path.
     """
     root = f"{common.shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    d = d.withColumn("tie", tie).repartitionByRange(F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").select("id", "text")
-    files = d.mapInArrow(lambda it: _write(it, root, tokenizer, end, block_bytes, shard_bytes), "path string, first binary, n_tokens bigint, n_docs bigint")
+    order = F.col("id").asc_nulls_first(), F.col("tie")
+    d = d.select("id", F.xxhash64("text").alias("tie"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    files = common.arrow_map(d, lambda it: _write(it, root, tokenizer, end, block_bytes, shard_bytes), "path string, first binary, last binary, n_tokens bigint, n_docs bigint")
     files = common.staged(files, "manifest")  # one row a shard
     before = W.orderBy("first", "path").rowsBetween(W.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
@@ -244,4 +256,16 @@ def _digest(batches):
 def digest(manifest: DataFrame) -> DataFrame:
     """Reads the shards of a manifest: (doc_id, start, n_tokens, ids_crc32) of each document, a block in memory at a time."""
     rows = manifest.select("path", "start").repartition("path")
-    return rows.mapInArrow(_digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return common.arrow_map(rows, _digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
+def get(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
+    """The token ids of each document with this id: Spark finds the shards whose keys enclose it, each is searched."""
+    low = F.lit(id_key(doc_id))
+    near = manifest.filter((F.substring("first", 1, ID.size) <= low) & (F.substring("last", 1, ID.size) >= low)).orderBy("first")
+    found = []
+    for row in near.select("path").toLocalIterator():
+        system, name = _open(row.path)
+        with system.open_input_file(name) as f:
+            found += Shard(f).get(doc_id)
+    return found
