@@ -128,11 +128,40 @@ PAGE = """<html><head><title>x</title></head><body><header><a>Home</a></header><
 
 
 def test_pages(spark):
-    assert [t for t, _ in pages.blocks_of(PAGE)] == ["Title & co", "One two three", "Four <b>", "a", "b", "tail"]
+    assert [t for t, _, _ in pages.parsed(PAGE)[0]] == ["Title & co", "One two three", "Four <b>", "a", "b", "tail"]
+    assert pages.main_text(PAGE, set())[0] == "Title & co\n\nOne two three\n\nFour <b>\n\na\n\nb\n\ntail"
     same = "<div><p>Sign up today</p></div>"
-    rows = [(i, "http://h.example/%d" % i, f"<body>{same}<div><p>Text {i}</p></div></body>") for i in range(12)] + [(90, None, None), (90, "", ""), (91, "http://o.example/", f"<body>{same}</body>")]
-    got = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
-    assert got[0].text == "Text 0" and got[0].n_removed == 1 and got[90].text == "" and got[91].text == "Sign up today" and got[0].n_chars == 6
+    # changing links in an unmarked list: only the skeleton recurs
+    links = lambda i: "<div class=x><ul>%s</ul></div>" % "".join(f"<li><a href=/{i}>link {i} {k}</a>" for k in range(2 + i % 3))
+    rows = [(i, "http://h.example/%d" % i, f"<body>{links(i)}{same}<div><p>Text {i} is as long as needed to be most of a page, and is not like the others {i * 7}</p></div></body>") for i in range(3)]
+    rows += [(90, None, None), (90, "", ""), (91, "http://o.example/", f"<body>{same}</body>")]
+    rows += [(100 + i, f"http://copy.example/{i}", "<body><div><p>The same article everywhere</p><p>and its end</p></div></body>") for i in range(3)]
+    rows += [(200 + i, f"http://big.example/{i}", f"<body><article><p>Own words {i} and many more of them, so that the page is its own</p><p>{'Shared' if i % 2 else 'Often'}</p></article></body>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "gone": F.lit(2), "text": F.lit(3)})
+    got = {r.page_id: r for r in pages.extract(df).collect()}
+    for i in range(3):
+        assert got[i].text.startswith(f"Text {i} is") and "\n" not in got[i].text and got[i].n_template == 2 and got[i].n_removed == 3 + i % 3, got[i]
+        assert got[100 + i].text == "The same article everywhere\n\nand its end"
+    assert got[90].text == "" and got[91].text == "Sign up today" and got[91].n_chars == 13
+    assert all(got[200 + i].text.endswith("Shared" if i % 2 else "Often") for i in range(12))
+    assert pages.extract(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://h/", "<p>" + "word <b>x</b> " * 100_000)], "page_id long, url string, html string")
+    assert pages.extract(long).first().n_chars == 7 * 100_000 - 1
+
+
+def test_template_counts_by_brute_force(spark):
+    from collections import defaultdict
+    from urllib.parse import urlsplit
+
+    rows = [(urlsplit(r.url).hostname, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    on, pages_of = defaultdict(int), defaultdict(int)
+    for host, html in rows:
+        pages_of[host] += 1
+        for key in {x for t in pages.parsed(html)[1].values() for x in pages._keys(t)}:
+            on[host, key] += 1
+    want = {(h, k) for (h, k), n in on.items() if n >= 2 and (n >= 0.9 * pages_of[h] and n > 3 if k[0] == pages.INSIDE else n >= 0.3 * pages_of[h])}
+    found = pages.template(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert want and {(r.host, (k.kind, k.h)) for r in found for k in r.gone} == want
 
 
 def test_encoder_equals_tokenizer():

@@ -1,11 +1,17 @@
-"""Main text of web pages: site template removal by recurring element subtrees, and structural rules.
-
-Pages are parsed leniently (unclosed and misnested tags, truncated pages). Parts that are never main text by
-their element, role or class are left out: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments; so is what lies outside ``article`` or ``main`` elements, where a page has such with text. What remains
-is a list of blocks, each with the hashes of the element subtrees it lies in. Spark counts each (host, subtree hash)
-over pages, and blocks in subtrees that recur on at least ``share`` of the host's pages, ``least`` pages or more, are
-deleted.
+"""Main text of web pages: site template removal by recurring element subtrees, then structural rules.
+
+Pages are parsed leniently (unclosed and misnested tags, truncated pages). Each block element with text is a subtree,
+known by two hashes: of its content (tags and text), and of its skeleton (tags, classes and the shapes of its children,
+runs of like ones as one). Spark counts each over the pages of a host. A subtree is template, and deleted, if
+
+* it lies outside ``article`` and ``main``, and its content is on ``common`` pages or more and ``share`` of the host's, or
+* it lies outside them, half of its text or more is in links, and its skeleton recurs as often, or
+* it lies inside them, and its content is on nearly all pages (``share_inside``): articles may share passages.
+
+Where that would take most of a page's text, only the subtrees of links go: such a page is one of several copies, not
+all template. Then parts go that are never main text by their element, role or class (menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles and comments), as the template can't tell on hosts of few pages, and
+so does what lies outside ``article`` or ``main``, where a page has such with text.
 """
 
 from __future__ import annotations
@@ -13,7 +19,6 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,16 +47,26 @@ WORDS = frozenset(
     " subscription signup login comment comments disqus reply replies respond share sharing social related recommended recommendations toolbar pagination"
     " pager widget widgets masthead topbar skip paywall tracking".split()
 )
+#: Elements that are never template as a whole.
+KEPT = frozenset("article body html main".split())
 _OPEN_P = frozenset(BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr", "legend", "figcaption", "summary"})
 #: An element that opens closes an open one of these, unless a wall stands between.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
 class _Node:
-    __slots__ = ("tag", "out", "main", "h", "id")
+    """An open element: its hashes so far, how much text it holds, and how much of that is in links."""
+
+    __slots__ = ("tag", "out", "main", "id", "h", "shape", "last", "chars", "linked", "link")
 
-    def __init__(self, tag: str, out: bool, main: bool, number: int):
-        self.tag, self.out, self.main, self.h, self.id = tag, out, main, hash_of(tag), number
+    def __init__(self, tag: str, out: bool, main: bool, number: int, names: str = "", link: bool = False):
+        self.tag, self.out, self.main, self.id, self.link = tag, out, main, number, link
+        self.h, self.shape, self.last = hash_of(tag), hash_of(f"{tag}.{names}"), 0
+        self.chars = self.linked = 0
+
+
+#: Kinds of counted subtrees.
+OUTSIDE, LINKS, INSIDE = range(3)
 
 
 def hash_of(text: str) -> int:
@@ -78,11 +93,14 @@ def _left_out(tag: str, attrs: str, inside_main: bool) -> bool:
     return False
 
 
-def blocks_of(html: str) -> list[tuple[str, list[int]]]:
-    """The blocks of a page that may be main text, in order, each with its subtrees' hashes (signed), outermost first."""
-    hashes: list[int] = []  # of closed elements, by number
+def parsed(html: str) -> tuple[list[tuple[str, list[int], bool]], dict[int, tuple[int, int, int, bool, int]]]:
+    """(blocks, subtrees) of a page. A block that structure doesn't rule out: (text, its elements' numbers from outside, in main).
+
+    A subtree by its number: (content, shape, parent, in main, characters; the last below 0 if most are in links), hashes signed.
+    """
+    trees: dict[int, tuple[int, int, int, bool, int]] = {}
+    count = 1
     stack = [_Node("", False, False, 0)]
-    hashes.append(0)
     found: list[tuple[str, list[int], bool]] = []
     parts: list[str] = []
     where: list[_Node] = stack[:]
@@ -96,10 +114,16 @@ def blocks_of(html: str) -> list[tuple[str, list[int]]]:
     def close(upto: int):
         nonlocal where
         while len(stack) > upto:
-            node = stack.pop()
-            hashes[node.id] = node.h
-            stack[-1].h = hash_of(f"{stack[-1].h},{node.h}") if node.tag else 0
+            node, top = stack.pop(), stack[-1]
+            top.h = hash_of(f"{top.h},{node.h}")
+            if node.shape != top.last:
+                top.shape = hash_of(f"{top.shape},{node.shape}")
+                top.last = node.shape
+            top.chars += node.chars
+            top.linked += node.linked
             if node.tag in BLOCKS:
+                if node.chars and node.tag not in KEPT:
+                    trees[node.id] = node.h, node.shape, top.id, node.main, -node.chars if 2 * node.linked >= node.chars else node.chars
                 flush()
                 where = stack[:]
 
@@ -109,6 +133,8 @@ def blocks_of(html: str) -> list[tuple[str, list[int]]]:
             top, s = stack[-1], html[a:b]
             if not s.isspace():
                 top.h = hash_of(f"{top.h}:{s}")
+                top.chars += len(s)
+                top.linked += top.link * len(s)
             if not top.out:
                 parts.append(s)
 
@@ -159,8 +185,9 @@ def blocks_of(html: str) -> list[tuple[str, list[int]]]:
             continue
         top = stack[-1]
         out = top.out or _left_out(tag, m[3], top.main)
-        node = _Node(tag, out, top.main or tag in ("article", "main") and not out, len(hashes))
-        hashes.append(0)
+        names = " ".join(sorted(x for k, a, b, c, _ in _ATTR.findall(m[3]) if k.lower() == "class" for x in (a or b or c).split())) if m[3] else ""
+        node = _Node(tag, out, top.main or tag in ("article", "main") and not out, count, names, top.link or tag == "a")
+        count += 1
         stack.append(node)
         if tag in BLOCKS:
             where = stack[:]
@@ -171,55 +198,88 @@ def blocks_of(html: str) -> list[tuple[str, list[int]]]:
             at = to
     close(1)
     flush()
-    if any(main for _, _, main in found):
-        found = [x for x in found if x[2]]
-    signed = np.array(hashes, np.uint64).view(np.int64).tolist()
-    return [(text, [signed[k] for k in chain]) for text, chain, _ in found]
+    sign = lambda x: x - (1 << 64) if x >> 63 else x
+    return found, {k: (sign(h), sign(shape), *rest) for k, (h, shape, *rest) in trees.items()}
+
+
+def _keys(tree: tuple[int, int, int, bool, int]) -> list[tuple[int, int]]:
+    """(kind, hash) by which a subtree is counted."""
+    content, shape, _, inside, chars = tree
+    return [(INSIDE, content)] if inside else [(OUTSIDE, content), (LINKS, shape)] if chars < 0 else [(OUTSIDE, content)]
+
+
+def main_text(html: str, gone: set[tuple[int, int]]) -> tuple[str, int, int]:
+    """(text, template subtrees deleted, blocks in them) of a page, ``gone`` being its host's template."""
+    blocks, trees = parsed(html)
+    hit = {k: t for k, t in trees.items() if any(x in gone for x in _keys(t))}
+    tops = {k: t for k, t in hit.items() if not _within(t[2], hit, trees)}
+    if 2 * sum(abs(t[4]) for t in tops.values()) > sum(abs(t[4]) for t in trees.values() if t[2] not in trees):
+        tops = {k: t for k, t in hit.items() if t[4] < 0}
+        tops = {k: t for k, t in tops.items() if not _within(t[2], tops, trees)}
+    left = [x for x in blocks if tops.keys().isdisjoint(x[1])]
+    n = len(blocks) - len(left)
+    if any(main for _, _, main in left):
+        left = [x for x in left if x[2]]
+    return "\n\n".join(t for t, _, _ in left), len(tops), n
+
+
+def _within(k: int, some: dict, trees: dict) -> bool:
+    """Whether subtree k or one around it is in ``some``."""
+    while k in trees:
+        if k in some:
+            return True
+        k = trees[k][2]
+    return False
 
 
-def _chains(batches):
-    """Each page's host with the hashes of its subtrees that hold blocks."""
+def _counted(batches):
+    """Each page's host with the subtrees by which it counts."""
+    kind = pa.list_(pa.struct([("kind", pa.int8()), ("h", pa.int64())]))
     for whole in batches:
         for b in common.slices(whole, "html"):
-            hashes = [sorted({h for _, c in blocks_of(x or "") for h in c}) for x in b.column(b.schema.get_field_index("html")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("host")), pa.array(hashes, pa.list_(pa.int64()))], ["host", "hashes"])
+            keys = [sorted({x for t in parsed(x or "")[1].values() for x in _keys(t)}) for x in b.column(b.schema.get_field_index("html")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("host")), pa.array([[{"kind": k, "h": h} for k, h in x] for x in keys], kind)], ["host", "keys"])
 
 
 def _texts(batches):
-    """Each page's text without the blocks in subtrees of its host's template."""
+    """Each page's text without its host's template."""
     for whole in batches:
         for b in common.slices(whole, "html"):
-            texts, removed = [], []
-            for html, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                blocks, gone = blocks_of(html or ""), set(gone or ())
-                left = [t for t, c in blocks if gone.isdisjoint(c)]
-                texts.append("\n\n".join(left))
-                removed.append(len(blocks) - len(left))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64())], ["page_id", "url", "text", "n_chars", "n_removed"])
+            rows = [main_text(html or "", {(x["kind"], x["h"]) for x in gone or ()}) for html, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts, trees, blocks = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), *[pa.array(x, pa.int64()) for x in ([len(x) for x in texts], trees, blocks)]],
+                ["page_id", "url", "text", "n_chars", "n_template", "n_removed"],
+            )
 
 
-def template(pages: DataFrame, *, share: float = 0.9, least: int = 10) -> DataFrame:
-    """Of (host, html): (host, gone), the hashes of the subtrees that recur on ``share`` of a host's pages, ``least`` or more.
+def template(pages: DataFrame, *, common_pages: int = 2, share: float = 0.3, share_inside: float = 0.9) -> DataFrame:
+    """Of (host, html): (host, gone), the subtrees (kind, h) that recur on the host's pages as the module says.
 
-    A hash is on most of its host's pages, so a host has hardly more of them than a page has elements.
+    A host's template has hardly more subtrees than a page has elements, as each is on a good part of the pages. Counts
+    are added up before the shuffle; a hot host's are spread by the hash.
     """
-    trees = common.arrow_map(pages, _chains, "host string, hashes array<bigint>").select("host", F.explode("hashes").alias("h"))
-    sizes = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages")).filter(F.col("_pages") >= least)
-    counts = trees.groupBy("host", "h").count().filter(F.col("count") >= least)
-    often = counts.join(sizes, F.col("host") == F.col("_host")).filter(F.col("count") >= share * F.col("_pages"))
-    return often.groupBy("host").agg(F.collect_list("h").alias("gone"))
+    trees = common.arrow_map(pages, _counted, "host string, keys array<struct<kind: tinyint, h: bigint>>").select("host", F.explode("keys").alias("k"))
+    sizes = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("_pages"))
+    counts = trees.groupBy("host", "k").count().filter(F.col("count") >= common_pages)
+    part = F.when(F.col("k.kind") == INSIDE, F.lit(share_inside)).otherwise(F.lit(share))
+    # articles that are all of a host's few pages aren't told from template: nearly all pages are four at least
+    enough = (F.col("k.kind") != INSIDE) | (F.col("count") > 3)
+    often = counts.join(sizes, F.col("host") == F.col("_host")).filter(enough & (F.col("count") >= part * F.col("_pages")))
+    return often.groupBy("host").agg(F.collect_list("k").alias("gone"))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.9, least: int = 10) -> DataFrame:
-    """(page_id, url, text, n_chars, n_removed) of each row: blocks joined by two line feeds, and how many blocks the template took.
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """(page_id, url, text, n_chars, n_template, n_removed) of each row: blocks joined by two line feeds, and what the template took.
 
-    A null html is empty: its text is ''. The host is the url's, in lower case ('' for none). Repeated rows count as pages each
-    and get the same text. An empty table gives an empty result; other columns don't matter. Pages are parsed twice, which costs less than keeping
-    their blocks; the template is a table of its own, which Spark broadcasts if its size allows.
+    n_template: template subtrees deleted, n_removed: blocks in them that structure alone would have left. A null html
+    is empty: its text is ''. The host is the url's, in lower case ('' for none). Repeated rows count as pages each and
+    get the same text. An empty table gives an empty result; other columns don't matter. Pages are parsed twice, which
+    costs less than keeping their blocks; the template is a table of its own, which Spark broadcasts if its size allows.
     """
     url = F.col(url_col)
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     p = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    gone = common.staged(template(p.select("host", "html"), share=share, least=least), "template")
+    gone = common.staged(template(p.select("host", "html"), **options), "template")
     d = p.join(gone, "host", "left").select("page_id", "url", "html", "gone")
-    return common.arrow_map(d, _texts, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars bigint, n_removed bigint")
+    return common.arrow_map(d, _texts, f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars bigint, n_template bigint, n_removed bigint")
