@@ -253,7 +253,31 @@ def test_tiles():
     r = random.Random(2)
     for _ in range(60):
         a, b = [r.randrange(4) for _ in range(r.randrange(30))], [r.randrange(4) for _ in range(r.randrange(18))]
-        assert decontaminate.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute_tiles(a, b, 3)
+        assert decontaminate.tile(np.array(a, np.uint64), np.array(b, np.uint64), 3) == brute_tiles(a, b, 3), (a, b)
+
+
+def test_tile_of_one_word_throughout():
+    assert decontaminate.tile(np.full(300_000, 7, np.uint64), np.full(200, 7, np.uint64), 5) == 200
+    assert decontaminate.tile(np.full(300, 7, np.uint64), np.full(2000, 7, np.uint64), 5) == 300
+
+
+def test_decontamination_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    words = lambda x: "".join(c if c.isalpha() or c.isnumeric() else " " for c in (x or "").lower()).split()
+    docs = {r.doc_id: words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = set()
+    for i, b in items.items():
+        seeds = {tuple(b[k : k + 5]) for k in range(len(b) - 4)}
+        for d, a in docs.items():
+            near = sorted({k + x for k in range(len(a) - 4) if tuple(a[k : k + 5]) in seeds for x in range(5)})
+            if near:  # only what lies in shared seeds can be under tiles; a gap stays a gap
+                cut = [x for k, p in enumerate(near) for x in ([None, a[p]] if k and near[k - 1] != p - 1 else [a[p]])]
+                n = brute_tiles(cut, b, 5)
+                if n >= 0.5 * len(b):
+                    want.add((d, i, n, len(b)))
+    got = {(r.doc_id, r.item_id, r.covered, r.item_words) for r in QUERIES["op10_decontamination"](spark, sf).collect()}
+    assert want and got == want
 
 
 def test_leaks(spark, odd):
@@ -266,7 +290,9 @@ def test_leaks(spark, odd):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id long, text string")
     got = {(r.id, r.item_id, r.covered) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == {(2, 7, 30), (3, 7, 30)}
-    assert {r.id for r in decontaminate.leaks(docs, bench, block_words=1).collect()} == {2, 3}
+    short = spark.createDataFrame([(1, "w%d z1 z2" % 1), (2, "one two"), (2, None)], "item_id long, text string")
+    some = spark.createDataFrame([(1, "there is One, two!"), (1, "there is One, two!"), (2, "one or two"), (3, "one two " * 50_000)], "doc_id long, text string")
+    assert sorted((r.id, r.item_id, r.covered) for r in decontaminate.leaks(some, short).collect()) == [(1, 2, 2), (3, 2, 2)]
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [1, 4, 5, 6]
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(odd.limit(0), bench).count() == 0
 

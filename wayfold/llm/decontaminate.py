@@ -1,152 +1,225 @@
 """Benchmark decontamination by greedy string tiling with running Karp-Rabin (Wise, 1993).
 
-Words are lower-cased and stripped of punctuation. Each benchmark item's runs of ``seed`` words are hashed by a
-rolling hash; documents whose rolling hashes meet one of an item's are joined with that item, and the pair's words
-are tiled: the longest run of words that both have, unmarked, is marked in both, again and again, until no run of
-``seed`` words is left. The share of the item's words under tiles is its coverage: passages that were cut up and
-reordered count as much as whole ones.
-
-The benchmark is a query set against all documents: it is read in blocks of at most ``block_words`` words, each a
-broadcast of that size, so documents are never shuffled and no hot passage meets in a task.
+Words are lower-cased and stripped of punctuation. Runs of ``seed`` words are seeds. Of a document only the stretches
+of words that lie in seeds of the benchmark matter, since every tile consists of such: a first map keeps these, with a
+bitmap of the benchmark's seed hashes of a fixed size, so that nearly all text stays where it is. Spark joins the
+stretches' seeds with the items' seeds by hash, and counts how many of an item's words the seeds that it shares with a
+document cover: tiles can't cover more. The pairs that may reach the threshold are tiled: the longest run of
+words that both have, unmarked, is marked in both, again and again, until none of ``seed`` words is left. The share of the item's
+words under tiles is its coverage: passages that were cut up and reordered count as much as whole ones.
+
+Neither the benchmark nor anything of the documents passes through the driver, but for the bitmap.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The bitmap has 2 ** BITS bits: 4 MB.
+BITS = 25
+
 
 def plain(text: Column) -> Column:
     """A text's words as they are compared, apart by one space: lower case, letters and digits alone."""
     return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
+class _Rolling:
+    """Karp-Rabin hashes of all runs of words of one text, any length, from sums of powers (modulo 2 ** 64)."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _ODD, np.uint64)]), dtype=np.uint64)
+        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, inverse, np.uint64)]), dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n], dtype=np.uint64)])
+        self.marks = np.zeros(n + 1, np.int64)  # marked words before each place
+        self.free = np.ones(n, bool)
+
+    def mark(self, at: int, n: int) -> None:
+        self.free[at : at + n] = False
+
+    def settle(self) -> None:
+        self.marks[1:] = np.cumsum(~self.free)
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, hashes) of the unmarked runs of n words."""
+        at = np.flatnonzero(self.marks[n:] == self.marks[: len(self.marks) - n])
+        return at, (self.sums[at + n] - self.sums[at]) * self.back[at]
+
+
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> int:
     """How many words of ``b`` lie under tiles of ``a`` and ``b``: greedy string tiling, tiles of ``least`` words or more.
 
-    All places where runs of ``least`` words agree are found by hashes (Karp-Rabin) and grown to maximal matches once;
-    then the longest that is still unmarked is taken each time, and those it cuts are cut and put back.
+    The length of the longest unmarked run that both have is found by halving, each time hashing all runs of that
+    length (running Karp-Rabin): time grows with the texts' lengths, also where one word is repeated throughout. Runs of that
+    length are marked in the order of their place in b, then in a, as long as both sides are free.
     """
-    if len(a) < least or len(b) < least:
-        return 0
-    at: dict[bytes, list[int]] = {}
-    for j in range(len(b) - least + 1):
-        at.setdefault(b[j : j + least].tobytes(), []).append(j)
-    matches, ends = [], {}
-    for i in range(len(a) - least + 1):
-        for j in at.get(a[i : i + least].tobytes(), ()):
-            d = i - j
-            if ends.get(d, -1) > i:
-                continue  # inside the match before it on this diagonal
-            n = least
-            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-                n += 1
-            ends[d] = i + n - least + 1
-            matches.append((n, i, j))
-    free_a, free_b = np.ones(len(a), bool), np.ones(len(b), bool)
-    import heapq
-
-    heap = [(-n, j, i) for n, i, j in matches]
-    heapq.heapify(heap)
-    covered = 0
-    while heap:
-        n, j, i = heapq.heappop(heap)
-        n = -n
-        ok = free_a[i : i + n] & free_b[j : j + n]
-        if ok.all():
-            free_a[i : i + n] = free_b[j : j + n] = False
-            covered += n
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], ok.view(np.int8), [0]])))
-        for s, e in zip(edge[::2], edge[1::2]):
-            if e - s >= least:
-                heapq.heappush(heap, (-int(e - s), j + int(s), i + int(s)))
+    ra, rb = _Rolling(a), _Rolling(b)
+    top, covered = min(len(a), len(b)), 0
+
+    def both(n: int) -> bool:
+        return n == 0 or bool(np.isin(rb.runs(n)[1], ra.runs(n)[1]).any())
+
+    while top >= least and both(least):
+        low, high = least, top
+        while low < high:  # the longest common run
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if both(mid) else (low, mid - 1)
+        (pa, ha), (pb, hb) = ra.runs(low), rb.runs(low)
+        order = np.argsort(ha, kind="stable")
+        ha, pa = ha[order], pa[order]
+        here = np.searchsorted(ha, hb, "left")
+        till = np.searchsorted(ha, hb, "right")
+        next_of: dict[int, int] = {}
+        for j, first, end in zip(pb.tolist(), here.tolist(), till.tolist()):
+            if first == end or not rb.free[j : j + low].all():
+                continue
+            k = next_of.get(first, first)
+            while k < end and not ra.free[pa[k] : pa[k] + low].all():
+                k += 1
+            next_of[first] = k
+            if k < end and np.array_equal(a[pa[k] : pa[k] + low], b[j : j + low]):
+                ra.mark(int(pa[k]), low)
+                rb.mark(j, low)
+                covered += low
+        ra.settle()
+        rb.settle()
+        top = low - 1
     return covered
 
 
-class Block:
-    """Some benchmark items: the words of each, and a sorted table of their seeds with the items that have them."""
-
-    def __init__(self, items, words: np.ndarray, first: np.ndarray, seed: int):
-        self.items, self.words, self.first, self.seed = items, words, first, seed
-        h, runs = common.shingle_hashes(words, first, seed)
-        owner = np.repeat(np.arange(len(items)), np.diff(runs))
-        order = np.lexsort((owner, h))
-        self.h, self.owner = h[order], owner[order]
-        # a bitmap of the hashes' top bits settles most lookups
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.h >> np.uint64(42)).astype(np.int64)] = True
+def _runs(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seed hashes, each row's first one) for seeds of ``size`` words; a size has hashes of its own."""
+    h, runs = common.shingle_hashes(words, first, size)
+    return common.mix(h ^ np.uint64(size)), runs
 
-    def hits(self, words: np.ndarray, first: np.ndarray):
-        """(row, item) pairs that share a seed."""
-        h, runs = common.shingle_hashes(words, first, self.seed)
-        at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.h, h[at], "left"), np.searchsorted(self.h, h[at], "right")
-        row = np.searchsorted(runs, at, side="right") - 1
-        n = hi - lo
-        owner = self.owner[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        return np.unique(np.stack([np.repeat(row, n), owner], axis=1), axis=0)
 
-
-def _tiled(batches, shared, threshold: float, kind):
+def _seeded(batches, seed: int):
+    """Items as word hashes with their seeds and the bitmap's places; an item of fewer words has one seed of them all."""
     import pyarrow as pa
 
-    block = shared.value
     for whole in batches:
         for b in common.slices(whole, "text"):
             words, first = common.text_words(b.column(b.schema.get_field_index("text")))
-            found = []
-            for r, k in block.hits(words, first):
-                item = block.words[block.first[k] : block.first[k + 1]]
-                covered = tile(words[first[r] : first[r + 1]], item, block.seed)
-                if covered >= threshold * len(item):
-                    found.append((r, k, covered, len(item)))
-            r, k, c, n = (np.array(x, np.int64) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 4
-            ids = b.column(b.schema.get_field_index("id")).take(pa.array(r))
-            ver = b.column(b.schema.get_field_index("v")).take(pa.array(r))
-            yield pa.RecordBatch.from_arrays([ids, ver, block.items.take(pa.array(k)), pa.array(c), pa.array(n)], ["id", "v", "item_id", "covered", "item_words"])
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, threshold: float = 0.5, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            size = np.minimum(np.diff(first), seed)
+            out, starts = [np.zeros(0, np.uint64)], np.zeros(len(b) + 1, np.int64)
+            for k in range(len(b)):
+                h = _runs(words[first[k] : first[k + 1]], np.array([0, first[k + 1] - first[k]]), int(size[k]))[0]
+                out.append(h)
+                starts[k + 1] = starts[k] + len(h)
+            cols = b.column(b.schema.get_field_index("item_id")), common.list_array(words, first), pa.array(size), common.list_array(np.concatenate(out), starts)
+            yield pa.RecordBatch.from_arrays(list(cols), ["item_id", "b", "size", "seeds"])
+
+
+def _stretches(batches, shared, sizes: list[int]):
+    """Of each document the words in seeds that the bitmap may have, with a word of its own between stretches, and these seeds."""
+    import pyarrow as pa
+
+    bits = shared.value
+    shift = np.uint64(64 - BITS)
+    for whole in batches:
+        for part in common.slices(whole, "text"):
+            words, first = common.text_words(part.column(part.schema.get_field_index("text")))
+            inside = np.zeros(len(words) + 1, np.int64)
+            seeds, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for size in sizes:
+                h, runs = _runs(words, first, size)
+                place = (h >> shift).astype(np.int64)
+                hit = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+                row = np.searchsorted(runs, hit, side="right") - 1
+                at = hit - runs[row] + first[row]
+                np.add.at(inside, at, 1)
+                np.add.at(inside, at + size, -1)
+                seeds.append(h[hit])
+                rows.append(row)
+            seeds, rows = np.concatenate(seeds), np.concatenate(rows)
+            if not len(rows):
+                continue
+            # what is outside is one odd word, however long: its row's own number makes tiles end there
+            covered = np.cumsum(inside[:-1]) > 0
+            edge = np.ones(len(words), bool)
+            edge[1:] = covered[1:] != covered[:-1]
+            edge[first[:-1][first[:-1] < len(words)]] = True
+            kept = covered | edge
+            own = np.where(covered, words, common.mix(np.arange(len(words), dtype=np.uint64) + _ODD))[kept]
+            upto = np.concatenate([[0], np.cumsum(kept)])[first]
+            # each seed of a row once
+            order = np.lexsort((seeds, rows))
+            seeds, rows = seeds[order], rows[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (seeds[1:] != seeds[:-1])
+            seeds, rows = seeds[new], rows[new]
+            of = np.searchsorted(rows, np.arange(len(part) + 1))
+            some = np.flatnonzero(np.diff(of))
+            a = common.list_array(own, upto).take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), part.column(1).take(pa.array(some)), a, common.list_array(seeds, of).take(pa.array(some))], ["id", "v", "a", "seeds"])
+
+
+def _tiled(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        covered = [tile(np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64), n) for x, y, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())]
+        words = [len(y) for y in b.column(4).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(covered, pa.int64()), pa.array(words, pa.int64())], ["id", "v", "item_id", "covered", "item_words"])
+
+
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """The bitmap of seed hashes: at most 2 ** (BITS - 6) whole numbers reach the driver, whatever the benchmark's size."""
+    place = F.shiftrightunsigned("h", 64 - BITS)
+    parts = seeds.groupBy(F.shiftright(place, 6).alias("k")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - BITS}) & 63))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[parts["k"].to_numpy()] = parts["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, v, item_id, covered, item_words) of documents with at least ``threshold`` of an item's words under tiles; v is the text's hash.
 
     Null and empty texts and items have no words and no leaks; items of fewer words than ``seed`` are sought by all
-    their words. Rows and items that are repeated are reported each time. Other columns don't matter.
+    their words. Rows alike in id and text are reported once, and so are items; items of one id with different texts are
+    items each. Of equal tiles the one first in the item, then first in the document, is taken. An empty table on either
+    side gives an empty result. Other columns don't matter, whatever their names.
     """
-    import pyarrow as pa
-
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").alias("item_id"), plain(F.col("text")).alias("text")).filter("text <> ''")
-    items = items.withColumn("n", common.word_count(F.col("text")))
+    scratch = common.Scratch(spark)
+    items = benchmark.select(F.col("item_id").alias("item_id"), plain(F.col("text")).alias("text")).filter("text <> ''").distinct()
     kinds = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"], dict(items.dtypes)["item_id"]
+    items = common.arrow_map(items, lambda it: _seeded(it, seed), f"item_id {kinds[1]}, b array<bigint>, size bigint, seeds array<bigint>")
+    items = scratch.staged(items.withColumn("k", F.xxhash64("b", "item_id")), "items")
+    placed = items.select("k", "size", F.posexplode("seeds").alias("pos", "h"))
+    sizes = [r["size"] for r in items.select("size").distinct().collect()]  # ``seed`` numbers at most
+    shared = spark.sparkContext.broadcast(_bitmap(placed.select("h").distinct()))
+
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), plain(F.col(text_col)).alias("text")).filter("text <> ''")
-    out, schema = [], f"id {kinds[0]}, v bigint, item_id {kinds[1]}, covered bigint, item_words bigint"
-
-    def search(part: list, size: int) -> None:
-        ids, texts = pa.array([r.item_id for r in part]), pa.array([r.text for r in part], pa.string())
-        words, first = common.text_words(texts)
-        shared = spark.sparkContext.broadcast(Block(ids, words, first, size))
-        out.append(common.arrow_map(d, lambda it: _tiled(it, shared, threshold, kinds), schema))
-
-    waiting: dict[int, tuple[list, int]] = {}
-    for r in items.toLocalIterator():  # a block at a time is held
-        size = min(seed, r.n)
-        part, n = waiting.get(size, ([], 0))
-        part.append(r)
-        waiting[size] = (part, n + r.n)
-        if n + r.n >= block_words:
-            search(*(waiting.pop(size)[0], size))
-    for size, (part, _) in sorted(waiting.items()):
-        search(part, size)
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], schema)
+    found = common.arrow_map(d, lambda it: _stretches(it, shared, sizes), f"id {kinds[0]}, v bigint, a array<bigint>, seeds array<bigint>")
+    found = scratch.staged(found.withColumn("r", F.xxhash64("id", "v", "a")), "stretches")
+    hits = found.select("r", F.explode("seeds").alias("h")).distinct().join(placed, "h")
+    pairs = hits.groupBy("r", "k", "size").agg(F.array_sort(F.collect_set(F.col("pos").cast("bigint"))).alias("at"))
+    # words of an item in the seeds it shares: each adds those that the seed before doesn't have
+    reach = F.aggregate(
+        "at",
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-(10**9)).cast("bigint").alias("last")),
+        lambda s, p: F.struct((s["n"] + F.least(F.col("size"), p - s["last"])).alias("n"), p.alias("last")),
+        lambda s: s["n"],
+    )
+    pairs = pairs.select("r", "k", reach.alias("reach")).join(items.select("k", "item_id", "b", "size"), "k").filter(F.col("reach") >= threshold * F.size("b"))
+    texts = found.select("r", "id", "v", "a").dropDuplicates(["r"])
+    tiled = common.arrow_map(pairs.join(texts, "r").select("id", "v", "item_id", "a", "b", "size"), _tiled, f"id {kinds[0]}, v bigint, item_id {kinds[1]}, covered bigint, item_words bigint")
+    out = scratch.staged(tiled.filter(F.col("covered") >= threshold * F.col("item_words")), "leaks")
+    scratch.drop(but=(out,))
+    shared.destroy()
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that hold a benchmark item."""
-    gone = common.staged(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("_id_"), F.col("v").alias("_v_")).distinct(), "leaks")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id_"]) & (F.xxhash64(docs[text_col]) == gone["_v_"]), "left_anti")
+    """The rows of ``docs``, all columns, without those that hold a benchmark item. Other columns may have any names."""
+    gone = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select("id", "v").distinct()
+    on = docs[id_col].eqNullSafe(gone["id"]) & (F.xxhash64(docs[text_col]) == gone["v"])
+    return docs.join(gone, on, "left_anti")
