@@ -13,7 +13,7 @@ def test_stages(spark, sf):
         before, docs = docs, stage(spark, docs, sf).cache()
         rows[name] = docs.count()
         if name == "toxicity":
-            flags = {r.doc_id: r._flagged for r in toxicity.classify(before, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+            flags = {r.doc_id: r.flagged for r in toxicity.classify(before, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
             assert {r.doc_id for r in docs.collect()} == {d for d, f in flags.items() if not f}
         elif name == "near_dedup":
             texts = sorted((r.doc_id, r.text) for r in before.collect())

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.llm import chat, common, decontaminate, editcount, encode, linededup, mixing, pages, quality, sstable, toxicity
+from wayfold.llm import chat, common, decontaminate, editcount, encode, linededup, mixing, neardup, pages, quality, sstable, toxicity
 from wayfold.llm.queries import QUERIES, tokenizer_path
 
 ODD = [(1, None, "en", "s"), (2, "", None, None), (3, "a b c\nd e\nf\ng", "en", "s"), (3, "a b c\nd e\nf\ng", "en", "s"), (None, "x " * 20000, "en", None), (5, "q\nd e\nf\ng", "de", "t")]
@@ -92,7 +92,15 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_odd_rows(odd, empty_labels):
     got = toxicity.classify(odd, empty_labels).collect()
-    assert len(got) == 6 and all(0 <= r._score <= 1 for r in got)
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
+    clash = odd.withColumns({"score": F.lit("mine"), "flagged": F.lit("own"), "i": F.lit(1), "copy": F.lit(2), "id": F.lit(3), "v_": F.lit(4)})
+    kept = toxicity.clean(clash, empty_labels)
+    assert kept.columns == clash.columns and all(r.score == "mine" and r.flagged == "own" for r in kept.collect())
+    assert toxicity.classify(odd.limit(0), empty_labels).count() == 0
+    assert neardup.dedup(clash).columns == clash.columns and neardup.dedup(clash).count() == 5
+    assert mixing.mixed(clash).columns == clash.columns and all(r.copy == 2 and r.i == 1 for r in mixing.mixed(clash).collect())
+    bench = odd.sparkSession.createDataFrame([(1, "x " * 30)], "item_id long, text string")
+    assert decontaminate.clean(clash, bench).columns == clash.columns and {r.doc_id for r in decontaminate.clean(clash, bench).collect()} == {1, 2, 3, 5}
 
 
 def test_chat_recovers_roles(spark):

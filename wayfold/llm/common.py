@@ -17,6 +17,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores where a column of ``df`` has one already (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """mapInArrow of a generator function; a task's end gives freed memory back, since Python workers live on."""
 

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) of each vertex in ``edges`` (a, b); root is the least vertex of its component.
 
     Each round takes the least label among neighbours and then the label's own label, until no label changes: the
     rounds grow with the logarithm of a component's diameter. Labels are a table in the shared folder after each
-    round; nothing but the number of changes reaches the driver.
+    round, which takes the place of the one before; nothing but the number of changes reaches the driver. Joins are of
+    plain shuffles on one side at least, so that Spark can split a hot vertex or root.
     """
-    edges = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = staged(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
+    edges = scratch.staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = scratch.staged(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
         new = labels.join(near, "v").select("v", F.least("root", "near").alias("up"), F.col("root").alias("old"))
         jump = labels.select(F.col("v").alias("up"), F.col("root").alias("top"))
-        labels = staged(new.join(jump, "up").select("v", F.least("up", "top").alias("root"), (F.least("up", "top") != F.col("old")).alias("changed")), "labels")
+        old, labels = labels, scratch.staged(new.join(jump, "up").select("v", F.least("up", "top").alias("root"), (F.least("up", "top") != F.col("old")).alias("changed")), "labels")
+        scratch.drop(old)
         if not labels.filter("changed").limit(1).count():
+            scratch.drop(edges)
             return labels.select("v", "root")

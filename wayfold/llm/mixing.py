@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame functions alone.
 
-Every document draws an exponential key, -ln(u) / quality weight, with u from a hash of its id: the same id has the
-same key in every run. In the order of these keys, a prefix of a source is a weighted sample without replacement.
+Every document draws an exponential key, -ln(u) / quality weight, with u from a hash of its id (of its text where that is
+null): the same row has the same key in every run. In the order of these keys, a prefix of a source is a weighted sample without replacement.
 A source takes whole epochs of itself first and fills the rest of its target with such a prefix.
 
 The order within a source is found in two steps, so that no task holds a whole source: keys fall into buckets of
@@ -67,7 +67,7 @@ def _taken(
 ) -> DataFrame:
     """mix() with the hash of each text, _tie."""
     text, size = F.col(text_col), common.word_count(F.col(text_col))
-    u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + 1) / _TOP
+    u = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), text, F.lit(""))), 1, 13), 16, 10).cast("double") + 1) / _TOP
     base = common.staged(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -113,21 +113,24 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     """The rows of ``docs``, all columns, each as often as the mix takes it.
 
     The document at the edge of a budget comes once more if at least half of it is taken; documents without words are
-    never taken. Rows alike in id, text and source come alike, by the mean of what they take.
+    never taken. Rows alike in id, text and source come alike, by the mean of what they take, so that
+    a source's words can differ from its target by half a document for the edge and half a copy for each such group of rows.
+    Columns may have any names.
     """
     plan = _taken(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)
-    times = plan.groupBy(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("_tie").alias("_t")).agg(F.round(F.avg(share)).cast("int").alias("_times"))
-    times = times.filter("_times > 0")
-    on = docs[id_col].eqNullSafe(times["_i"]) & docs[source_col].eqNullSafe(times["_s"]) & (F.xxhash64(docs[text_col]) == times["_t"])
-    out = docs.join(times, on).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times"))))
-    return out.select([docs[c] for c in docs.columns])
+    i, s, t, n, copy = common.unused(docs, "i", "s", "t", "n", "copy")
+    times = plan.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("_tie").alias(t)).agg(F.round(F.avg(share)).cast("int").alias(n))
+    times = times.filter(F.col(n) > 0)
+    on = docs[id_col].eqNullSafe(times[i]) & docs[source_col].eqNullSafe(times[s]) & (F.xxhash64(docs[text_col]) == times[t])
+    out = docs.join(times, on).withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col(n))))
+    return out.drop(i, s, t, n, copy)
 
 
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496)
+         -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, text, '')), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496)
            / greatest(10, 100 - (len(regexp_extract_all(text, '[#*$%&|<>]')) * 500) // greatest(length(text), 1)) AS key,
          text
   FROM documents),

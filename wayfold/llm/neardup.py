@@ -156,13 +156,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(a, "a").join(b, "b").filter(near).select("a", "b")
 
 
-def _meeting(sets: DataFrame, strays: DataFrame, similarity: float) -> DataFrame:
+def _meeting(sets: DataFrame, strays: DataFrame, similarity: float, scratch: common.Scratch) -> DataFrame:
     """Pairs (a, b) of a stray and another of ``sets`` (v, s, root), of different roots, that may have that similarity."""
     shingles = sets.select("v", "root", F.size("s").alias("n"), F.explode("s").alias("h"))
     often = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("often"))
     ranked = shingles.join(often, "h").groupBy("v", "root", "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("x"))
     prefix = F.slice("x", F.lit(1), (F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1).cast("int"))
-    ranked = common.staged(ranked.select("v", "root", "n", F.posexplode(prefix).alias("i", "e")).filter("e.often > 1").select("v", "root", "n", "i", "e.h"), "ranked")
+    ranked = scratch.staged(ranked.select("v", "root", "n", F.posexplode(prefix).alias("i", "e")).filter("e.often > 1").select("v", "root", "n", "i", "e.h"), "ranked")
     ranked = ranked.join(strays.withColumn("stray", F.lit(True)), "v", "left").withColumn("stray", F.coalesce("stray", F.lit(False)))
     left = ranked.filter("stray").drop("stray")
     right = ranked.select(F.col("v").alias("w"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("i").alias("j"), "h", "stray")
@@ -172,11 +172,11 @@ def _meeting(sets: DataFrame, strays: DataFrame, similarity: float) -> DataFrame
     return pairs.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
 
 
-def _mixed(keyed: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed(keyed: DataFrame, roots: DataFrame, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
     """Rows (h, v, root) of buckets with several components, and each such bucket's largest one (h, main)."""
     now = keyed.join(roots, "v", "left").select("h", "v", F.coalesce("root", "v").alias("root"))
     mixed = now.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("h")
-    now = common.staged(now.join(mixed, "h"), "mixed")
+    now = scratch.staged(now.join(mixed, "h"), "mixed")
     return now, now.groupBy("h", "root").count().groupBy("h").agg(F.max(F.struct("count", "root")).alias("m")).select("h", F.col("m.root").alias("main"))
 
 
@@ -189,49 +189,55 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     row is repeated. Texts without words, null ones too, are each only like their equals. A text of fewer than
     ``width`` words has one shingle of them all. An empty table gives an empty result; other columns don't matter.
     """
+    scratch = common.Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select(F.unhex(F.md5("text")).alias("v"), "id", "text")
     kind = dict(docs.dtypes)["id"]
-    signed = common.staged(common.arrow_map(docs, lambda it: _signed(it, k, bands, width), f"v binary, id {kind}, bands array<bigint>"), "signed")
+    signed = scratch.staged(common.arrow_map(docs, lambda it: _signed(it, k, bands, width), f"v binary, id {kind}, bands array<bigint>"), "signed")
     texts = signed.filter(F.size("bands") > 0).groupBy("v").agg(F.first("bands").alias("bands"))
     keyed = texts.select("v", F.explode(F.array_distinct("bands")).alias("h"))
     shared = keyed.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x <> y").select("h")
-    keyed = common.staged(keyed.join(shared, "h").select("h", "v"), "buckets")
+    keyed = scratch.staged(keyed.join(shared, "h").select("h", "v"), "buckets")
     involved = keyed.select("v").distinct()
     once = docs.join(involved, "v").groupBy("v").agg(F.first("text").alias("text"))
-    sets = common.staged(common.arrow_map(once, lambda it: _sets(it, width), "v binary, s array<bigint>"), "sets")
+    sets = scratch.staged(common.arrow_map(once, lambda it: _sets(it, width), "v binary, s array<bigint>"), "sets")
 
     pivots = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("v").alias("o"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
+    pivots = scratch.staged(pivots, "pivots")
     pairs = keyed.join(pivots, "h").filter("v <> w").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    links = common.staged(_verified(pairs, sets, similarity), "links")
-    roots = components(links)
+    links = scratch.staged(_verified(pairs, sets, similarity), "links")
+    roots = components(links, scratch)
 
     # strays meet the member of their bucket's main component that has most links so far: it is near the middle
     ends = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("links"))
-    now, sizes = _mixed(keyed, roots)
+    now, sizes = _mixed(keyed, roots, scratch)
     main = now.join(sizes, "h").join(ends, "v", "left").filter("root = main")
     hubs = main.groupBy("h").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
     pairs = now.join(sizes, "h").filter("root <> main").join(hubs, "h").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    links = links.union(common.staged(_verified(pairs, sets, similarity), "links"))
-    roots = components(links)
+    links = links.union(scratch.staged(_verified(pairs, sets, similarity), "links"))
+    roots = components(links, scratch)
 
-    now, sizes = _mixed(keyed, roots)
+    now, sizes = _mixed(keyed, roots, scratch)
     strays = now.join(sizes, "h").filter("root <> main").select("v").distinct()
-    pairs = _meeting(sets.join(now.select("v", "root").distinct(), "v"), strays, similarity)
-    links = links.union(common.staged(_verified(pairs, sets, similarity), "links"))
-    roots = components(links)
+    pairs = _meeting(sets.join(now.select("v", "root").distinct(), "v"), strays, similarity, scratch)
+    links = links.union(scratch.staged(_verified(pairs, sets, similarity), "links"))
+    roots = components(links, scratch)
 
     members = signed.join(roots, "v", "left").select("id", "v", F.coalesce("root", "v").alias("root"))
-    members = common.staged(members, "members")
+    members = scratch.staged(members, "members")
+    # a table of its own: a join of two plain shuffles is one whose hot roots Spark splits
     heads = members.groupBy("root").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "v"))).alias("m"), F.min("v").alias("mv"), F.count(F.lit(1)).alias("class_size"))
     heads = heads.select("root", F.col("m.id").alias("class_id"), F.coalesce(F.col("m.v"), F.col("mv")).alias("head"), "class_size")
+    heads = scratch.staged(heads, "heads")
+    scratch.drop(but=(members, heads))
     return members.join(heads, "root").select("id", "v", "class_id", "class_size", (F.col("id").eqNullSafe(F.col("class_id")) & (F.col("v") == F.col("head"))).alias("first"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their class; of a repeated row, one."""
+    """The rows of ``docs``, all columns whatever their names, that stand for their class; of rows alike in id and text, one."""
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
-    heads = found.filter("first").select(F.col("id").alias("_id_"), F.col("v").alias("_v_")).distinct()
-    d = docs.withColumn("_v_", F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    d = d.join(heads, F.col(id_col).eqNullSafe(F.col("_id_")) & (d["_v_"] == heads["_v_"]), "left_semi")
-    return d.dropDuplicates([id_col, "_v_"]).drop("_v_")
+    i, v = common.unused(docs, "id", "v")
+    heads = found.filter("first").select(F.col("id").alias(i), F.col("v").alias(v)).distinct()
+    d = docs.withColumn(v, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    d = d.join(heads, F.col(id_col).eqNullSafe(heads[i]) & (d[v] == heads[v]), "left_semi")
+    return d.dropDuplicates([id_col, v]).drop(v)

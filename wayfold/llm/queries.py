@@ -31,9 +31,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         toxicity.held_out(F.col("doc_id")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.3).cast("int").alias("predicted"),
-        F.col("_flagged").alias("flagged"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        "flagged",
     )
 
 

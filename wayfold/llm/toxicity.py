@@ -208,36 +208,38 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, max_chars:
     return model, best_cutoffs(known.withColumn("fitted", F.coalesce("fitted", F.lit(False))))
 
 
-def best_cutoffs(known: DataFrame) -> dict[str, float]:
-    """Of rows (lang, score, toxic, fitted): each language's cutoff of best F1, of equals the one nearest to 0.3.
+def best_cutoffs(known: DataFrame, *, prior: float = 20.0, default: float = 0.3) -> dict[str, float]:
+    """Of rows (lang, score, toxic, fitted): each language's cutoff of best F1, of equals the one nearest to ``default``.
 
-    Only rows not fitted on say how many of a class a cutoff flags; these shares apply to all of the class's rows, as
-    fitting takes rows of one class more often than of the other. Languages with under 20 rows to tell by, or none of
-    a class they have, get no cutoff. A few numbers a language come to the driver.
+    Only rows not fitted on say what share of a class a cutoff flags; these shares apply to all of the class's rows, as
+    fitting takes rows of one class more often than of the other. Each language also gets ``prior`` rows of a class
+    that are as all languages together, and these as many that ``default`` parts rightly: they settle where rows are few. A few numbers a language come to the driver.
     """
     level = sum((F.col("score") >= t).cast("int") for t in CUTOFFS)
     counts = known.filter("lang IS NOT NULL").groupBy("lang", F.col("toxic").cast("int").alias("toxic"), "fitted", level.alias("level")).count().collect()
-    found = {}
-    for name in sorted({r.lang for r in counts}):
-        seen, whole = np.zeros((2, len(CUTOFFS) + 1)), np.zeros(2)
-        for r in counts:
-            if r.lang == name:
-                y = int(r.toxic == 1)
-                whole[y] += r["count"]
-                if not r.fitted:
-                    seen[y, r.level] += r["count"]
-        n = seen.sum(axis=1)
-        if n.sum() < 20 or ((n == 0) & (whole > 0)).any():
-            continue
-        # a row of level k reaches the first k cutoffs
-        flagged = (seen[:, ::-1].cumsum(axis=1)[:, ::-1] / np.maximum(n, 1)[:, None] * whole[:, None])[:, 1:]
-        f1 = 2 * flagged[1] / np.maximum(1e-9, flagged.sum(axis=0) + whole[1])
-        found[name] = min((t for t, f in zip(CUTOFFS, f1) if f >= f1.max() - 1e-12), key=lambda t: abs(t - 0.3))
-    return found
+    names = sorted({r.lang for r in counts})
+    seen, whole = np.zeros((len(names), 2, len(CUTOFFS) + 1)), np.zeros((len(names), 2))
+    for r in counts:
+        at, y = names.index(r.lang), int(r.toxic == 1)
+        whole[at, y] += r["count"]
+        if not r.fitted:
+            seen[at, y, r.level] += r["count"]
+    if not names:
+        return {}
+    every, at = seen.sum(axis=0), CUTOFFS.index(default)
+    every[1, at + 1] += prior  # toxic rows that just reach it
+    every[0, at] += prior  # others that just don't
+    seen += prior * every / every.sum(axis=1, keepdims=True)
+    whole += prior * whole.sum(axis=0) / whole.sum()
+    # a row of level k reaches the first k cutoffs
+    share = (seen[..., ::-1].cumsum(axis=2)[..., ::-1] / seen.sum(axis=2, keepdims=True))[..., 1:]
+    flagged = share * whole[:, :, None]
+    f1 = 2 * flagged[:, 1] / (flagged.sum(axis=1) + whole[:, 1:])
+    return {x: min((t for t, f in zip(CUTOFFS, row) if f >= row.max() - 1e-12), key=lambda t: abs(t - default)) for x, row in zip(names, f1)}
 
 
 def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score of each text; null counts as empty."""
+    """``docs`` with the score of each text as column ``name``; null counts as empty. Repeated rows are scored alike."""
 
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` words of 8 numbers and a table of 8 MB
 
@@ -252,10 +254,29 @@ def scored(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
     return docs.withColumn(name, score(F.col(text_col)))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", default: float = 0.3, **options) -> DataFrame:
-    """``docs`` with _score and _flagged: whether the score reaches its language's threshold, or ``default`` where there is none."""
+def _judged(docs: DataFrame, labels: DataFrame, names: list[str], *, id_col: str, text_col: str, stratum_col: str, default: float, **options) -> DataFrame:
+    score, flagged = names
     model, thresholds = train(docs, labels, id_col=id_col, text_col=text_col, stratum_col=stratum_col, **options)
     limit = F.lit(default)
     for lang, t in thresholds.items():
         limit = F.when(F.col(stratum_col) == lang, t).otherwise(limit)
-    return scored(docs, model, text_col=text_col, name="_score").withColumn("_threshold", F.coalesce(limit, F.lit(default))).withColumn("_flagged", F.col("_score") >= F.col("_threshold"))
+    return scored(docs, model, text_col=text_col, name=score).withColumn(flagged, F.col(score) >= limit)
+
+
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", default: float = 0.3, **options) -> DataFrame:
+    """(doc_id, lang, score, flagged) of each row: whether the score reaches its language's threshold, or ``default`` where there is none.
+
+    Null and empty texts are scored as texts without words; a null language has the default threshold; repeated rows are
+    scored alike. Without labels of both classes no word counts and all scores are 0.5 or so. An empty table gives an
+    empty result. Other columns don't matter, whatever their names.
+    """
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("lang"))
+    found = _judged(d, labels, ["score", "flagged"], id_col="doc_id", text_col="text", stratum_col="lang", default=default, **options)
+    return found.select("doc_id", "lang", "score", "flagged")
+
+
+def clean(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", default: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` that classify() doesn't flag, all columns, whatever their names."""
+    names = common.unused(docs, "score", "flagged")
+    found = _judged(docs, labels, names, id_col=id_col, text_col=text_col, stratum_col=stratum_col, default=default, **options)
+    return found.filter(~F.col(names[1])).drop(*names)
