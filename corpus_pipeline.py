@@ -13,8 +13,7 @@ from wayfold.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = toxicity.classify(docs, common.read(spark, sf_dir, "labels"))
-    return found.filter("not _flagged").select(docs.columns)
+    return toxicity.clean(docs, common.read(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    docs, scratch = common.read(spark, sf_dir, "documents"), common.Scratch(spark)
     for name, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir), name)
+        made = scratch.staged(stage(spark, docs, sf_dir), name)
+        scratch.drop(but=(made,))  # what the stage read
+        docs = made
     return docs
