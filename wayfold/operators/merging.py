@@ -77,12 +77,18 @@ def within_mergeable(a: Column, b: Column) -> Column:
     return a["nolo"] | b["nolo"] | near | (time_gap(a, b) >= 0)
 
 
-def consumption(a: Column, b: Column, inside: Column | None = None) -> Column:
-    """Score from 0 (impossible) to 5 of item ``a`` taking item ``b``, without a classifier. ``inside``: b's share inside a, for a visit and a path."""
+def consumption(a: Column, b: Column, inside: Column | None = None, fit: Column | None = None) -> Column:
+    """Score from 0 (impossible) to 5 of item ``a`` taking item ``b``.
+
+    ``inside``: b's share inside a, for a visit and a path. ``fit``: the classifier's score of b for a's type, null if it
+    has none; without it, paths of differing types don't merge.
+    """
     overlap = F.coalesce(item_distance(a, b) < 0, F.lit(False))
     all_inside = F.floor((F.lit(0.0) if inside is None else inside) * 10) == 10
     path_visit = F.when(b["keeper"], 0).when(a["keeper"], F.when(~b["valid"], 3).otherwise(2)).otherwise(F.when(~b["valid"], 2).otherwise(1))
-    path_path = F.when(a["kind"].isNull() & b["kind"].isNull(), 3).when(a["kind"].eqNullSafe(b["kind"]), 5).otherwise(0)
+    path_path = F.when(a["kind"].isNull() & b["kind"].isNull(), 3).when(a["kind"].eqNullSafe(b["kind"]), 5).otherwise(
+        0 if fit is None else F.when(b["keeper"] | a["kind"].isNull() | fit.isNull(), 0).otherwise(type_score(fit))
+    )
     visit = F.when(b["is_visit"], F.when(overlap, F.when(a["duration"] > b["duration"], 5).otherwise(4)).otherwise(0)).otherwise(
         F.when(a["valid"] & ~b["valid"], F.when(all_inside, 2).otherwise(1)).otherwise(0)
     )
@@ -99,6 +105,11 @@ def consumption(a: Column, b: Column, inside: Column | None = None) -> Column:
     )
 
 
+def root_score(score: Column, *, locked: Column, consumer_deleted: Column, consumee_empty: Column, consumer_empty: Column) -> Column:
+    """What comes before any consumption() score: locked items and deleted or empty consumers take nothing, an empty item is taken at once."""
+    return F.when(locked | consumer_deleted, 0).when(consumee_empty, 5).when(consumer_empty, 0).otherwise(score)
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """(device_id, keeper, betweener, deadman) structs: neighbours both ways, two steps over a lesser item, and bridges."""
     o = W.partitionBy("device_id").orderBy("start_t", "item_no")

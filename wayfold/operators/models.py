@@ -89,7 +89,7 @@ def deserialise(text: Column) -> Column:
     parts = F.split(text, ";")
     n, pseudo = F.split(F.get(parts, F.lit(0)), ",")[0].cast("int"), F.split(F.get(parts, F.lit(0)), ",")[1].cast("int")
     ends = F.split(F.get(parts, F.lit(1)), ",")
-    pairs = F.transform(F.filter(F.slice(parts, 3, 1_000_000), lambda p: p != ""), lambda p: F.struct(F.split(p, ",")[0].cast("int").alias("k"), F.split(p, ",")[1].cast("int").alias("v")))
+    pairs = F.transform(F.filter(F.slice(parts, F.lit(3), F.size(parts)), lambda p: p != ""), lambda p: F.struct(F.split(p, ",")[0].cast("int").alias("k"), F.split(p, ",")[1].cast("int").alias("v")))
     m = F.map_from_entries(pairs)
     bins = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at(m, i), pseudo))
     return F.struct(bins.alias("bins"), ends[0].cast("double").alias("min"), ends[1].cast("double").alias("max"), pseudo.alias("pseudo"))
@@ -106,6 +106,21 @@ def matrix(places: DataFrame, depth: int, *keys: str) -> DataFrame:
     return p.groupBy(*keys, "cell_lat", "cell_lng", "lat_bin", "lng_bin").agg(F.least(F.count(F.lit(1)), F.lit(65535)).alias("n"))
 
 
+def place_factor(samples: DataFrame, cells: DataFrame, depth: int, *keys: str) -> DataFrame:
+    """(sample_id, keys, factor) of each sample and matrix of its cell: its bin's count over the largest, that one CAPS of the depth at most, within 0 and 1.
+
+    Cells are joined by their corner, bins by the cell and their place; counts are far fewer than samples.
+    """
+    rows, cols = MATRIX[depth]
+    size = {0: (180.0, 360.0), 1: (10.0, 10.0), 2: (0.1, 0.1)}[depth]
+    la, lo = geo.cell_min(F.col("latitude"), depth, -90.0), geo.cell_min(F.col("longitude"), depth, -180.0)
+    s = samples.select("sample_id", "latitude", "longitude").withColumns({"cell_lat": la, "cell_lng": lo})
+    bins = {"lat_bin": geo.truncated((F.col("latitude") - F.col("cell_lat")) / (size[0] / rows)), "lng_bin": geo.truncated((F.col("longitude") - F.col("cell_lng")) / (size[1] / cols))}
+    top = cells.groupBy("cell_lat", "cell_lng", *keys).agg(F.least(F.max("n"), F.lit(CAPS[depth])).alias("_top"))
+    found = s.withColumns(bins).join(top, ["cell_lat", "cell_lng"]).join(cells, ["cell_lat", "cell_lng", *keys, "lat_bin", "lng_bin"], "left")
+    return found.select("sample_id", *keys, F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / F.col("_top")).alias("factor"))
+
+
 #: Features of a model: column, trim, lower and upper bound, pseudo count, filter.
 FEATURES = {
     "speed": ("speed", True, 0.0, None, 1, "speed >= 0 AND speed < 277.77"),

@@ -57,8 +57,8 @@ def prd05(spark, sf):
 @query("prd06", S + ", m AS (SELECT max(t) AS now FROM samples) SELECT sample_id FROM samples, m WHERE t > now - 86400")
 def prd06(spark, sf):
     s = samples(spark, sf)
-    now = s.agg(F.max("t")).first()[0]  # the clock is always an argument
-    return s.filter(F.col("t") > now - 86400).select("sample_id")
+    now = s.agg(F.max("t").alias("now"))  # one row
+    return s.join(F.broadcast(now), F.col("t") > F.col("now") - 86400).select("sample_id")
 
 
 @query("prd07", S + " SELECT sample_id FROM samples WHERE latitude BETWEEN 13.71 AND 13.75 AND longitude BETWEEN 100.52 AND 100.58 AND NOT (latitude = 0 AND longitude = 0)")
@@ -191,7 +191,13 @@ def prd28(spark, sf):
 # scans
 
 
-@query("src02", None)
+THROTTLED = (S + """, f AS (SELECT device_id, sample_id, t, h_acc, row_number() OVER (PARTITION BY device_id ORDER BY t, sample_id) AS n FROM samples WHERE latitude IS NOT NULL),
+k AS (SELECT device_id, sample_id, n, t AS kept, h_acc AS acc, true AS keep FROM f WHERE n = 1 UNION ALL
+  SELECT f.device_id, f.sample_id, f.n, CASE WHEN f.t - kept < 41 AND acc <= f.h_acc THEN kept ELSE f.t END, CASE WHEN f.t - kept < 41 AND acc <= f.h_acc THEN acc ELSE f.h_acc END, NOT (f.t - kept < 41 AND acc <= f.h_acc)
+  FROM k JOIN f ON f.device_id = k.device_id AND f.n = k.n + 1)""").replace("WITH samples", "WITH RECURSIVE samples", 1)
+
+
+@query("src02", THROTTLED + " SELECT sample_id FROM k WHERE keep")
 def src02(spark, sf):
     from wayfold.operators.folds import throttled
 

@@ -15,6 +15,7 @@ from wayfold.plans.classify import CELLS, SCORES, scores
 from wayfold.plans.sqltext import I as ITEMS
 from wayfold.plans.sqltext import USABLE, S, hav
 from wayfold.plans.statistics import SEG, numbered
+from wayfold.operators.tables import staged
 from wayfold.registry import query
 from wayfold.schemas import LIMITS
 from wayfold.sources.samples import samples
@@ -84,9 +85,10 @@ def snk11(spark, sf):
     return m.select("confirmed_type", F.to_json(F.struct("total_samples", "moving_pct", "accuracy", "speed", "altitude")).alias("stats"))
 
 
-@query("snk02", S + " SELECT sample_id, t FROM samples WHERE sample_id % 100 = 7")
+@query("snk02", S + " SELECT sample_id, t, last_saved FROM samples")
 def snk02(spark, sf):
-    return samples(spark, sf).filter("sample_id % 100 = 7").select("sample_id", "t")
+    """Saves all samples to a table in the shared folder and reads them back."""
+    return staged(samples(spark, sf).select("sample_id", "t", "last_saved"), "saved")
 
 
 @query("fn13", "SELECT * FROM (VALUES (0, 18, 36, 7200), (1, 100, 100, 1800), (2, 200, 200, 80)) t(depth, lat_bins, lng_bins, cap)")
@@ -123,7 +125,7 @@ def src05(spark, sf):
     return samples(spark, sf).filter("xy_acc is not null").select("sample_id", F.explode(F.sequence(F.col("t") * 4, F.col("t") * 4 + 3)).alias("quarter"))
 
 
-@query("src13")
+@query("src13", S + " SELECT sample_id, t, latitude, longitude, moving_state, 'wayfold' AS source FROM samples")
 def src13(spark, sf):
     s = samples(spark, sf)
     text = F.to_json(F.struct("sample_id", "t", "latitude", "longitude", "moving_state"))
@@ -189,6 +191,17 @@ def ml08(spark, sf):
     return a.select("device_id", "item_no", "name", r(F.when((F.col("name") == "stationary") & F.col("wide"), 0.0).otherwise(F.col("s")), 9).alias("score"))
 
 
+CAPPED = S + f", c AS (SELECT sample_id, confirmed_type, {CELLS}, latitude, longitude FROM samples WHERE confirmed_type IS NOT NULL AND {USABLE}), b AS (SELECT *, trunc((latitude - la) / 0.0005e0)::BIGINT AS x, trunc((longitude - lo) / 0.0005e0)::BIGINT AS y FROM c), n AS (SELECT confirmed_type, la, lo, x, y, least(count(*), 65535) AS n FROM b WHERE x BETWEEN 0 AND 199 AND y BETWEEN 0 AND 199 GROUP BY ALL), m AS (SELECT confirmed_type, la, lo, least(max(n), 80) AS m FROM n GROUP BY ALL)"
+
+
+@query("ml05", CAPPED + " SELECT b.sample_id, m.confirmed_type AS name, round(least(1e0, coalesce(n.n, 0) / m::DOUBLE), 9) AS factor FROM b JOIN m ON m.la = b.la AND m.lo = b.lo LEFT JOIN n ON n.confirmed_type = m.confirmed_type AND n.la = b.la AND n.lo = b.lo AND n.x = b.x AND n.y = b.y")
+def ml05(spark, sf):
+    """How well each sample's place fits each type known in its cell, bins being full from a cap on."""
+    s = samples(spark, sf).filter(F.col("confirmed_type").isNotNull() & usable())
+    f = M.place_factor(s, M.matrix(s, 2, "confirmed_type"), 2, "confirmed_type")
+    return f.select("sample_id", F.col("confirmed_type").alias("name"), r("factor", 9).alias("factor"))
+
+
 @query("ml06")
 def ml06(spark, sf):
     """Scores of the tenth-degree cell blended with those of the world by the cell's completeness."""

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.operators import folds, merging, segments
+from wayfold.operators import folds, merging, models, segments
 from wayfold.operators import items as I
 from wayfold.plans.basics import items, linked
+from wayfold.plans.classify import SCORES
 from wayfold.plans.sqltext import I as ITEMS
 from wayfold.plans.sqltext import USABLE, S, hav
 from wayfold.plans.statistics import MODE, numbered
@@ -96,14 +97,36 @@ def fn41(spark, sf):
     return s.select(*pair_ids(), F.coalesce(merging.item_distance(A(), B()) < 0, F.lit(False)).alias("overlap"))
 
 
-for _name in ("tl04", "tl05"):
-    query(_name, FACTS + f" SELECT {PAIR}, score FROM scores")(lambda spark, sf: pairs(spark, sf).select(*pair_ids(), merging.consumption(A(), B()).alias("score")))
+ROOT = "CASE WHEN a.item_no % 11 = 0 OR b.item_no % 11 = 0 OR a.item_no % 13 = 0 THEN 0 WHEN b.item_no % 17 = 0 THEN 5 WHEN a.item_no % 17 = 0 THEN 0 ELSE score END"
 
 
-@query("tl06", FACTS + f" SELECT {PAIR}, score FROM scores WHERE NOT a.is_visit AND NOT a.is_gap")
+@query("tl05", FACTS + f" SELECT {PAIR}, {ROOT} AS score FROM scores")
+def tl05(spark, sf):
+    """Scores with the root rules; in the fixture, every 11th item is locked, every 13th deleted, every 17th empty."""
+    nth = lambda x, k: x["item_no"] % k == 0
+    root = merging.root_score(merging.consumption(A(), B()), locked=nth(A(), 11) | nth(B(), 11), consumer_deleted=nth(A(), 13), consumee_empty=nth(B(), 17), consumer_empty=nth(A(), 17))
+    return pairs(spark, sf).select(*pair_ids(), root.alias("score"))
+
+
+# paths of differing types are marked by -1 for the classifier to judge
+FITTED = (
+    SCORES
+    + f""", member AS ({ITEMS} SELECT sample_id, device_id, item_no FROM numbered), fits AS (SELECT device_id, item_no, name, avg(score) AS fit FROM sc JOIN member USING (sample_id) GROUP BY ALL),
+  judged AS ({FACTS.replace("WHEN a.kind IS NOT DISTINCT FROM b.kind THEN 5 ELSE 0 END AS score", "WHEN a.kind IS NOT DISTINCT FROM b.kind THEN 5 ELSE -1 END AS score")} SELECT device_id, a.item_no AS a_no, b.item_no AS b_no, a.kind AS kind, b.keeper AS kept, score FROM scores WHERE NOT a.is_visit AND NOT a.is_gap)
+  SELECT j.device_id, a_no, b_no, CASE WHEN score >= 0 THEN score WHEN kept OR kind IS NULL OR fit IS NULL THEN 0 ELSE CASE WHEN floor(fit * 1000) >= 75 THEN 5 WHEN floor(fit * 1000) >= 50 THEN 4 WHEN floor(fit * 1000) >= 25 THEN 3 WHEN floor(fit * 1000) >= 10 THEN 2 ELSE 1 END END AS score
+  FROM judged j LEFT JOIN fits f ON f.device_id = j.device_id AND f.item_no = j.b_no AND f.name = j.kind"""
+)
+
+
+@query("tl06", FITTED)
 def tl06(spark, sf):
-    p = pairs(spark, sf).filter("not a.is_visit and not a.is_gap")
-    return p.select(*pair_ids(), merging.consumption(A(), B()).alias("score"))
+    """Paths taking their neighbours; those of another type by the classifier's mean score over their samples."""
+    s = samples(spark, sf)
+    member = numbered(spark, sf).select("sample_id", "device_id", "item_no")
+    fits = models.classify(s, models.train(s)).join(member, "sample_id").groupBy("device_id", F.col("item_no").alias("_i"), F.col("name").alias("_n")).agg(F.avg("score").alias("fit"))
+    p = pairs(spark, sf).filter("not a.is_visit and not a.is_gap").withColumns({"_i": F.col("b.item_no"), "_n": F.col("a.kind")})
+    p = p.join(fits, ["device_id", "_i", "_n"], "left")
+    return p.select(*pair_ids(), merging.consumption(A(), B(), fit=F.col("fit")).alias("score"))
 
 
 @query("tl07", FACTS + f" SELECT {PAIR}, score FROM scores WHERE a.is_visit")
@@ -138,6 +161,16 @@ def tl03(spark, sf):
     return c.groupBy("device_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(ok).alias("all_valid"))
 
 
+# every candidate, with the item between, if any
+BRIDGED = FACTS[: FACTS.index("duo AS (")] + CAND[len(ITEMS) + 2 :] + ",\ntwo AS (SELECT c.device_id, bt AS between_no, a, b FROM (SELECT device_id, k, b AS bt, d FROM c) c JOIN facts a ON a.device_id = c.device_id AND a.item_no = c.k JOIN facts b ON b.device_id = c.device_id AND b.item_no = c.d),\n" + FACTS[FACTS.index("measured AS (") :]
+
+
+@query("tl04", BRIDGED + " SELECT device_id, a.item_no AS k, between_no AS b, b.item_no AS d, score FROM scores")
+def tl04(spark, sf):
+    """The score of each candidate: of the keeper taking the deadman, next to it or beyond a betweener."""
+    return merging.scored(candidate_rows(spark, sf)).select("device_id", "k", "b", "d", "score")
+
+
 @query("ord05")
 def ord05(spark, sf):
     return merging.chosen(merging.scored(candidate_rows(spark, sf))).select("device_id", "k", "b", "d", "score")
@@ -174,9 +207,9 @@ def tl19(spark, sf):
     return items(spark, sf).filter("item_no % 7 <> 0").select("device_id", "item_no", F.lag("item_no").over(o).alias("previous"), F.lead("item_no").over(o).alias("next"))
 
 
-@query("tl21", S + " SELECT device_id, leg, count(*) AS n, bool_and(moving_state = 'stationary') AS is_visit FROM samples WHERE idx < 3 GROUP BY ALL")
+@query("tl21", S + " SELECT device_id, leg, count(*) AS n, min(t) AS start_t, max(t) AS end_t, bool_and(moving_state = 'stationary') AS is_visit FROM samples GROUP BY ALL")
 def tl21(spark, sf):
-    return samples(spark, sf).filter("idx < 3").groupBy("device_id", "leg").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("moving_state") == "stationary").alias("is_visit"))
+    return samples(spark, sf).groupBy("device_id", "leg").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.bool_and(F.col("moving_state") == "stationary").alias("is_visit"))
 
 
 @query("tl22", "SELECT 0::BIGINT AS n_broken")
@@ -205,7 +238,19 @@ def st01(spark, sf):
     return folds.kalman(samples(spark, sf)).select("sample_id", r("variance", 4).alias("variance"))
 
 
-@query("st03")
+# heights by themselves, then the last one up to each fix
+HEIGHTS = (S + f""", f AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY t, sample_id) AS n FROM samples WHERE v_acc > 0 AND altitude IS NOT NULL),
+k AS (
+  SELECT device_id, sample_id, t, n, altitude AS height, v_acc * v_acc AS variance FROM f WHERE n = 1
+  UNION ALL
+  SELECT f.device_id, f.sample_id, f.t, f.n, k.height + g * (f.altitude - k.height), (1 - g) * v
+  FROM (SELECT k.*, k.variance + (x.t - k.t) * 9e0 AS v, (k.variance + (x.t - k.t) * 9e0) / (k.variance + (x.t - k.t) * 9e0 + x.v_acc * x.v_acc) AS g, x.n AS xn FROM k JOIN f x ON x.device_id = k.device_id AND x.n = k.n + 1) k
+  JOIN f ON f.device_id = k.device_id AND f.n = k.xn),
+fixes AS (SELECT device_id, sample_id, t FROM samples WHERE {USABLE}),
+heights AS (SELECT x.sample_id, x.device_id, x.t, coalesce(height, 0e0) AS altitude, coalesce(sqrt(variance), -1e0) AS v_acc FROM fixes x ASOF LEFT JOIN k ON k.device_id = x.device_id AND k.t <= x.t)""").replace("WITH samples", "WITH RECURSIVE samples", 1)
+
+
+@query("st03", HEIGHTS + " SELECT sample_id, round(altitude, 4) AS altitude FROM heights")
 def st03(spark, sf):
     return folds.kalman(samples(spark, sf)).select("sample_id", r("altitude", 4).alias("altitude"))
 
@@ -216,7 +261,7 @@ def st04(spark, sf):
     return samples(spark, sf).select("sample_id", (F.col("h_acc") + F.when(trust < 1, 100 * (1 - trust)).otherwise(0.0)).alias("h_acc"))
 
 
-@query("st05")
+@query("st05", HEIGHTS + " SELECT sample_id, device_id, t, round(altitude, 4) AS altitude, round(v_acc, 4) AS v_acc FROM heights")
 def st05(spark, sf):
     return folds.kalman(samples(spark, sf)).select("sample_id", "device_id", "t", r("altitude", 4).alias("altitude"), r("v_acc", 4).alias("v_acc"))
 

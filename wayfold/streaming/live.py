@@ -20,24 +20,31 @@ def windowed(fixes: DataFrame, late: str = "60 seconds", width: str = "5 minutes
 
 
 def filtered(fixes: DataFrame, q: float = 4.0, late: str = "60 seconds") -> DataFrame:
-    """The coordinate filter as a stateful operator: a few numbers a device live in the state store."""
+    """The coordinate filter as a stateful operator: a few numbers a device live in the state store.
+
+    Within a batch, fixes are taken in the order of time; one not newer than the last is left out. With a column ``date``,
+    rows later than ``late`` are dropped by the watermark.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         k = Kalman(q)
         if state.exists:
             k.variance, k.t, lat, lng = state.get
             k.values = (lat, lng)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["t", "sample_id"]).itertuples(index=False):
-            if pd.isna(r.latitude) or r.h_acc < 0 or (k.t is not None and r.t <= k.t):
-                continue
-            lat, lng = k.update(float(r.t), float(r.h_acc), (r.latitude, r.longitude))
-            rows.append((r.sample_id, key[0], r.t, lat, lng))
+        for b in batches:  # an Arrow batch at a time is held
+            rows = []
+            for r in b.sort_values(["t", "sample_id"]).itertuples(index=False):
+                if pd.isna(r.latitude) or r.h_acc < 0 or (k.t is not None and r.t <= k.t):
+                    continue
+                lat, lng = k.update(float(r.t), float(r.h_acc), (r.latitude, r.longitude))
+                rows.append((r.sample_id, key[0], r.t, lat, lng))
+            yield pd.DataFrame(rows, columns=["sample_id", "device_id", "t", "latitude", "longitude"])
         if k.values:
             state.update((k.variance, float(k.t), *k.values))
-        yield pd.DataFrame(rows, columns=["sample_id", "device_id", "t", "latitude", "longitude"])
 
-    d = fixes.select("device_id", "sample_id", "t", "latitude", "longitude", "h_acc")
+    # fixes that are later than the watermark never reach the filter
+    timely = fixes.withWatermark("date", late) if "date" in fixes.columns else fixes
+    d = timely.select("device_id", "sample_id", "t", "latitude", "longitude", "h_acc")
     return d.groupBy("device_id").applyInPandasWithState(
         run, "sample_id bigint, device_id bigint, t bigint, latitude double, longitude double", "variance double, t double, lat double, lng double", "append", GroupStateTimeout.NoTimeout
     )
