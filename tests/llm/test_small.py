@@ -224,7 +224,8 @@ def test_edit_counts(spark, odd):
     count, r = editcount.Counter(code, most=50), random.Random(1)
     texts = [x.text for x in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + ["", "a", " ", "  a b", "it's  'll\n\n x"] * 5
     for x in texts:
-        tree, now = editcount.Tree(x, count, leaf=r.choice([8, 60, 512])), x
+        leaf = r.choice([8, 60, 512])
+        tree, now = editcount.Tree.of(x, count, leaf), x
         assert tree.total == len(code.encode_ordinary(x))
         for _ in range(6):
             at, gone, new = r.randrange(len(now) + 2), r.choice([0, 1, 3, 40]), r.choice(["", " ", "x", "  ", "\n", "'s t", " word", "a b c d e f " * 9])
@@ -233,8 +234,32 @@ def test_edit_counts(spark, odd):
             now = now[:a] + new + now[a + gone :]
             assert "".join(tree.texts) == now and tree.total == len(code.encode_ordinary(now))
             assert tree.sums[1] == tree.sums[tree.size :].sum()
-    got = editcount.counted(odd, editcount.sample_edits(F.col("text")), tokenizer_path=tokenizer_path("byte_bpe_50k.tiktoken")).collect()
-    assert len(got) == 6 and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+            assert all(tree.sums[k] == tree.sums[2 * k] + tree.sums[2 * k + 1] for k in range(1, tree.size))
+            tree = editcount.Tree(list(tree.texts), tree.sums.copy(), leaf)
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    edits = editcount.sample_edits(F.col("n_chars"), F.get("leaves", F.lit(0)))
+    got = editcount.edit(editcount.build(odd, tokenizer_path=path), edits, tokenizer_path=path).collect()
+    assert len(got) == 6 and {r.n_before for r in got if r.doc_id in (1, 2)} == {0}
+    none = F.lit(None).cast("array<struct<at: bigint, removed: bigint, inserted: string>>")
+    assert all(r.n_tokens == r.n_before and r.n_encoded == 0 for r in editcount.edit(editcount.build(odd, tokenizer_path=path), none, tokenizer_path=path).collect())
+    assert editcount.edit(editcount.build(odd.limit(0), tokenizer_path=path), edits, tokenizer_path=path).count() == 0
+
+
+def test_edit_query_by_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    code = editcount.tokenizer(tokenizer_path("byte_bpe_50k.tiktoken"))
+    count = lambda x: len(code.encode_ordinary(x))
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        x = r.text or ""
+        n, now = len(x), x
+        for at, gone, new in ((n // 3, 17, ""), (n * 2 // 3, 0, x[:40]), (max(n - 5, 0), 9, " the  end.\n")):
+            at = min(at, len(now))
+            now = now[:at] + new + now[at + gone :]
+        want[r.doc_id] = (count(x), count(now), len(now))
+    got = QUERIES["op9_edit_counts"](spark, sf).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_tokens_after, r.n_chars_after) for r in got} == want
+    assert sum(r.n_encoded for r in got) < sum(r.n_leaves for r in got)
 
 
 def brute_tiles(a, b, least):

@@ -1,11 +1,15 @@
-"""Edit-aware token counts: a segment tree of token counts for each document, updated where edits touch it.
+"""Edit-aware token counts: a table of segment trees of token counts, one a document, updated where edits touch them.
+
+build() encodes each document once and keeps its tree as a row: the leaves' texts and the sums. edit() takes such a
+table and gives the next one, encoding nothing but the leaves that edits touch; the count of a document is its tree's root.
 
 A text is cut into leaves at places where no token of the byte-level tokenizer can cross: before a space that stands
 between a sign that isn't white space and one that isn't either (the space belongs to the word after it). A leaf has
 about ``leaf`` characters. The tree holds the sum of each pair of nodes below; its last row is the leaves' counts.
 
 An edit changes the leaves it lies in, and the leaf before or after where it comes within two characters of their
-border, since the cut there may no longer hold. Only these leaves' text is encoded again; the sums above them follow.
+border, since the cut there may no longer hold. Only their text is cut and encoded again; the sums above them follow, and are
+added up anew (from the leaves' counts) if the number of leaves changes.
 """
 
 from __future__ import annotations
@@ -81,18 +85,34 @@ def cuts(text: str, leaf: int) -> list[int]:
 
 
 class Tree:
-    """Leaves' lengths and the sums of their counts: node k has children 2 k and 2 k + 1, leaves begin at ``size``."""
+    """Leaves' texts and the sums of their counts: node k has children 2 k and 2 k + 1, leaves begin at half the nodes."""
+
+    def __init__(self, texts: list[str], sums: np.ndarray, leaf: int):
+        self.texts, self.sums, self.leaf, self.encoded = texts, sums, leaf, 0
+
+    @classmethod
+    def of(cls, text: str, count, leaf: int = 512) -> Tree:
+        texts = cls._leaves(text, leaf)
+        return cls(texts, cls._added(np.array(count(texts), np.int64)), leaf)
 
-    def __init__(self, text: str, count, leaf: int = 512):
+    @staticmethod
+    def _leaves(text: str, leaf: int) -> list[str]:
         starts = cuts(text, leaf) if text else []
-        self.texts = [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
-        self.size = 1 << max(0, (len(self.texts) - 1).bit_length())
-        self.sums = np.zeros(2 * self.size, np.int64)
-        if self.texts:
-            self.sums[self.size : self.size + len(self.texts)] = count(self.texts)
-        for k in range(self.size - 1, 0, -1):
-            self.sums[k] = self.sums[2 * k] + self.sums[2 * k + 1]
-        self.encoded = 0
+        return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+
+    @staticmethod
+    def _added(counts: np.ndarray) -> np.ndarray:
+        size = 1 << max(0, (len(counts) - 1).bit_length())
+        sums = np.zeros(2 * size, np.int64)
+        sums[size : size + len(counts)] = counts
+        while size > 1:
+            sums[size // 2 : size] = sums[size : 2 * size].reshape(-1, 2).sum(axis=1)
+            size //= 2
+        return sums
+
+    @property
+    def size(self) -> int:
+        return len(self.sums) // 2
 
     @property
     def total(self) -> int:
@@ -105,12 +125,24 @@ class Tree:
             self.sums[k] += change
             k >>= 1
 
+    def _replace(self, low: int, high: int, region: str, count) -> None:
+        """Leaves low to high - 1 become those of ``region``."""
+        new = self._leaves(region, self.leaf)
+        counts = count(new)
+        self.encoded += len(new)
+        if len(new) == high - low:
+            self.texts[low:high] = new
+            for k, n in enumerate(counts, low):
+                self._set(k, int(n))
+        else:
+            old = self.sums[self.size : self.size + len(self.texts)]
+            self.texts[low:high] = new
+            self.sums = self._added(np.concatenate([old[:low], np.array(counts, np.int64), old[high:]]))
+
     def edit(self, at: int, removed: int, inserted: str, count) -> None:
         """Replaces ``removed`` characters from ``at`` by ``inserted``; places beyond the text are its end."""
         if not self.texts:
-            self.__init__(inserted, count)
-            self.encoded += len(self.texts)
-            return
+            return self._replace(0, 0, inserted, count)
         ends = np.cumsum([len(x) for x in self.texts])
         at = min(max(at, 0), int(ends[-1]))
         to = min(at + max(removed, 0), int(ends[-1]))
@@ -126,12 +158,7 @@ class Tree:
         while high + 1 < len(self.texts) and not self._cut(region, self._after(high)):
             high += 1
             region += self.texts[high]
-        # the first touched leaf takes the region, the others are empty: the tree keeps its shape
-        self.texts[low : high + 1] = [region] + [""] * (high - low)
-        self._set(low, int(count([region])[0]))
-        for k in range(low + 1, high + 1):
-            self._set(k, 0)
-        self.encoded += 1
+        self._replace(low, high + 1, region, count)
 
     def _before(self, k: int) -> str:
         """The end of the text before leaf k."""
@@ -153,35 +180,67 @@ class Tree:
         return not left or not right or right[0] == " " and not left[-1].isspace() and len(right) > 1 and not right[1].isspace()
 
 
-def counted(docs: DataFrame, edits: Column, *, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
-    """(doc_id, n_tokens, n_leaves, n_edits, n_encoded, n_tokens_after, n_chars_after) of each row.
+def build(docs: DataFrame, *, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = 512) -> DataFrame:
+    """(doc_id, n_chars, n_tokens, leaves, sums) of each row: its tree, as a table in the shared folder.
 
-    ``edits`` is an array of (at, removed, inserted), done in order, each on the text the one before left. n_encoded is
-    how many stretches were encoded again. Null texts are empty, null edits none; null fields of an edit are 0 and ''.
+    Null texts are empty: no leaves, the sums are 0. Repeated rows have trees each. An empty table gives an empty one;
+    other columns don't matter, whatever their names.
     """
     kind = dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"]
 
     def run(batches):
         count = counter(tokenizer_path)
-
         for whole in batches:
             for b in common.slices(whole, "text"):
-                rows = []
-                for text, todo in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                    tree = Tree(text or "", count, leaf)
-                    n, leaves = tree.total, len(tree.texts)
+                trees = [Tree.of(x or "", count, leaf) for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), *_columns(trees)], ["doc_id", *TREE])
+
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return common.staged(common.arrow_map(d, run, f"doc_id {kind}, {TREE_SCHEMA}"), "trees")
+
+
+TREE = ("n_chars", "n_tokens", "leaves", "sums")
+TREE_SCHEMA = "n_chars bigint, n_tokens bigint, leaves array<string>, sums array<bigint>"
+
+
+def _columns(trees: list[Tree]) -> list[pa.Array]:
+    return [
+        pa.array([sum(map(len, t.texts)) for t in trees], pa.int64()),
+        pa.array([t.total for t in trees], pa.int64()),
+        pa.array([t.texts for t in trees], pa.list_(pa.string())),
+        pa.array([t.sums for t in trees], pa.list_(pa.int64())),
+    ]
+
+
+def edit(trees: DataFrame, edits: Column, *, tokenizer_path: str, leaf: int = 512) -> DataFrame:
+    """The trees of build() or edit() after edits: its columns, with n_edits, n_before (tokens) and n_encoded (leaves encoded again).
+
+    ``edits`` is an array of (at, removed, inserted) over the trees' columns, done in order, each on the text the one
+    before left. Null edits are none; null fields of an edit are 0 and ''. Trees without edits pass as they are.
+    """
+    kind = dict(trees.dtypes)["doc_id"]
+
+    def run(batches):
+        count = counter(tokenizer_path)
+        for whole in batches:
+            for k in range(0, len(whole), 256):
+                b = whole.slice(k, 256)
+                made, before, n = [], b.column(1), []
+                sums = b.column(3)
+                for i, (leaves, todo) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist())):
+                    tree = Tree(leaves, np.array(sums[i].values), leaf)
                     for e in todo or ():
                         tree.edit(e["at"] or 0, e["removed"] or 0, e["inserted"] or "", count)
-                    rows.append((n, leaves, len(todo or ()), tree.encoded, tree.total, sum(map(len, tree.texts))))
-                cols = zip(*rows) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols]], ["doc_id", "n_tokens", "n_leaves", "n_edits", "n_encoded", "n_tokens_after", "n_chars_after"])
+                    made.append(tree)
+                    n.append(len(todo or ()))
+                done = pa.array(n, pa.int64()), before, pa.array([t.encoded for t in made], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0), *_columns(made), *done], ["doc_id", *TREE, "n_edits", "n_before", "n_encoded"])
 
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), edits.alias("edits"))
-    return common.arrow_map(d, run, f"doc_id {kind}, n_tokens bigint, n_leaves bigint, n_edits bigint, n_encoded bigint, n_tokens_after bigint, n_chars_after bigint")
+    d = trees.select("doc_id", "n_tokens", "leaves", "sums", edits.alias("edits"))
+    return common.arrow_map(d, run, f"doc_id {kind}, {TREE_SCHEMA}, n_edits bigint, n_before bigint, n_encoded bigint")
 
 
-def sample_edits(text: Column) -> Column:
-    """Three edits that follow from a text alone: a deletion at a third, an insertion at two thirds, and a change of the end."""
-    n = F.coalesce(F.length(text), F.lit(0))
+def sample_edits(n: Column, head: Column) -> Column:
+    """Three edits that follow from a text's length and beginning: a deletion at a third, an insertion at two thirds, and a change of the end."""
     edit = lambda at, removed, inserted: F.struct(at.cast("long").alias("at"), F.lit(removed).cast("long").alias("removed"), inserted.alias("inserted"))
-    return F.array(edit(F.floor(n / 3), 17, F.lit("")), edit(F.floor(n * 2 / 3), 0, F.coalesce(F.substring(text, 1, 40), F.lit(""))), edit(F.greatest(n - 5, F.lit(0)), 9, F.lit(" the  end.\n")))
+    return F.array(edit(F.floor(n / 3), 17, F.lit("")), edit(F.floor(n * 2 / 3), 0, F.coalesce(F.substring(head, 1, 40), F.lit(""))), edit(F.greatest(n - 5, F.lit(0)), 9, F.lit(" the  end.\n")))

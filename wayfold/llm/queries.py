@@ -67,8 +67,19 @@ def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return editcount.counted(docs, editcount.sample_edits(F.col("text")), tokenizer_path=tokenizer_path("byte_bpe_50k.tiktoken"))
+    """Counts before and after three edits of each document, from its kept tree; only touched leaves are encoded for the latter."""
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
+    trees = editcount.build(read(spark, sf_dir, "documents"), tokenizer_path=path)
+    after = editcount.edit(trees, editcount.sample_edits(F.col("n_chars"), F.get("leaves", F.lit(0))), tokenizer_path=path)
+    return after.select(
+        "doc_id",
+        F.col("n_before").alias("n_tokens"),
+        F.size("leaves").cast("long").alias("n_leaves"),
+        "n_edits",
+        "n_encoded",
+        F.col("n_tokens").alias("n_tokens_after"),
+        F.col("n_chars").alias("n_chars_after"),
+    )
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
