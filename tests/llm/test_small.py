@@ -118,6 +118,26 @@ def test_chat_odd_rows(spark):
     assert {(r.conv_id, r.part, r.n_turns) for r in chat.transcribe(turns).collect()} == {(1, 0, 1), (1, 1, 1), (None, 0, 1)}
 
 
+def test_chat_parts_are_one_transcript(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    model = chat.fit(chat.transcribe(turns))
+    found = {}
+    for most in (512, 2, 1):
+        made = chat.transcribe(turns, most_turns=most).withColumn("id", F.struct("conv_id", "part")).cache()
+        rows = sorted(chat.parse(made, model, series=F.col("conv_id"), part=F.col("part")).collect(), key=lambda r: (r.id.conv_id, r.id.part))
+        assert most > 2 or len(rows) > len({r.id.conv_id for r in rows})
+        found[most] = {}
+        for r in rows:
+            text, states = found[most].get(r.id.conv_id, ("", []))
+            # the blank line between parts goes on with the line before
+            found[most][r.id.conv_id] = text + r.rendered, states + r.states
+        found[most] = {k: (t, [x // 2 for x in s if x % 2 == 0]) for k, (t, s) in found[most].items()}
+    assert found[512] == found[2] == found[1]
+    assert chat.parse(chat.transcribe(turns.limit(0)).withColumn("id", F.lit(1)), model).count() == 0
+    long = spark.createDataFrame([(1, "Human: hi\n" * 20_000, 3)], "id int, text string, k int")
+    assert len(chat.parse(long, model).first().states) == 20_001
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     m = chat.Model(rng.random(6) * 5, rng.random((6, 6)) * 5, rng.random((6, chat.N_SYMBOLS)) * 5)

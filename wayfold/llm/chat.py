@@ -9,6 +9,10 @@ transcripts whose roles are known; Viterbi finds the likeliest states of all lin
     text
 
 with the markers taken off.
+
+A transcript too long for a row comes as several parts. Each part is summed up as the best scores from any state before
+it to any state at its end (6 by 6 numbers); these are chained along the transcript, forwards for the scores at each
+part's start, backwards for the state at its end. So the parts' states are the likeliest of the whole.
 """
 
 from __future__ import annotations
@@ -17,9 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 ROLES = ("system", "user", "assistant")
 #: Markers by role (fixed values: what transcripts commonly have).
 MARKERS = {
@@ -35,9 +41,9 @@ N_MARKS, N_PLACES, N_LENGTHS, N_ENDS = 4, 3, 5, 4
 N_SYMBOLS = N_MARKS * N_PLACES * N_LENGTHS * N_ENDS
 
 
-def observe(lines: list[str]) -> np.ndarray:
+def observe(lines: list[str], before: str | None = None) -> np.ndarray:
     """A symbol a line: marker's role or none; first, after a blank, or other; length; how it ends."""
-    out, before = np.zeros(len(lines), np.int64), None
+    out = np.zeros(len(lines), np.int64)
     for i, x in enumerate(lines):
         m = _MARK.match(x)
         mark = 1 + _ROLE_OF[(m[1] or m[2]).lower()] if m else 0
@@ -67,18 +73,27 @@ class Model:
         p = emit + 0.05
         self.emit = np.log(p / p.sum(axis=1, keepdims=True))
 
-    def viterbi(self, symbols: np.ndarray) -> np.ndarray:
-        """The likeliest states; of ties the lowest state."""
+    def over(self, symbols: np.ndarray, first: bool) -> np.ndarray:
+        """The best scores of all states at the end, by the state before (one row if there is none)."""
+        best = self.start[None] if first else None
+        for k, o in enumerate(symbols):
+            if k or not first:
+                best = self.move.copy() if best is None else (best[:, :, None] + self.move).max(axis=1)
+            best = best + self.emit[:, o]
+        return np.eye(N_STATES) * 0 if best is None else best
+
+    def viterbi(self, symbols: np.ndarray, enter: np.ndarray | None = None, leave: int | None = None) -> np.ndarray:
+        """The likeliest states; of ties the lowest state. ``enter``: scores of the states before, ``leave``: the last state."""
         if not len(symbols):
             return np.zeros(0, np.int64)
-        score = self.start + self.emit[:, symbols[0]]
+        score = (self.start if enter is None else (enter[:, None] + self.move).max(axis=0)) + self.emit[:, symbols[0]]
         back = np.zeros((len(symbols), N_STATES), np.int8)
         for i in range(1, len(symbols)):
             both = score[:, None] + self.move
             back[i] = both.argmax(axis=0)
             score = both.max(axis=0) + self.emit[:, symbols[i]]
         states = np.zeros(len(symbols), np.int64)
-        states[-1] = score.argmax()
+        states[-1] = score.argmax() if leave is None else leave
         for i in range(len(symbols) - 1, 0, -1):
             states[i - 1] = back[i, states[i]]
         return states
@@ -129,28 +144,79 @@ def fit(labelled: DataFrame) -> Model:
     return Model(total[:, 0], total[:, 1 : 1 + N_STATES], total[:, 1 + N_STATES :])
 
 
-def parse(transcripts: DataFrame, model: Model, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def _lines(text: str | None, first: bool) -> list[str]:
+    """A part's lines; one that isn't the first begins with the blank line that parts it from the one before."""
+    own = text.split("\n") if text else []
+    return own if first else ["", *own]
+
+
+def _chained(parts: DataFrame, model: Model, kind: str) -> DataFrame:
+    """Of the parts (k, p, text, first) of transcripts with several: (k, p, enter, leave). A row of 36 numbers a part is gathered for each."""
+
+    def sum_up(batches):
+        for b in batches:
+            best = []
+            for x, first in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                best.append(model.over(observe(_lines(x, first), None if first else "x"), first).reshape(-1).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.list_(pa.float64()))], ["k", "p", "best"])
+
+    def chain(batches):
+        for b in batches:
+            keys, at, enters, leaves = [], [], [], []
+            for i, parts in enumerate(b.column(1).to_pylist()):
+                best = [np.array(x["best"]).reshape(-1, N_STATES) for x in parts]
+                ends = [best[0][0]]
+                for x in best[1:]:
+                    ends.append((ends[-1][:, None] + x).max(axis=0))
+                leave = [int(ends[-1].argmax())]
+                for k in range(len(best) - 1, 0, -1):
+                    leave.append(int((ends[k - 1] + best[k][:, leave[-1]]).argmax()))
+                keys += [i] * len(parts)
+                at += [x["p"] for x in parts]
+                enters += [None, *[e.tolist() for e in ends[:-1]]]
+                leaves += leave[::-1]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys, pa.int64())), pa.array(at, pa.int64()), pa.array(enters, pa.list_(pa.float64())), pa.array(leaves, pa.int64())], ["k", "p", "enter", "leave"])
+
+    summed = common.arrow_map(parts, sum_up, f"k {kind}, p bigint, best array<double>")
+    return common.arrow_map(summed.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("p", "best"))).alias("x")), chain, f"k {kind}, p bigint, enter array<double>, leave bigint")
+
+
+def parse(transcripts: DataFrame, model: Model, *, id_col: str = "id", text_col: str = "text", series: Column | None = None, part: Column | None = None) -> DataFrame:
     """(id, states, turns, rendered) of each row: each line's state, the turns (role, text) and their canonical text.
 
-    A null or empty text has no turns and renders as ''. Lines are \\n-split; repeated rows are parsed alike.
+    Rows with one ``series`` are the parts of one transcript in the order of ``part``, a blank line between them; the
+    first turn of a later part may go on with the one before, and then renders without its role, so that the
+    rendered parts in a row are the whole's. A null or empty text has no turns and renders as ''. Lines are \\n-split;
+    repeated rows are parsed alike, parts mustn't repeat. An empty table gives an empty result; other columns don't
+    matter, whatever their names.
     """
-    kind = dict(transcripts.select(F.col(id_col).alias("id")).dtypes)["id"]
     turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    d = transcripts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.lit(0) if series is None else series).alias("k"), (F.lit(0) if part is None else part).cast("bigint").alias("p"))
+    kinds = dict(d.dtypes)
+    if series is None:
+        d = d.select("id", "text", F.lit(True).alias("first"), F.lit(None).cast("array<double>").alias("enter"), F.lit(None).cast("bigint").alias("leave"))
+    else:
+        sizes = d.groupBy(F.col("k").alias("_k")).agg(F.min("p").alias("_p"), F.count(F.lit(1)).alias("_n"))
+        d = d.join(sizes, F.col("k").eqNullSafe(F.col("_k"))).withColumn("first", F.col("p") == F.col("_p"))
+        known = _chained(d.filter("_n > 1").select("k", "p", "text", "first"), model, kinds["k"]).select(F.col("k").alias("_k2"), F.col("p").alias("_p2"), "enter", "leave")
+        d = d.join(known, F.col("k").eqNullSafe(F.col("_k2")) & (F.col("p") == F.col("_p2")), "left").select("id", "text", "first", "enter", "leave")
 
     def run(batches):
         for b in batches:
             states, turns, texts = [], [], []
-            for x in b.column(1).to_pylist():
-                lines = x.split("\n") if x else []
-                s = model.viterbi(observe(lines))
+            for x, first, enter, leave in zip(*[b.column(c).to_pylist() for c in range(1, 5)]):
+                lines = _lines(x, first)
+                s = model.viterbi(observe(lines, None if first else "x"), None if enter is None else np.array(enter), leave)
+                if not first:
+                    lines, s = lines[1:], s[1:]
                 t = turns_of(lines, s)
                 states.append(s.tolist())
                 turns.append([{"role": r, "text": y} for r, y in t])
-                texts.append(render(t))
+                goes_on = not first and len(s) and s[0] % 2 == 1 and t
+                texts.append(f"\n{t[0][1]}\n{render(t[1:])}" if goes_on else render(t))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(states, pa.list_(pa.int64())), pa.array(turns, turn), pa.array(texts, pa.string())], ["id", "states", "turns", "rendered"])
 
-    d = transcripts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return d.mapInArrow(run, f"id {kind}, states array<bigint>, turns array<struct<role: string, text: string>>, rendered string")
+    return common.arrow_map(d, run, f"id {kinds['id']}, states array<bigint>, turns array<struct<role: string, text: string>>, rendered string")
 
 
 def transcribe(conversations: DataFrame, *, most_turns: int = 512, unmarked: int = 4) -> DataFrame:
@@ -158,7 +224,7 @@ def transcribe(conversations: DataFrame, *, most_turns: int = 512, unmarked: int
 
     A conversation's style of markers follows a hash of its id; about one turn in ``unmarked``, by a hash, has none. A
     blank line parts turns. Conversations are cut into parts of ``most_turns`` turn numbers, so that none is gathered
-    whole however long it is; a repeated row counts once, null ids and turns are values like others, null texts are empty, and rows of other roles
+    whole however long it is (parse() knows the parts as one transcript); a repeated row counts once, null ids and turns are values like others, null texts are empty, and rows of other roles
     than the three count as user's. Turns of one number are in the order of role and text.
     """
     role = F.coalesce(F.array_position(F.array(*map(F.lit, ROLES)), F.lower(F.trim("role"))), F.lit(0)).cast("int")

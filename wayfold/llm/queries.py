@@ -43,7 +43,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = staged(made.withColumn("id", F.struct("conv_id", "part", "n_turns", "roles", F.col("states").alias("truth"))), "transcripts")
     held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2
     model = chat.fit(made.filter(~F.coalesce(held, F.lit(False))))
-    found = chat.parse(made, model)
+    found = chat.parse(made, model, series=F.col("conv_id"), part=F.col("part"))
     right = F.aggregate(F.zip_with("states", "id.truth", lambda a, b: (F.floor(a / 2) == F.floor(b / 2)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
         "id.conv_id",
