@@ -97,7 +97,7 @@ def test_toxicity_odd_rows(odd, empty_labels):
     kept = toxicity.clean(clash, empty_labels)
     assert kept.columns == clash.columns and all(r.score == "mine" and r.flagged == "own" for r in kept.collect())
     assert toxicity.classify(odd.limit(0), empty_labels).count() == 0
-    assert neardup.dedup(clash).columns == clash.columns and neardup.dedup(clash).count() == 5
+    assert neardup.dedup(clash).columns == clash.columns and {r.doc_id for r in neardup.dedup(clash).collect()} == {1, 3, None, 5}
     assert mixing.mixed(clash).columns == clash.columns and all(r.copy == 2 and r.i == 1 for r in mixing.mixed(clash).collect())
     bench = odd.sparkSession.createDataFrame([(1, "x " * 30)], "item_id long, text string")
     assert decontaminate.clean(clash, bench).columns == clash.columns and {r.doc_id for r in decontaminate.clean(clash, bench).collect()} == {1, 2, 3, 5}
