@@ -22,7 +22,7 @@ def windowed(fixes: DataFrame, late: str = "60 seconds", width: str = "5 minutes
 def filtered(fixes: DataFrame, q: float = 4.0, late: str = "60 seconds") -> DataFrame:
     """The coordinate filter as a stateful operator: a few numbers a device live in the state store.
 
-    Within a batch, fixes are taken in the order of time; one not newer than the last is left out. With a column ``date``,
+    Fixes of an Arrow batch are taken in the order of time; one not newer than the last taken is late and left out. With a column ``date``,
     rows later than ``late`` are dropped by the watermark.
     """
 
