@@ -199,7 +199,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shared = keyed.groupBy("h").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x <> y").select("h")
     keyed = scratch.staged(keyed.join(shared, "h").select("h", "v"), "buckets")
     involved = keyed.select("v").distinct()
-    once = docs.join(involved, "v").groupBy("v").agg(F.first("text").alias("text"))
+    # of equal texts, one row's text moves: keyed by its id too, so that many copies aren't one task's
+    one = signed.groupBy("v").agg(F.min("id").alias("one")).join(involved, "v", "left_semi").withColumnRenamed("v", "w")
+    once = docs.join(one, (F.col("v") == F.col("w")) & F.col("id").eqNullSafe(F.col("one")), "left_semi").groupBy("v").agg(F.first("text").alias("text"))
     sets = scratch.staged(common.arrow_map(once, lambda it: _sets(it, width), "v binary, s array<bigint>"), "sets")
 
     pivots = keyed.groupBy("h").agg(F.min(F.struct(F.xxhash64("v").alias("o"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
