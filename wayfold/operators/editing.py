@@ -138,3 +138,82 @@ def extracted(samples: DataFrame, segments: DataFrame, locked: DataFrame | None
     s = joins.points_in_intervals(s, segments, start="a_start", end="a_end", how="left")
     s = I.islands(s, I.per_device(), "_new", F.col("seg_no"), F.when(F.col("seg_no").isNull(), F.col("item_no")))
     return s.withColumns({"item_no": F.col("_new"), "kind_visit": F.coalesce("to_visit", "kind_visit")}).drop("_new", "seg_no", "a_start", "a_end", "to_visit")
+
+
+def paths_between(samples: DataFrame) -> DataFrame:
+    """Segments for extracted(): between visits that follow each other, the next one's first run of one type, if not stationary, else the other's last.
+
+    ``samples`` have an ``activity_type``; (device_id, seg_no, a_start, a_end, to_visit), seg_no being the next visit's number.
+    """
+    runs = I.islands(samples, W.partitionBy(*KEYS).orderBy(*I.BY_TIME), "run", F.col("activity_type"))
+    r = runs.groupBy(*KEYS, "run").agg(F.min("t").alias("a_start"), F.max("t").alias("a_end"), F.first("activity_type").alias("kind"))
+    at = F.struct("a_start", "a_end", "kind")
+    ends = r.groupBy(*KEYS).agg(F.min_by(at, "run").alias("first"), F.max_by(at, "run").alias("last"), F.min("a_start").alias("start_t"))
+    visit = samples.groupBy(*KEYS).agg(F.min_by(~I.moving(), F.struct(*I.BY_TIME)).alias("is_visit"))
+    o = W.partitionBy("device_id").orderBy("start_t", "item_no")
+    x = ends.join(visit, KEYS)
+    x = x.withColumn("before", F.lag(F.struct("is_visit", "last")).over(o)).filter("is_visit and before.is_visit")
+    path = lambda c: ~c["kind"].eqNullSafe("stationary")
+    x = x.withColumn("s", F.when(path(F.col("first")), F.col("first")).when(path(F.col("before.last")), F.col("before.last"))).filter("s is not null")
+    return x.select("device_id", F.col("item_no").alias("seg_no"), "s.a_start", "s.a_end", F.lit(False).alias("to_visit"))
+
+
+def _near(items: DataFrame, edges: DataFrame, t: str) -> DataFrame:
+    """(device_id, item_no, near): of each edge (device_id, item_no, at) the other item whose time ``t`` is nearest; the earlier of two, then the lesser number."""
+    w = W.partitionBy("device_id")
+    rising, falling = ("at", F.col("r").isNull(), F.desc("item_no")), (F.desc("at"), F.col("r").isNull(), F.desc("item_no"))
+    one = items.select("device_id", F.col(t).alias("at"), "item_no").withColumn("r", F.struct("at", "item_no"))
+    # an item isn't near itself: its neighbour in this order stands in
+    one = one.withColumn("r", F.struct("r.*", F.lag("r").over(w.orderBy(*rising)).alias("prior"), F.lag("r").over(w.orderBy(*falling)).alias("later")))
+    both = one.unionByName(edges.withColumn("r", F.lit(None).cast(one.schema["r"].dataType)))
+    up, down = (w.orderBy(*by).rowsBetween(W.unboundedPreceding, 0) for by in (rising, falling))
+    both = both.withColumns({"b": F.last("r", True).over(up), "a": F.last("r", True).over(down)}).filter("r is null")
+    other = lambda c, side: F.when(c["item_no"] == F.col("item_no"), c[side]).otherwise(F.struct(c["at"].alias("at"), c["item_no"].alias("item_no")))
+    b, a = other(F.col("b"), "prior"), other(F.col("a"), "later")
+    nearer = b.isNotNull() & (a.isNull() | (F.col("at") - b["at"] <= a["at"] - F.col("at")))
+    return both.select("device_id", "item_no", F.when(nearer, b["item_no"]).otherwise(a["item_no"]).alias("near"))
+
+
+def healed(items: DataFrame) -> DataFrame:
+    """What becomes of items with broken edges: (device_id, item_no, absorbed_by, previous, next), a row each.
+
+    ``items`` have device_id, item_no, start_t, end_t, is_visit, previous, next, current, gone and locked. An edge is broken if it
+    leads to no live item; that of the current item ahead isn't. At a broken edge, an item of the same kind that spans the edge's
+    time absorbs the item; else the item nearest to it is linked, if it isn't linked to this one already and has no live item on
+    that side or one that is farther. Of several that want one side, the nearest gets it, then the lesser number. An item whose
+    edges both stay broken is absorbed by one that contains it. Locked items stay as they are. All edges are judged as they were before.
+    """
+    alive = staged(items.filter("not gone").select(*KEYS, "start_t", "end_t", "is_visit", "locked", "current", "previous", "next"), "alive")  # read a dozen times below
+    told = alive.select("device_id", "item_no", "start_t", "end_t", "is_visit", "locked", "current", "previous", "next")
+    for side in ("previous", "next"):  # a link to a dead item is none
+        seen = alive.select("device_id", F.col("item_no").alias(side), F.struct("start_t", "end_t").alias(f"{side}_at"))
+        told = told.join(seen, ["device_id", side], "left").withColumn(side, F.when(F.col(f"{side}_at").isNotNull(), F.col(side)))
+    told = staged(told, "told")
+    broken = told.filter("not locked").withColumns({"no_previous": F.col("previous").isNull(), "no_next": F.col("next").isNull() & ~F.col("current")}).filter("no_previous or no_next")
+    takers = told.filter("not locked").select("device_id", F.col("item_no").alias("taker"), F.col("is_visit").alias("kind"), "start_t", "end_t")
+    least = F.min(F.struct(F.col("taker_start"), "taker"))["taker"]
+
+    def spanning(b: DataFrame, t: str, keep: Column, strict: bool, name: str) -> DataFrame:
+        b = b.select("device_id", "item_no", "is_visit", F.col("start_t").alias("s"), F.col("end_t").alias("e"))
+        found = joins.points_in_intervals(b, takers, t=t, strict=strict).filter(keep & (F.col("taker") != F.col("item_no"))).withColumn("taker_start", F.col("start_t"))
+        return found.groupBy("device_id", "item_no").agg(least.alias(name))
+
+    same = F.col("kind") == F.col("is_visit")
+    x = broken.join(spanning(broken.filter("no_previous"), "s", same, True, "over_previous"), KEYS, "left")
+    x = x.join(spanning(broken.filter("no_next"), "e", same, True, "over_next"), KEYS, "left")
+    x = x.join(spanning(broken, "s", F.col("end_t") >= F.col("e"), False, "holder"), KEYS, "left")
+    gap = lambda a, b: F.abs(F.greatest(a["start_t"], b["start_t"]) - F.least(a["end_t"], b["end_t"]))
+    me = F.struct("start_t", "end_t")
+    for side, back, own, theirs in (("previous", "next", "start_t", "end_t"), ("next", "previous", "end_t", "start_t")):
+        edges = broken.filter(f"no_{side}").select("device_id", F.col(own).alias("at"), "item_no")
+        near = told.select("device_id", F.col("item_no").alias("near"), F.struct("start_t", "end_t").alias("it"), F.col("locked").alias("shut"), F.col(back).alias("has"), F.col(f"{back}_at").alias("has_at"))
+        wish = x.filter(F.col("over_previous").isNull() & F.col("over_next").isNull()).select(*KEYS, me.alias("me"), F.col(back).alias("mine"))
+        wish = wish.join(_near(alive, edges, theirs), KEYS).join(near, ["device_id", "near"]).withColumn("gap", gap(F.col("it"), F.col("me")))
+        free = F.col("has").isNull() | (F.col("gap") < gap(F.col("it"), F.col("has_at")))
+        wish = wish.filter(~F.col("shut") & ~F.col("has").eqNullSafe(F.col("item_no")) & ~F.col("mine").eqNullSafe(F.col("near")) & free)
+        won = wish.groupBy("device_id", "near").agg(F.min(F.struct("gap", "item_no"))["item_no"].alias("item_no"))
+        x = x.join(won.select(*KEYS, F.col("near").alias(f"{side}_found")), KEYS, "left")
+    absorbed = F.coalesce("over_previous", "over_next")
+    lost = F.col("no_previous") & F.col("no_next") & F.col("previous_found").isNull() & F.col("next_found").isNull()
+    absorbed = F.when(absorbed.isNull() & lost, F.col("holder")).otherwise(absorbed)
+    return x.select(*KEYS, absorbed.alias("absorbed_by"), F.coalesce("previous", "previous_found").alias("previous"), F.coalesce("next", "next_found").alias("next"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import editing
 from wayfold.operators import items as I
 from wayfold.operators import merging
-from wayfold.plans.basics import items
+from wayfold.plans.basics import items, linked
 from wayfold.plans.sqltext import I as ITEMS
 from wayfold.plans.sqltext import USABLE, N, S, hav
 from wayfold.plans.statistics import numbered
@@ -103,3 +103,50 @@ def tl14(spark, sf):
     locked = items(spark, sf).filter("item_no % 11 = 0").select("device_id", F.col("start_t").alias("b_start"), F.col("end_t").alias("b_end"))
     cut = editing.extracted(numbered(spark, sf), legs.withColumn("to_visit", F.col("seg_no") % 8 == 1), locked)
     return cut.select("sample_id", "item_no", "kind_visit")
+
+
+BETWEEN = ITEMS + """, kept AS (SELECT n.*, i.is_visit FROM numbered n JOIN items i USING (device_id, item_no) WHERE item_no % 4 <> 2),
+ marked AS (SELECT *, CASE WHEN row_number() OVER o = 1 OR activity_type IS DISTINCT FROM lag(activity_type) OVER o THEN 1 ELSE 0 END AS f3 FROM kept WINDOW o AS (PARTITION BY device_id, item_no ORDER BY t, sample_id)),
+ runs AS (SELECT device_id, item_no, is_visit, run, min(t) AS x, max(t) AS y, any_value(activity_type) AS kind FROM (SELECT *, sum(f3) OVER (PARTITION BY device_id, item_no ORDER BY t, sample_id ROWS UNBOUNDED PRECEDING) AS run FROM marked) GROUP BY ALL),
+ tip AS (SELECT device_id, item_no, is_visit, arg_min({'x': x, 'y': y, 'kind': kind}, run) AS f, arg_max({'x': x, 'y': y, 'kind': kind}, run) AS l FROM runs GROUP BY ALL),
+ two AS (SELECT device_id, item_no, is_visit, f, lag(is_visit) OVER o AS pv, lag(l) OVER o AS pl FROM tip WINDOW o AS (PARTITION BY device_id ORDER BY item_no))
+ SELECT device_id, item_no AS seg_no, CASE WHEN f.kind IS DISTINCT FROM 'stationary' THEN f.x ELSE pl.x END AS a_start, CASE WHEN f.kind IS DISTINCT FROM 'stationary' THEN f.y ELSE pl.y END AS a_end
+ FROM two WHERE is_visit AND pv AND (f.kind IS DISTINCT FROM 'stationary' OR pl.kind IS DISTINCT FROM 'stationary')"""
+
+
+@query("tl15", BETWEEN)
+def tl15(spark, sf):
+    """What becomes a path between visits; in the fixture, every second path is missing."""
+    return editing.paths_between(numbered(spark, sf).filter("item_no % 4 <> 2")).select("device_id", "seg_no", "a_start", "a_end")
+
+
+GAP = "abs(greatest({a}.start_t, {b}.start_t) - least({a}.end_t, {b}.end_t))"
+
+
+def _wishes(side: str, back: str, own: str, theirs: str) -> str:
+    rank = f"row_number() OVER (PARTITION BY b.device_id, b.item_no ORDER BY abs(i.{theirs} - b.{own}), i.{theirs}, i.item_no)"
+    return f"""n_{side} AS (SELECT * FROM (SELECT b.device_id, b.item_no, i.item_no AS near, {rank} AS rk FROM broken b JOIN told i ON i.device_id = b.device_id AND i.item_no <> b.item_no WHERE no_{side}) WHERE rk = 1),
+ w_{side} AS (SELECT *, row_number() OVER (PARTITION BY device_id, near ORDER BY gap, item_no) AS wr FROM (SELECT w.device_id, w.item_no, near, {GAP.format(a="x", b="b")} AS gap FROM n_{side} w JOIN broken b ON b.device_id = w.device_id AND b.item_no = w.item_no JOIN told x ON x.device_id = w.device_id AND x.item_no = near
+   LEFT JOIN told h ON h.device_id = x.device_id AND h.item_no = x.{back} JOIN spans s ON s.device_id = w.device_id AND s.item_no = w.item_no
+   WHERE over IS NULL AND NOT x.locked AND x.{back} IS DISTINCT FROM w.item_no AND b.{back} IS DISTINCT FROM near AND (h.item_no IS NULL OR {GAP.format(a="x", b="b")} < {GAP.format(a="x", b="h")})))"""
+
+
+#: Every 4th item lasts 1,500 s longer, every 11th is locked.
+HEAL = ITEMS + f""", base0 AS (SELECT device_id, item_no, start_t, end_t + CASE WHEN item_no % 4 = 0 THEN 1500 ELSE 0 END AS end_t, is_visit, item_no % 11 = 0 AS locked, item_no % 7 = 0 AS gone, CASE WHEN item_no % 5 <> 0 THEN lag(item_no) OVER o END AS previous, CASE WHEN item_no % 6 <> 0 THEN lead(item_no) OVER o END AS next,
+  item_no = max(item_no) OVER (PARTITION BY device_id) AS current FROM items WINDOW o AS (PARTITION BY device_id ORDER BY item_no)),
+ told AS (SELECT * EXCLUDE (previous, next), CASE WHEN previous % 7 <> 0 THEN previous END AS previous, CASE WHEN next % 7 <> 0 THEN next END AS next FROM base0 WHERE NOT gone),
+ broken AS (SELECT * FROM (SELECT *, previous IS NULL AS no_previous, next IS NULL AND NOT current AS no_next FROM told WHERE NOT locked) WHERE no_previous OR no_next),
+ op AS (SELECT b.device_id, b.item_no, arg_min(i.item_no, (i.start_t, i.item_no)) AS over FROM broken b JOIN told i ON i.device_id = b.device_id AND i.item_no <> b.item_no AND NOT i.locked AND i.is_visit = b.is_visit AND i.start_t < b.start_t AND i.end_t > b.start_t WHERE no_previous GROUP BY ALL),
+ ox AS (SELECT b.device_id, b.item_no, arg_min(i.item_no, (i.start_t, i.item_no)) AS over FROM broken b JOIN told i ON i.device_id = b.device_id AND i.item_no <> b.item_no AND NOT i.locked AND i.is_visit = b.is_visit AND i.start_t < b.end_t AND i.end_t > b.end_t WHERE no_next GROUP BY ALL),
+ hold AS (SELECT b.device_id, b.item_no, arg_min(i.item_no, (i.start_t, i.item_no)) AS holder FROM broken b JOIN told i ON i.device_id = b.device_id AND i.item_no <> b.item_no AND NOT i.locked AND i.start_t <= b.start_t AND i.end_t >= b.end_t GROUP BY ALL),
+ spans AS (SELECT b.device_id, b.item_no, coalesce(op.over, ox.over) AS over, holder FROM broken b LEFT JOIN op USING (device_id, item_no) LEFT JOIN ox USING (device_id, item_no) LEFT JOIN hold USING (device_id, item_no)),
+ {_wishes("previous", "next", "start_t", "end_t")}, {_wishes("next", "previous", "end_t", "start_t")}
+ SELECT b.device_id, b.item_no, CASE WHEN s.over IS NOT NULL THEN s.over WHEN no_previous AND no_next AND p.near IS NULL AND x.near IS NULL THEN holder END AS absorbed_by, coalesce(b.previous, p.near) AS previous, coalesce(b.next, x.near) AS next
+ FROM broken b JOIN spans s USING (device_id, item_no) LEFT JOIN (SELECT * FROM w_previous WHERE wr = 1) p USING (device_id, item_no) LEFT JOIN (SELECT * FROM w_next WHERE wr = 1) x USING (device_id, item_no)"""
+
+
+@query("tl16", HEAL)
+def tl16(spark, sf):
+    """Broken edges healed; in the fixture, links are missing or lead to deleted items, every 4th item lasts longer, every 11th is locked."""
+    x = linked(spark, sf).withColumn("end_t", F.col("end_t") + F.when(F.col("item_no") % 4 == 0, 1500).otherwise(0))
+    return editing.healed(x.withColumn("locked", F.col("item_no") % 11 == 0))
