@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import items as I
 from wayfold.operators import joins, merging
-from wayfold.operators.tables import staged
+from wayfold.operators.tables import Scratch, staged
 from wayfold.schemas import LIMITS, Thresholds
 
 KEYS = merging.KEYS
@@ -107,20 +107,22 @@ def sanitise_edges(samples: DataFrame, limits: Thresholds = LIMITS, most: int =
     ``most`` bounds a pass over the timeline, as the number of steals an item: call again for the rest.
     """
     s = samples.withColumns({"kind_visit": F.first(~I.moving()).over(W.partitionBy(*KEYS).orderBy(*I.BY_TIME)), "moved": F.lit(False)})
-    s = staged(s, "edges")
+    scratch = Scratch(samples.sparkSession)
+    s = scratch.staged(s, "edges")
     for _ in range(most):
         plain = s.withColumn("moving_state", F.when(F.col("kind_visit"), "stationary").otherwise("moving"))
         moves = edge_moves(merging.facts(I.summarize(plain, limits), plain, limits), tips(plain), limits)
         first = F.row_number().over(W.partitionBy("device_id", "from_no").orderBy("t", "sample_id", "to_no"))
         moves = moves.withColumn("i", first).filter((F.col("i") == 1) | (F.col("from_n") > limits.path_valid_samples + 1))
-        moves = staged(moves.dropDuplicates(["device_id", "sample_id"]).select("device_id", "sample_id", "from_no", "to_no"), "moves")
+        moves = scratch.staged(moves.dropDuplicates(["device_id", "sample_id"]).select("device_id", "sample_id", "from_no", "to_no"), "moves")
         if not moves.limit(1).count():
             break
         # what the taker is: a visit takes from paths and gives to them, paths take from paths
         kinds = s.groupBy("device_id", F.col("item_no").alias("to_no")).agg(F.first("kind_visit").alias("to_visit"))
         s = s.join(moves.join(kinds, ["device_id", "to_no"]).drop("from_no"), ["device_id", "sample_id"], "left")
         s = s.withColumns({"item_no": F.coalesce("to_no", "item_no"), "kind_visit": F.coalesce("to_visit", "kind_visit"), "moved": F.col("moved") | F.col("to_no").isNotNull()})
-        s = staged(s.drop("to_no", "to_visit"), "edges")
+        s = scratch.staged(s.drop("to_no", "to_visit"), "edges")
+        scratch.drop(but=(s,))  # the round before
     return s
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 from wayfold.operators import items as I
-from wayfold.operators.tables import staged
+from wayfold.operators.tables import Scratch
 from wayfold.schemas import LIMITS, Thresholds
 
 KEYS = ["device_id", "item_no"]
@@ -160,13 +160,15 @@ def merge_rounds(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     number goes to the samples of the others. A merged item keeps its kind. It ends, as every merge removes an item.
     """
     s = samples.withColumn("kind_visit", F.first(~I.moving()).over(W.partitionBy(*KEYS).orderBy("t", "sample_id")))
-    s = staged(s, "merge")
+    scratch = Scratch(samples.sparkSession)
+    s = scratch.staged(s, "merge")
     while True:
         plain = s.withColumn("moving_state", F.when(F.col("kind_visit"), "stationary").otherwise("moving"))
         rows = facts(I.summarize(plain, limits), plain, limits)
         moves = chosen(scored(rows)).select("device_id", "k", F.col("keeper.is_visit").alias("kv"), F.explode(F.array_compact(F.array("b", "d"))).alias("item_no"))
-        moves = staged(moves, "moves")
+        moves = scratch.staged(moves, "moves")
         if not moves.limit(1).count():
             return s
         s = s.join(moves, KEYS, "left").withColumns({"item_no": F.coalesce("k", "item_no"), "kind_visit": F.coalesce("kv", "kind_visit")}).drop("k", "kv")
-        s = staged(s, "merge")
+        s = scratch.staged(s, "merge")
+        scratch.drop(but=(s,))  # the round before
