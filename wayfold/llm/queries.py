@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, editcount, linededup, mixing, neardup, pages, quality, resample, sstable, tiered, toxicity
+from . import chat, decontaminate, editcount, linededup, mixing, neardup, pages, pii, quality, resample, sstable, tiered, toxicity
 from .common import read, staged
 
 
@@ -92,6 +92,13 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank", "n_words")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op13_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tiered.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score", "tier")
@@ -103,5 +110,5 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_line_dedup, op6_html_extraction, op7_sstable, op8_mixing, op9_edit_counts, op10_decontamination, op11_resample, op13_tiered_search)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_rules, op3_toxicity, op4_chat_formatting, op5_line_dedup, op6_html_extraction, op7_sstable, op8_mixing, op9_edit_counts, op10_decontamination, op11_resample, op12_pii, op13_tiered_search)}
 ORACLES = {"op2_quality_rules": quality.ORACLE, "op5_line_dedup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
