@@ -502,7 +502,9 @@ def train(docs: DataFrame, *, sample: int = 200, max_chars: int = 4000, made: in
     such texts the made-up lines are all there is.
     """
     t = docs.select(F.col(text_col).cast("string").alias("text")).filter((F.length("text") <= max_chars) & F.col("text").rlike(r"[0-9@]"))
-    texts = [r["text"] for r in t.groupBy(F.xxhash64("text").alias("h")).agg(F.min("text").alias("text")).orderBy("h").limit(sample).select("text").collect()]
+    t = t.withColumn("h", F.xxhash64("text"))
+    least = t.select("h").distinct().orderBy("h").limit(sample)  # numbers alone are gathered, then ``sample`` texts
+    texts = [r["text"] for r in t.join(F.broadcast(least), "h").groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()]
     words = sorted({w for x in texts for w in re.findall(r"[^\W\d_]+", x) if len(w) <= 12}) or ["the", "name", "of", "and", "box", "under", "with", "from"]
     return fit([(x, _apart(patterns(x))) for x in texts] + made_lines(words, made))
 
