@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
-from wayfold.schemas import TYPES
 
 #: Samples that fill a model, by the depth of its parent (fixed values).
 CAPS = {0: 7200, 1: 1800, 2: 80}
@@ -24,44 +23,86 @@ def geo_key(name: Column, lat: Column, lng: Column, depth: int) -> Column:
     return F.format_string(f"GD{depth} %s %.2f,%.2f", name, geo.cell_min(lat, depth, -90.0) + half[0], geo.cell_min(lng, depth, -180.0) + half[1])
 
 
+def _ranges(values: DataFrame, keys: list[str], low: Column, high: Column, bins: int) -> DataFrame:
+    """(keys, ranges): the values from ``low`` to ``high`` counted by equal ranges, as sorted (bin, n, lo, hi) of the filled ones, ``bins`` at most."""
+    place = F.when(high > low, F.least(F.floor((F.col("value") - low) / (high - low) * bins), F.lit(bins - 1))).otherwise(0)
+    counts = values.filter(F.col("value").between(low, high)).groupBy(*keys, place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "lo", "hi"))).alias("ranges"))
+
+
+def _holding(ranges: Column, rank: Column) -> Column:
+    """(lo, hi, rank) of the range that holds the value of a rank from 0, and the rank within it."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), rank.cast("bigint").alias("rank"))
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["lo"].isNull() & (a["before"] + x["n"] > rank)
+        pick = lambda name, new: F.when(here, new).otherwise(a[name]).alias(name)
+        return F.struct((a["before"] + x["n"]).alias("before"), pick("lo", x["lo"]), pick("hi", x["hi"]), pick("rank", rank - a["before"]))
+
+    return F.aggregate(ranges, start, step, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"), a["rank"].alias("rank")))
+
+
+def quartiles(values: DataFrame, state: DataFrame, keys: list[str], kept: list[str], bins: int = 1024, rounds: int = 1) -> DataFrame:
+    """(keys, kept, q1, q3): exact order statistics by selection, without a sort of a key's values.
+
+    ``state`` has the ranges q1 and q3 (lo, hi, rank) that hold both. Each round counts the values in these by ``bins`` finer ranges, with
+    map-side sums, so that a task sends a few numbers a key; what is left after the rounds is a sliver of the range, gathered by
+    distinct values. What the state knows of a key goes along in the groups, so that nothing is computed twice.
+    """
+    by = [*keys, "s"]
+    for k in range(rounds + 1):
+        last = k == rounds
+        v = F.col("value")
+        held = lambda q: v.between(F.col(f"{q}.lo"), F.col(f"{q}.hi"))  # noqa: B023, E731
+        own = [F.when(held(q), F.struct(F.lit(q).alias("q"), *[F.col(f"{q}.{x}").alias(x) for x in ("lo", "hi", "rank")], *kept)) for q in ("q1", "q3")]
+        x = values.join(state, keys).filter(held("q1") | held("q3")).select(*keys, v, F.explode(F.array_compact(F.array(*own))).alias("s"))
+        lo, hi = F.col("s.lo"), F.col("s.hi")
+        place = v if last else F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0).cast("int")
+        x = x.groupBy(*by, place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+        x = x.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "n", "lo", "hi"))).alias("ranges"))
+        x = x.select(*keys, "s", _holding(F.col("ranges"), F.col("s.rank")).alias("h"))
+        one = lambda q: F.max(F.when(F.col("s.q") == q, F.col("h"))).alias(q)
+        state = x.groupBy(*keys, *[F.col(f"s.{c}").alias(c) for c in kept]).agg(one("q1"), one("q3"))
+    return state.select(*keys, *kept, F.col("q1.lo").alias("q1"), F.col("q3.lo").alias("q3"))
+
+
 def histograms(values: DataFrame, *keys: str, trim: Column | bool = False, low: Column | float | None = None, high: Column | float | None = None, pseudo: Column | int = 1, snap: bool = False) -> DataFrame:
     """One histogram a key over column ``value``: (keys, bins, min, max, pseudo).
 
     Values beyond four deviations are trimmed on request, then the bounds hold; both may depend on the keys. Bins follow
     Freedman and Diaconis with quartiles by index, ten bins where that width is no more than the spread over the count.
-    Repeated values are counted first, so that a hot key is met as many times as it has distinct values.
+    Values are met by a few scans with map-side sums and never sorted or shuffled: a hot key costs what its rows cost, spread over all tasks.
     """
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    v = values.filter(F.col("value").isNotNull())
-    if trim is not False:
-        limits = v.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-        near = F.col("value").between(F.col("_m") - 4 * F.col("_s"), F.col("_m") + 4 * F.col("_s"))
-        v = v.join(limits, list(keys)).filter(~col(trim) | near)
-    if low is not None:
-        v = v.filter(F.coalesce(F.col("value") >= col(low), F.lit(True)))
-    if high is not None:
-        v = v.filter(F.coalesce(F.col("value") <= col(high), F.lit(True)))
-    counts = v.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    along = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("_upto", F.sum("_n").over(along))
-    stat = counts.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    counts = counts.join(stat, list(keys))
-    at = lambda q: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * q), F.col("value")))
-    quart = counts.groupBy(*keys).agg(at(0.25).alias("_q1"), at(0.75).alias("_q3"))
+    keys = list(keys)
+    v = values.filter(F.col("value").isNotNull()).withColumn("value", F.col("value").cast("double"))
+    near = lambda sign: F.when(col(trim), F.avg("value") + sign * 4 * F.stddev_pop("value"))
+    ends = v.groupBy(*keys).agg(F.min("value").alias("_min"), F.max("value").alias("_max"), *([] if trim is False else [near(-1).alias("_near"), near(1).alias("_far")]))
+    none = F.lit(None).cast("double")
+    side = lambda name: none if trim is False else F.col(name)
+    ends = ends.select(*keys, F.greatest("_min", side("_near"), none if low is None else col(low)).alias("_from"), F.least("_max", side("_far"), none if high is None else col(high)).alias("_to"))
+    v = v.join(ends, keys).filter(F.col("value").between(F.col("_from"), F.col("_to")))
+    stat = _ranges(v, [*keys, "_from", "_to"], F.col("_from"), F.col("_to"), 1024)
+    every = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    stat = stat.select(*keys, every.alias("_all"), F.get("ranges", F.lit(0))["lo"].alias("_lo"), F.element_at("ranges", -1)["hi"].alias("_hi"), "ranges")
+    at = lambda q: _holding(F.col("ranges"), F.floor(F.col("_all") * q))
+    kept = ["_all", "_lo", "_hi"]
+    stat = quartiles(v.select(*keys, "value"), stat.select(*keys, *kept, at(0.25).alias("q1"), at(0.75).alias("q3")), keys, kept)
     spread = F.col("_hi") - F.col("_lo")
-    width = 2 * (F.col("_q3") - F.col("_q1")) * F.pow(F.col("_all").cast("double"), F.lit(-1.0) / 3.0)
+    width = 2 * (F.col("q3") - F.col("q1")) * F.pow(F.col("_all").cast("double"), F.lit(-1.0) / 3.0)
     n_bins = F.when(spread <= 0, 1).when(width <= spread / F.col("_all"), 10).otherwise(F.ceil(F.try_divide(spread, width))).cast("int")
     lo, hi = F.col("_lo"), F.col("_hi")
     if snap and low is not None and high is not None:
         low, high = col(low), col(high)
         lo = F.when(lo - low < (high - low) * 0.02, low).otherwise(lo)
         hi = F.when(high - hi < (high - low) * 0.02, high).otherwise(hi)
-    stat = stat.join(quart, list(keys)).select(*keys, "_all", lo.alias("min"), hi.alias("max"), n_bins.alias("_bins"))
-    b = counts.select(*keys, "value", "_n").join(stat, list(keys))
+    stat = stat.select(*keys, "_all", lo.alias("min"), hi.alias("max"), n_bins.alias("_bins"))
+    b = v.select(*keys, "value").join(stat, keys)
     place = (F.col("value") - F.col("min")) / ((F.col("max") - F.col("min")) / F.col("_bins"))
     place = F.when(F.col("_bins") == 1, F.lit(0)).otherwise(F.least(F.floor(place), F.col("_bins") - 1)).cast("int")
-    filled = b.groupBy(*keys, place.alias("_bin")).agg(F.sum("_n").alias("_c")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_m"))
-    out = stat.join(filled, list(keys))
+    bound = ["min", "max", "_bins"]
+    filled = b.groupBy(*keys, *bound, place.alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    out = filled.groupBy(*keys, *bound).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_c"))).alias("_m"))
     one = F.col("min") >= F.col("max")
     many = F.transform(F.sequence(F.lit(0), F.col("_bins") - 1), lambda i: (F.coalesce(F.element_at("_m", i), F.lit(0)) + col(pseudo)).cast("int"))
     return out.select(*keys, F.when(one, F.array((col(pseudo) + 1).cast("int"))).otherwise(many).alias("bins"), "min", "max", col(pseudo).cast("int").alias("pseudo"))
@@ -162,43 +203,6 @@ def train(samples: DataFrame, *cell: str) -> DataFrame:
     return base.join(wide, keys, "left")
 
 
-def score(depth: int = 0) -> Column:
-    """Of a sample next to a model: the product of the factors whose inputs it has, within 0 and 1."""
-    name, weight = F.col("confirmed_type"), (lambda w: w if depth == 2 else 1.0)
-    pct = F.col("moving_pct")
-    larger = F.greatest(pct, 1 - pct)
-    factors = [
-        F.when(F.col("moving_state") == "moving", pct / larger).when(F.col("moving_state") == "stationary", (1 - pct) / larger),
-        F.when(F.col("speed_value") >= 0, probability(F.col("speed"), F.col("speed_value")) * weight(2.0)),
-        F.when(F.col("step_hz_value").isNotNull(), probability(F.col("step_hz"), F.col("step_hz_value")) * weight(1.2)),
-        F.when(F.col("variance_value").isNotNull(), probability(F.col("variance"), F.col("variance_value")) * weight(1.2)),
-        F.when((name != "stationary") & F.col("xy_value").isNotNull(), probability(F.col("xy"), F.col("xy_value")) * weight(1.2)),
-        F.when((name != "stationary") & F.col("z_value").isNotNull(), probability(F.col("z"), F.col("z_value")) * weight(1.2)),
-        F.when(F.col("altitude_value") != -1000, probability(F.col("altitude"), F.col("altitude_value"))),
-    ]
-    if depth > 0:
-        factors.append(F.when((name != "stationary") & (F.col("course_value") >= 0), probability(F.col("course"), F.col("course_value"))))
-        factors.append(F.when(~name.isin("stationary", "walking", "running"), probability(F.col("time_of_day"), F.col("time_of_day_value"))))
-    if depth == 2:
-        factors.append(F.when(F.col("h_acc_value") >= 0, probability(F.col("h_acc"), F.col("h_acc_value"))))
-    out = F.lit(1.0)
-    for f in factors:
-        out = out * F.coalesce(f, F.lit(1.0))
-    return geo.clamp(out, 0.0, 1.0)
-
-
-def classify(samples: DataFrame, models: DataFrame) -> DataFrame:
-    """(sample_id, name, score) of each sample and model of depth 0, weighed by the model's share of all samples.
-
-    Each sample meets the models by the names of the activity types, which are 32.
-    """
-    s = samples.withColumn("time_of_day", (F.col("t") % 86400).cast("double"))
-    s = s.select("sample_id", "moving_state", *[F.col(column).cast("double").alias(f"{name}_value") for name, (column, *_) in FEATURES.items()])
-    m = models.withColumn("_all", F.sum("total_samples").over(W.partitionBy()))  # at most a row a type
-    pairs = s.withColumn("confirmed_type", F.explode(F.array(*map(F.lit, TYPES)))).join(m, "confirmed_type")
-    return pairs.select("sample_id", F.col("confirmed_type").alias("name"), (score(0) * F.col("total_samples") / (1 + F.col("_all"))).alias("score"))
-
-
 def best(scores: DataFrame) -> DataFrame:
     """The name of the highest score above 0 of each sample, unknown if there is none; ties by name."""
     top = scores.groupBy("sample_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
@@ -217,19 +221,3 @@ def serialise_matrix(cells: DataFrame, depth: int, *keys: str) -> DataFrame:
     bins = F.array_sort(F.collect_list(F.struct("lat_bin", "lng_bin", "n")))
     text = F.transform(bins, lambda b: F.concat_ws(",", b["lat_bin"].cast("string"), b["lng_bin"].cast("string"), b["n"].cast("string")))
     return cells.groupBy(*keys, "cell_lat", "cell_lng").agg(F.concat(F.lit(f"{rows},{cols},0;"), F.array_join(text, ";")).alias("bins"))
-
-
-def blended(samples: DataFrame) -> DataFrame:
-    """Scores at depth 2 (cells of a tenth of a degree) blended with depth 0 by the cell's completeness; a side that is missing adds nothing."""
-    cell = {"la": geo.cell_min(F.col("latitude"), 2, -90.0), "lo": geo.cell_min(F.col("longitude"), 2, -180.0)}
-    s = samples.withColumns(cell)
-    local = train(s, "la", "lo")
-    whole = local.groupBy("la", "lo").agg(F.sum("total_samples").alias("_all"), F.avg(completeness(F.col("total_samples"), 2)).alias("_complete"))
-    timed = s.withColumn("time_of_day", (F.col("t") % 86400).cast("double"))
-    values = timed.select("sample_id", "la", "lo", "moving_state", *[F.col(column).cast("double").alias(f"{name}_value") for name, (column, *_) in FEATURES.items()])
-    near = values.join(local.join(whole, ["la", "lo"]), ["la", "lo"])
-    near = near.select("sample_id", F.col("confirmed_type").alias("name"), (score(2) * F.col("total_samples") / (1 + F.col("_all"))).alias("near"))
-    far = classify(samples, train(samples)).withColumnRenamed("score", "far")
-    weight = values.select("sample_id", "la", "lo").join(whole.select("la", "lo", "_complete"), ["la", "lo"], "left").select("sample_id", F.coalesce("_complete", F.lit(0.0)).alias("w"))
-    both = near.join(far, ["sample_id", "name"], "full").join(weight, "sample_id")
-    return both.select("sample_id", "name", (F.coalesce("near", F.lit(0.0)) * F.col("w") + F.coalesce("far", F.lit(0.0)) * (1 - F.col("w"))).alias("score"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wayfold.operators import classifier as C
 from wayfold.operators import models as M
 from wayfold.plans.basics import usable
 from wayfold.plans.geography import cell_sql
@@ -17,10 +18,10 @@ def r(c, n):
     return F.round(c, n)
 
 
-def hist_sql(name: str, value: str, where: str, trim: bool, low: float | None, pseudo: int = 1) -> str:
+def hist_sql(name: str, value: str, where: str, trim: bool, low: float | None, pseudo: int = 1, key: str = "confirmed_type", source: str = "samples", high: float | None = None) -> str:
     """CTEs that end in ``name``_h: (k, bins, lo, hi)."""
-    v = f"{name}_v AS (SELECT confirmed_type AS k, {value}::DOUBLE AS v FROM samples WHERE confirmed_type IS NOT NULL AND {USABLE} AND {where})"
-    t = f"{name}_t AS (SELECT x.* FROM {name}_v x JOIN (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM {name}_v GROUP BY k) y USING (k) WHERE {'v BETWEEN m - 4 * s AND m + 4 * s' if trim else 'true'} {'AND v >= %r' % low if low is not None else ''})"
+    v = f"{name}_v AS (SELECT {key} AS k, {value}::DOUBLE AS v FROM {source} WHERE confirmed_type IS NOT NULL AND {USABLE} AND {where})"
+    t = f"{name}_t AS (SELECT x.* FROM {name}_v x JOIN (SELECT k, avg(v) AS m, stddev_pop(v) AS s FROM {name}_v GROUP BY k) y USING (k) WHERE {'v BETWEEN m - 4 * s AND m + 4 * s' if trim else 'true'} {'AND v >= %r' % low if low is not None else ''} {'AND v <= %r' % high if high is not None else ''})"
     q = f"{name}_q AS (SELECT k, count(*) AS n, min(v) AS lo, max(v) AS hi, list_sort(list(v))[floor(count(*) / 4)::INT + 1] AS q1, list_sort(list(v))[floor(count(*) * 3 / 4)::INT + 1] AS q3 FROM {name}_t GROUP BY k)"
     b = f"{name}_b AS (SELECT *, CASE WHEN hi <= lo THEN 1 WHEN 2 * (q3 - q1) * pow(n, -1.0 / 3) <= (hi - lo) / n THEN 10 ELSE ceil((hi - lo) / (2 * (q3 - q1) * pow(n, -1e0 / 3e0))) END::INT AS nb FROM {name}_q)"
     c = f"{name}_c AS (SELECT k, CASE WHEN nb = 1 THEN 0 ELSE least(floor((v - lo) / ((hi - lo) / nb)), nb - 1) END::INT AS i, count(*) AS c FROM {name}_t JOIN {name}_b USING (k) GROUP BY ALL)"
@@ -164,12 +165,12 @@ HISTS = ", ".join(
 )
 
 
-def _factor(h: str, v: str, when: str) -> str:
+def factor_sql(h: str, v: str, when: str, weight: str = "1e0") -> str:
     body = (
         f"CASE WHEN len({h}.bins) = 1 THEN CASE WHEN {v} = {h}.lo THEN 1.0 ELSE 0.0 END WHEN {v} = {h}.hi THEN {h}.bins[len({h}.bins)] / list_max({h}.bins)::DOUBLE "
         f"WHEN floor(({v} - {h}.lo) / (({h}.hi - {h}.lo) / len({h}.bins))) BETWEEN 0 AND len({h}.bins) - 1 THEN {h}.bins[floor(({v} - {h}.lo) / (({h}.hi - {h}.lo) / len({h}.bins)))::INT + 1] / list_max({h}.bins)::DOUBLE ELSE 0.0 END"
     )
-    return f"CASE WHEN {when} THEN coalesce({body}, 0) ELSE 1 END"
+    return f"CASE WHEN {when} THEN coalesce({body}, 0) * {weight} ELSE 1 END"
 
 
 SCORES = (
@@ -178,16 +179,15 @@ SCORES = (
     + HISTS
     + f""", m AS (SELECT confirmed_type AS k, count(*) AS n, coalesce(count(*) FILTER (moving_state = 'moving') / nullif(count(*) FILTER (moving_state <> 'uncertain'), 0)::DOUBLE, 0.5) AS p FROM samples WHERE confirmed_type IS NOT NULL AND {USABLE} GROUP BY 1),
   sc AS (SELECT s.sample_id, m.k AS name, greatest(0, least(1, CASE moving_state WHEN 'moving' THEN p / greatest(p, 1 - p) WHEN 'stationary' THEN (1 - p) / greatest(p, 1 - p) ELSE 1 END
-    * {_factor('speed_h', 's.speed', 's.speed >= 0')} * {_factor('step_h', 's.step_hz', 's.step_hz IS NOT NULL')} * {_factor('cv_h', 's.course_variance', 's.course_variance IS NOT NULL')}
-    * {_factor('xy_h', 's.xy_acc', "m.k <> 'stationary' AND s.xy_acc IS NOT NULL")} * {_factor('z_h', 's.z_acc', "m.k <> 'stationary' AND s.z_acc IS NOT NULL")} * {_factor('altitude_h', 's.altitude', 's.altitude <> -1000')}))
+    * {factor_sql('speed_h', 's.speed', 's.speed >= 0')} * {factor_sql('step_h', 's.step_hz', 's.step_hz IS NOT NULL')} * {factor_sql('cv_h', 's.course_variance', 's.course_variance IS NOT NULL')}
+    * {factor_sql('xy_h', 's.xy_acc', "m.k <> 'stationary' AND s.xy_acc IS NOT NULL")} * {factor_sql('z_h', 's.z_acc', "m.k <> 'stationary' AND s.z_acc IS NOT NULL")} * {factor_sql('altitude_h', 's.altitude', 's.altitude <> -1000')}))
     * m.n / (1 + (SELECT sum(n) FROM m)) AS score
   FROM samples s CROSS JOIN m LEFT JOIN speed_h ON speed_h.k = m.k LEFT JOIN step_h ON step_h.k = m.k LEFT JOIN cv_h ON cv_h.k = m.k LEFT JOIN xy_h ON xy_h.k = m.k LEFT JOIN z_h ON z_h.k = m.k LEFT JOIN altitude_h ON altitude_h.k = m.k)"""
 )
 
 
 def scores(spark, sf):
-    s = samples(spark, sf)
-    return M.classify(s, M.train(s))
+    return C.world(samples(spark, sf))
 
 
 @query("ml01", SCORES + " SELECT sample_id, name, round(score, 9) AS score FROM sc")

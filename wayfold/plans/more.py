@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import folds, segments
 from wayfold.operators import items as I
+from wayfold.operators import classifier as C
 from wayfold.operators import models as M
 from wayfold.operators.brain import states
 from wayfold.plans.basics import AS_OF, usable
@@ -187,7 +188,7 @@ def ml08(spark, sf):
     n = numbered(spark, sf)
     i = I.summarize(n.drop("activity_type")).select("device_id", "item_no", (geo.clamp(F.col("radius_mean") + 3 * F.col("radius_sd"), 10.0, 150.0) >= 150).alias("wide"))
     member = n.select("sample_id", "device_id", "item_no").join(i, ["device_id", "item_no"])
-    a = M.classify(s, M.train(s)).join(member, "sample_id").groupBy("device_id", "item_no", "name").agg(F.avg("score").alias("s"), F.bool_or("wide").alias("wide"))
+    a = C.world(s).join(member, "sample_id").groupBy("device_id", "item_no", "name").agg(F.avg("score").alias("s"), F.bool_or("wide").alias("wide"))
     return a.select("device_id", "item_no", "name", r(F.when((F.col("name") == "stationary") & F.col("wide"), 0.0).otherwise(F.col("s")), 9).alias("score"))
 
 
@@ -202,13 +203,6 @@ def ml05(spark, sf):
     return f.select("sample_id", F.col("confirmed_type").alias("name"), r("factor", 9).alias("factor"))
 
 
-@query("ml06")
-def ml06(spark, sf):
-    """Scores of the tenth-degree cell blended with those of the world by the cell's completeness."""
-    s = samples(spark, sf).filter(usable())
-    return M.blended(s).select("sample_id", "name", r("score", 9).alias("score"))
-
-
 @query("ml13", SCORES + " SELECT name, round(least(1.0, count(*) / 1e3), 9) AS coverage FROM sc WHERE score > 0 GROUP BY 1")
 def ml13(spark, sf):
     return scores(spark, sf).filter("score > 0").groupBy("name").agg(r(F.least(F.lit(1.0), F.count(F.lit(1)) / 1e3), 9).alias("coverage"))
