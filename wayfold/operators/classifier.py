@@ -79,9 +79,24 @@ def _inside(depth: Column) -> Column:
     return F.col("lat_bin").between(0, rows - 1) & F.col("lng_bin").between(0, cols - 1)
 
 
+def _chances(feature: str) -> Column:
+    """A histogram with the chances of its bins instead of their counts: divided once a model, not once a sample."""
+    top = F.array_max(f"{feature}.bins")
+    return F.when(F.col(feature).isNotNull(), F.struct(F.transform(f"{feature}.bins", lambda x: x / top).alias("p"), f"{feature}.min", f"{feature}.max")).alias(feature)
+
+
+def _chance(h: Column, value: Column) -> Column:
+    """What models.probability() says, of a histogram with chances."""
+    n = F.size(h["p"])
+    width = (h["max"] - h["min"]) / n
+    place = F.when(value == h["max"], n - 1).otherwise(F.greatest(F.lit(-1), F.least(n, F.floor((value - h["min"]) / F.nullif(width, F.lit(0.0))))))
+    many = F.get(h["p"], place.cast("int"))  # null beyond the ends
+    return F.coalesce(F.when(n == 1, F.when(value == h["min"], 1.0)).otherwise(many), F.lit(0.0))
+
+
 def sets(models: DataFrame, names: tuple[str, ...] = TYPES) -> DataFrame:
     """A row a cell: ``models`` as an array in the order of ``names``, null where there is none, their samples in all, and how complete they are."""
-    held = [c for c in models.columns if c not in (*CELL, "confirmed_type")]
+    held = [c for c in models.columns if c not in (*CELL, "confirmed_type", *M.FEATURES)] + [_chances(f) for f in M.FEATURES]
     full = F.when(F.col("confirmed_type") != "bogus", _complete(F.col("total_samples"), F.col("depth")))
     g = models.groupBy(*CELL).agg(
         F.map_from_entries(F.collect_list(F.struct("confirmed_type", F.struct(F.col("confirmed_type").alias("name"), *held)))).alias("_m"),
@@ -106,7 +121,7 @@ def raw_score(m: Column, depth: int, place: Column | None = None) -> Column:
     name, weight = m["name"], (lambda w: w if depth == 2 else 1.0)
     pct = m["moving_pct"]
     larger = F.greatest(pct, 1 - pct)
-    p = lambda feature, column: M.probability(m[feature], F.col(column).cast("double"))
+    p = lambda feature, column: _chance(m[feature], F.col(column).cast("double"))
     still = name.isin("stationary", "bogus")
     factors = [
         F.when(F.col("moving_state") == "moving", pct / larger).when(F.col("moving_state") == "stationary", (1 - pct) / larger),
@@ -119,7 +134,7 @@ def raw_score(m: Column, depth: int, place: Column | None = None) -> Column:
     ]
     if depth > 0:
         factors.append(F.when((name != "stationary") & (F.col("course") >= 0), p("course", "course")))
-        factors.append(F.when(~name.isin("stationary", "walking", "running"), M.probability(m["time_of_day"], (F.col("t") % 86400).cast("double"))))
+        factors.append(F.when(~name.isin("stationary", "walking", "running"), _chance(m["time_of_day"], (F.col("t") % 86400).cast("double"))))
         if place is not None:
             factors.append(F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), place * weight(10.0)))
     if depth == 2:
