@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wayfold.operators.folds import Kalman, fold
-from wayfold.schemas import EARTH_M
+from wayfold.schemas import EARTH_M, SLEEP_STATES
 
-MIN_N, MAX_N, EXTRA, WORST_ACC, LEAST_BOUND, ENOUGH = 10, 60, 4, 300.0, 65.0, 6
+#: Fixes in the present window, how many it may be ahead of the past, the worst accuracy, the farthest bound, and fixes that are enough awake and frozen.
+MIN_N, MAX_N, EXTRA, WORST_ACC, LEAST_BOUND, ENOUGH, CERTAIN = 10, 60, 4, 300.0, 65.0, 6, 10
 
 
 def centre(fixes: list[tuple]) -> tuple[float, float, float]:
@@ -38,37 +40,74 @@ def required(accuracy: float, speed: float) -> int:
     return max(MIN_N, min(MAX_N, int(accuracy + max(0.0, min(10.0, 10 - speed * 3.6)))))
 
 
-def states(fixes: DataFrame) -> DataFrame:
-    """(sample_id, device_id, t, n_present, n_past, state) of each usable fix: uncertain, stationary or moving.
+class Brain:
+    """Both windows of a device, at most 60 fixes each, and what they say after each fix.
 
-    Windows hold at most 60 fixes each, so a device's state is bounded however long its history.
+    Frozen, the past stays as it was when sleep began, the present begins anew and has to grow to ``CERTAIN`` fixes before
+    it is trusted; the filter takes the first fix after waking nearly as it is.
     """
-    d = fixes.filter("latitude is not null and h_acc >= 0 and not (latitude = 0 and longitude = 0)").select("device_id", "t", "sample_id", "latitude", "longitude", "h_acc", "speed")
 
-    def start():
-        return {"place": Kalman(4.0), "now": [], "past": []}
+    def __init__(self):
+        self.place, self.now, self.past = Kalman(4.0), [], []
+        self.frozen, self.since = False, None
 
-    def step(s: dict, r: tuple):
-        device, t, sample, lat, lng, acc, speed = r
-        if s["place"].t is not None and t <= s["place"].t:
+    def freeze(self) -> None:
+        self.frozen, self.since, self.now = True, None, []
+        if self.place.t is not None:
+            self.place.variance = WORST_ACC**2
+
+    def take(self, t: float, lat: float, lng: float, acc: float, speed: float) -> tuple | None:
+        """(n_present, n_past, latitude, longitude, accuracy, state, frozen, since) after a fix, None for one that isn't newer than the last."""
+        if self.place.t is not None and t <= self.place.t:
             return None
-        lat, lng = s["place"].update(t, acc, (lat, lng))
-        now, past = s["now"], s["past"]
+        lat, lng = self.place.update(t, acc, (lat, lng))
+        now, past = self.now, self.past
         now.append((t, lat, lng, acc, speed))
-        known = [f[4] for f in now if f[4] >= 0]
-        need = required(s["place"].variance**0.5, sum(known) / len(known) if known else -1.0)
-        while len(now) > need or len(now) > len(past) + EXTRA and len(now) > 1:
-            past.append(now.pop(0))
-        while len(past) > 2 and len(past) > len(now):
+        known = [f[4] for f in now if f[4] is not None and f[4] >= 0]
+        need = required(self.place.variance**0.5, sum(known) / len(known) if known else -1.0)
+        while len(now) > need or (not self.frozen and len(now) > len(past) + EXTRA and len(now) > 1):
+            oldest = now.pop(0)
+            if not self.frozen:
+                past.append(oldest)
+        while not self.frozen and len(past) > 2 and len(past) > len(now):
             past.pop(0)
         here = centre(now)
-        bound = max(here[2], LEAST_BOUND) if here[2] > LEAST_BOUND else min(max(here[2], 0.0), LEAST_BOUND)
+        bound = max(here[2], 0.0) if self.frozen else min(max(here[2], 0.0), LEAST_BOUND)
         if here[2] > WORST_ACC:
             state = "uncertain"
         elif past and metres(here, centre(past)) <= bound:
             state = "stationary"
         else:
-            state = "moving" if len(now) >= ENOUGH else "uncertain"
-        return sample, device, t, len(now), len(past), state
+            state = "moving" if len(now) >= (CERTAIN if self.frozen else ENOUGH) else "uncertain"
+        self.since = (t if self.since is None else self.since) if state == "stationary" else None
+        frozen = self.frozen
+        if len(now) >= (CERTAIN if frozen else ENOUGH):
+            self.frozen = False
+        return len(now), len(past), *here, state, frozen, self.since
+
+
+BRAIN = "n_present bigint, n_past bigint, latitude double, longitude double, accuracy double, state string, frozen boolean, since bigint"
+
 
-    return fold(d, start, step, "sample_id bigint, device_id bigint, t bigint, n_present bigint, n_past bigint, state string")
+def states(fixes: DataFrame, sleeps: bool = False) -> DataFrame:
+    """(sample_id, device_id, t, n_present, n_past, latitude, longitude, accuracy, state, frozen, since) of each usable fix.
+
+    The place is the present window's weighted centre; ``since`` is when the standstill began. With ``sleeps`` a device's past freezes
+    when its recording_state falls asleep. Windows hold at most 60 fixes each, so a device's state is bounded however long its history.
+    """
+    asleep = F.col("recording_state").isin(*[x for x in SLEEP_STATES if x != "wakeup"]) if sleeps else F.lit(False)
+    usable = "latitude is not null and longitude is not null and h_acc >= 0 and not (latitude = 0 and longitude = 0)"
+    d = fixes.filter(usable).select("device_id", "t", "sample_id", "latitude", "longitude", "h_acc", "speed", asleep.alias("asleep"))
+
+    def start():
+        return {"brain": Brain(), "asleep": False}
+
+    def step(s: dict, r: tuple):
+        device, t, sample, lat, lng, acc, speed, sleeps_now = r
+        if sleeps_now and not s["asleep"]:
+            s["brain"].freeze()
+        s["asleep"] = bool(sleeps_now)
+        made = s["brain"].take(t, lat, lng, acc, speed)
+        return made and (sample, device, t, *made)
+
+    return fold(d, start, step, f"sample_id bigint, device_id bigint, t bigint, {BRAIN}")

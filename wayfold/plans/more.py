@@ -144,15 +144,54 @@ def st06(spark, sf):
     return samples(spark, sf).filter(usable()).withColumn("seen", before).filter("seen is null or (t > seen and t >= seen - 60)").select("sample_id")
 
 
+@query("st08")
+def st08(spark, sf):
+    """The present window's weighted centre and accuracy at each fix."""
+    return states(samples(spark, sf)).select("sample_id", r("latitude", 7).alias("latitude"), r("longitude", 7).alias("longitude"), r("accuracy", 4).alias("accuracy"))
+
+
 @query("st09")
 def st09(spark, sf):
-    return states(samples(spark, sf)).groupBy("device_id", "state").agg(F.count(F.lit(1)).alias("n"))
+    """The moving state at each fix, and since when a device stands still."""
+    return states(samples(spark, sf)).select("sample_id", "state", "since")
 
 
-@query("st08")
-def st08(spark, sf):
-    s = states(samples(spark, sf))
-    return s.groupBy("device_id").agg(F.max("n_present").alias("widest"), F.avg("n_past").alias("past"))
+@query("st10")
+def st10(spark, sf):
+    """The windows of devices whose past freezes when they fall asleep, until ten fixes are there again."""
+    return states(samples(spark, sf), sleeps=True).select("sample_id", "n_present", "n_past", "state", "frozen")
+
+
+def recorder_events(spark, sf):
+    """Each device's first sample starts the recorder; samples in standby or a wakeup aren't commands, all give fixes with their moving state; sleep of a leg that is off is deep."""
+    s = samples(spark, sf)
+    first = F.row_number().over(I.per_device()) == 1
+    fix = F.struct(F.lit("fix").alias("kind"), F.col("moving_state").alias("moving"), F.lit(None).cast("double").alias("until"))
+    none = F.lit(None).cast("string")
+    command = F.when(first, F.struct(F.lit("start").alias("kind"), none.alias("moving"), F.lit(None).cast("double").alias("until"))).when(
+        (F.col("idx") == 23) & (F.col("recording_state") == "off"), F.struct(F.lit("deep").alias("kind"), none.alias("moving"), (F.col("t") + 900).cast("double").alias("until"))
+    )
+    e = s.withColumn("_c", command).withColumn("_e", F.explode(F.array_compact(F.array("_c", fix))))
+    return e.select("device_id", F.col("t").cast("double").alias("t"), (2 * F.col("sample_id") + (F.col("_e.kind") == "fix").cast("int")).alias("event_id"), "_e.*")
+
+
+@query("st13")
+def st13(spark, sf):
+    from wayfold.operators.recorder import transitions
+
+    return transitions(recorder_events(spark, sf))
+
+
+@query("st21", S + """, f AS (SELECT *, CASE WHEN last_saved - lag(last_saved) OVER o <= 40 THEN 0 ELSE 1 END AS f FROM samples WINDOW o AS (PARTITION BY device_id ORDER BY last_saved, sample_id)),
+  g AS (SELECT *, sum(f) OVER (PARTITION BY device_id ORDER BY last_saved, sample_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
+  SELECT device_id, min(last_saved) AS since, max(last_saved) AS until, count(*) AS n_changes, count(DISTINCT sample_id % 50) AS n_changed FROM g GROUP BY device_id, k""")
+def st21(spark, sf):
+    """Saves of samples, by which of 50 objects they change, told once 40 seconds without a change have passed."""
+    from wayfold.streaming.live import debounced
+
+    d = samples(spark, sf).select("device_id", F.timestamp_seconds("last_saved").alias("date"), (F.col("sample_id") % 50).alias("object"))
+    out = debounced(d, "40 seconds", id_col="object")
+    return out.select("device_id", F.unix_timestamp("since").alias("since"), F.unix_timestamp("until").alias("until"), "n_changes", F.size("changed").cast("bigint").alias("n_changed"))
 
 
 @query("st16")

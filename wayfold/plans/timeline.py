@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.operators import folds, merging, models, segments
+from wayfold.operators import classifier, folds, merging, segments
 from wayfold.operators import items as I
 from wayfold.plans.basics import items, linked
 from wayfold.plans.classify import SCORES
@@ -123,7 +123,7 @@ def tl06(spark, sf):
     """Paths taking their neighbours; those of another type by the classifier's mean score over their samples."""
     s = samples(spark, sf)
     member = numbered(spark, sf).select("sample_id", "device_id", "item_no")
-    fits = models.classify(s, models.train(s)).join(member, "sample_id").groupBy("device_id", F.col("item_no").alias("_i"), F.col("name").alias("_n")).agg(F.avg("score").alias("fit"))
+    fits = classifier.world(s).join(member, "sample_id").groupBy("device_id", F.col("item_no").alias("_i"), F.col("name").alias("_n")).agg(F.avg("score").alias("fit"))
     p = pairs(spark, sf).filter("not a.is_visit and not a.is_gap").withColumns({"_i": F.col("b.item_no"), "_n": F.col("a.kind")})
     p = p.join(fits, ["device_id", "_i", "_n"], "left")
     return p.select(*pair_ids(), merging.consumption(A(), B(), fit=F.col("fit")).alias("score"))
