@@ -103,26 +103,27 @@ def validity(limits: Thresholds = LIMITS) -> tuple[Column, Column]:
     return valid, keeper
 
 
-def summarize(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+def summarize(samples: DataFrame, limits: Thresholds = LIMITS, following: str | None = None) -> DataFrame:
     """One row an item of numbered samples: range, centre, radius, distance, kind, validity and keepness (2, 1, 0).
 
-    The end is the next item's start where that is later than the item's own, else its last sample.
+    The end is the next item's start where that is later than the item's own, else its last sample. Where only some items of a device
+    are at hand, ``following`` names a column with that start.
     """
     keys = ("device_id", "item_no")
     s = samples.withColumn("activity_type", F.coalesce("confirmed_type", "classified_type"))
     base = s.groupBy(*keys).agg(
         F.min("t").alias("start_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n_samples"),
         F.min_by(moving(), F.struct(*BY_TIME)).alias("_moving"), F.bool_and(F.col("recording_state") == "off").alias("_off"),
+        *([] if following is None else [F.first(following).alias("_next")]),
     )
     c = centres(s, *keys)
     items = base.join(c, list(keys), "left").join(radii(s, c, *keys), list(keys), "left").join(distances(s, *keys), list(keys), "left")
-    over = W.partitionBy("device_id").orderBy("item_no")
-    following = F.lead("start_t").over(over)
+    start = F.lead("start_t").over(W.partitionBy("device_id").orderBy("item_no")) if following is None else F.col("_next")
     items = items.withColumns(
         {
             "is_visit": ~F.col("_moving"),
             "is_gap": F.col("_moving") & F.col("_off"),
-            "end_t": F.when(following > F.col("start_t"), following).otherwise(F.col("last_t")),
+            "end_t": F.when(start > F.col("start_t"), start).otherwise(F.col("last_t")),
             "n_usable": F.coalesce("n_usable", F.lit(0)),
             "distance": F.coalesce("distance", F.lit(0.0)),
             "radius_mean": F.coalesce("radius_mean", F.lit(0.0)),
@@ -131,4 +132,4 @@ def summarize(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
     ).withColumn("duration", (F.col("end_t") - F.col("start_t")).cast("double"))
     valid, keeper = validity(limits)
     items = items.withColumns({"valid": valid, "keeper": keeper}).withColumn("keepness", F.when(F.col("keeper"), 2).when(F.col("valid"), 1).otherwise(0))
-    return items.drop("_moving", "_off")
+    return items.drop("_moving", "_off", "_next")

@@ -38,7 +38,7 @@ def facts(items: DataFrame, samples: DataFrame, limits: Thresholds = LIMITS) ->
     )
 
 
-FACTS = ["item_no", "start_t", "end_t", "n_samples", "is_visit", "is_gap", "nolo", "valid", "keeper", "keepness", "duration", "latitude", "longitude", "radius1sd", "first", "last", "kind", "mps"]
+FACTS = ["item_no", "start_t", "end_t", "n_samples", "is_visit", "is_gap", "nolo", "valid", "keeper", "keepness", "duration", "distance", "latitude", "longitude", "radius1sd", "first", "last", "kind", "mps"]
 
 
 def as_struct(name: str) -> Column:
@@ -84,7 +84,8 @@ def consumption(a: Column, b: Column, inside: Column | None = None, fit: Column
     has none; without it, paths of differing types don't merge.
     """
     overlap = F.coalesce(item_distance(a, b) < 0, F.lit(False))
-    all_inside = F.floor((F.lit(0.0) if inside is None else inside) * 10) == 10
+    # sums of metres may differ in their last digits by the order they are added in
+    all_inside = F.lit(False) if inside is None else F.coalesce(F.floor(F.round(inside * 10, 9)) == 10, F.lit(False))
     path_visit = F.when(b["keeper"], 0).when(a["keeper"], F.when(~b["valid"], 3).otherwise(2)).otherwise(F.when(~b["valid"], 2).otherwise(1))
     path_path = F.when(a["kind"].isNull() & b["kind"].isNull(), 3).when(a["kind"].eqNullSafe(b["kind"]), 5).otherwise(
         0 if fit is None else F.when(b["keeper"] | a["kind"].isNull() | fit.isNull(), 0).otherwise(type_score(fit))
@@ -111,15 +112,14 @@ def root_score(score: Column, *, locked: Column, consumer_deleted: Column, consu
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(device_id, keeper, betweener, deadman) structs: neighbours both ways, two steps over a lesser item, and bridges."""
+    """(device_id, k, b, d), keeper, betweener and deadman: neighbours both ways, two steps over a lesser item, and bridges."""
     o = W.partitionBy("device_id").orderBy("start_t", "item_no")
-    s = rows.select("device_id", "start_t", "item_no", as_struct("w"))
+    s = rows.select("device_id", "start_t", "item_no", F.struct("item_no", "keepness", "is_gap").alias("w"))
     s = s.select("device_id", "w", *[f("w", k).over(o).alias(n) for f, k, n in ((F.lag, 2, "p2"), (F.lag, 1, "p1"), (F.lead, 1, "n1"), (F.lead, 2, "n2"))])
-    w = F.col("w")
+    w, nobody = F.col("w"), F.lit(None).cast("long")
 
     def m(when: Column, keeper: Column, between: Column | None, dead: Column) -> Column:
-        nothing = F.lit(None).cast(s.schema["w"].dataType)
-        return F.when(when, F.struct(keeper.alias("keeper"), (nothing if between is None else between).alias("betweener"), dead.alias("deadman")))
+        return F.when(when, F.struct(keeper["item_no"].alias("k"), (nobody if between is None else between["item_no"]).alias("b"), dead["item_no"].alias("d")))
 
     made = []
     for one, two in (("n1", "n2"), ("p1", "p2")):
@@ -129,46 +129,151 @@ def candidates(rows: DataFrame) -> DataFrame:
     p, n = F.col("p1"), F.col("n1")
     bridge = p.isNotNull() & n.isNotNull() & (p["keepness"] > w["keepness"]) & (n["keepness"] > w["keepness"]) & ~p["is_gap"] & ~n["is_gap"]
     made += [m(bridge, p, w, n), m(bridge, n, w, p)]
-    out = s.select("device_id", F.explode(F.array_compact(F.array(*made))).alias("m")).select("device_id", "m.*")
     # both items of a pair propose it: once is enough
-    ids = [F.col("keeper.item_no").alias("k"), F.col("betweener.item_no").alias("b"), F.col("deadman.item_no").alias("d")]
-    return out.select("*", *ids).dropDuplicates(["device_id", "k", "b", "d"])
+    return s.select("device_id", F.explode(F.array_compact(F.array(*made))).alias("m")).select("device_id", "m.*").distinct()
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    return candidates(rows).withColumn("score", consumption(F.col("keeper"), F.col("deadman")))
+def with_inside(pairs: DataFrame, samples: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs with ``inside``: how much of path ``b`` lies in the circle of visit ``a``, the mean of its shares of samples, time and metres.
 
+    Worked out where it decides a score: for a valid visit and a path that isn't, so few samples are met again. Null elsewhere, and where none lies inside.
+    """
+    v, p = F.col(a), F.col(b)
+    ids = ["device_id", "_a", "_b"]
+    named = pairs.withColumns({"_a": v["item_no"], "_b": p["item_no"]})
+    circle = F.struct(v["latitude"].alias("lat"), v["longitude"].alias("lng"), v["radius1sd"].alias("r"), *[p[c].alias(c) for c in ("n_samples", "duration", "distance")]).alias("c")
+    asked = named.filter(v["is_visit"] & v["valid"] & ~p["is_visit"] & ~p["valid"]).select(*ids, circle).dropDuplicates(ids)
+    ok = geo.usable(F.col("latitude"), F.col("longitude"), F.col("h_acc"))
+    near = geo.distance(F.col("latitude"), F.col("longitude"), F.col("c.lat"), F.col("c.lng")) <= F.col("c.r")
+    x = samples.filter(ok).select("device_id", F.col("item_no").alias("_b"), "t", "sample_id", "latitude", "longitude", "h_acc").join(asked, ["device_id", "_b"]).filter(near)
+    o = W.partitionBy(*ids).orderBy("t", "sample_id")
+    step = geo.distance(F.lag("latitude").over(o), F.lag("longitude").over(o), F.col("latitude"), F.col("longitude"))
+    g = x.withColumn("_d", F.coalesce(step, F.lit(0.0))).groupBy(*ids).agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("s"), F.sum("_d").alias("m"), F.first("c").alias("c"))
+    part = lambda x, whole: F.when(whole > 0, x / whole).otherwise(0.0)
+    share = (part(F.col("n"), F.col("c.n_samples")) + part(F.col("s"), F.col("c.duration")) + part(F.col("m"), F.col("c.distance"))) / 3
+    return named.join(g.select(*ids, share.alias("inside")), ids, "left").drop("_a", "_b")
+
+
+def with_fit(pairs: DataFrame, fits: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs with ``fit``: the mean score that ``fits`` (device_id, item_no, name, fit) give item ``b`` for the type of ``a``."""
+    f = fits.select("device_id", F.col("item_no").alias("_b"), F.col("name").alias("_kind"), "fit")
+    return pairs.withColumns({"_b": F.col(f"{b}.item_no"), "_kind": F.col(f"{a}.kind")}).join(f, ["device_id", "_b", "_kind"], "left").drop("_b", "_kind")
+
+
+def scored(rows: DataFrame, samples: DataFrame | None = None, fits: DataFrame | None = None, score=consumption) -> DataFrame:
+    """Candidates of facts() with their scores. ``samples`` of the items tell what lies inside visits, ``fits`` how paths of differing types fit.
 
-def chosen(scores: DataFrame) -> DataFrame:
-    """Of a device's possible merges, those that are better than every other that shares an item with them.
+    ``score`` is a hook: a function of (keeper, deadman, inside=, fit=) that gives another score column.
+    """
+    c = candidates(rows)
+    for name, one in (("keeper", "k"), ("deadman", "d")):
+        c = c.join(rows.select("device_id", F.col("item_no").alias(one), as_struct(name)), ["device_id", one])
+    if samples is not None:
+        c = with_inside(c, samples, "keeper", "deadman")
+    if fits is not None:
+        c = with_fit(c, fits, "keeper", "deadman")
+    given = {"inside": None if samples is None else F.col("inside"), "fit": None if fits is None else F.col("fit")}
+    told = {"score": score(F.col("keeper"), F.col("deadman"), **given), "gap": F.abs(time_gap(F.col("keeper"), F.col("deadman"))), "start": F.col("keeper.start_t"), "visit": F.col("keeper.is_visit")}
+    return c.withColumns(told)
+
+
+def ranked(scores: DataFrame) -> DataFrame:
+    """Possible merges as (device_id, k, b, d, score, rank, visit): the rank settles which is better, visit is the keeper's kind.
 
     Order: score, smallest gap, a hash of the items, the keeper's start, ids. In a round many merges that don't touch each other
     are made at once: by the hash also within a run of items whose merges are all alike, which start times would let merge only from one end.
     """
     items = F.xxhash64(F.least("k", "d"), F.greatest("k", "d"), F.col("b"))
-    s = scores.filter("score > 0").withColumn("rank", F.struct((-F.col("score")).alias("s"), F.abs(time_gap(F.col("keeper"), F.col("deadman"))).alias("g"), items.alias("h"), F.col("keeper.start_t").alias("t"), "k", "d"))
-    touched = s.select("device_id", "rank", F.explode(F.array_compact(F.array("k", "b", "d"))).alias("i"))
+    rank = F.struct((-F.col("score")).alias("s"), F.col("gap").alias("g"), items.alias("h"), F.col("start").alias("t"), "k", "d")
+    return scores.filter("score > 0").select("device_id", "k", "b", "d", "score", rank.alias("rank"), "visit")
+
+
+def chosen(ranks: DataFrame) -> DataFrame:
+    """Of a device's possible merges, those that are better than every other that shares an item with them."""
+    touched = ranks.select("device_id", "rank", F.explode(F.array_compact(F.array("k", "b", "d"))).alias("i"))
     best = touched.groupBy("device_id", "i").agg(F.min("rank").alias("best"))
     wins = touched.join(best, ["device_id", "i"]).groupBy("device_id", "rank").agg(F.bool_and(F.col("rank") == F.col("best")).alias("wins")).filter("wins")
-    return s.join(wins.drop("wins"), ["device_id", "rank"])
+    return ranks.join(wins.drop("wins"), ["device_id", "rank"])
 
 
-def merge_rounds(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
-    """Samples with the item numbers that remain after merging until no merge is possible.
+def process(samples: DataFrame, limits: Thresholds = LIMITS, *, fits: DataFrame | None = None, current: DataFrame | None = None, changed: DataFrame | None = None, score=consumption) -> tuple[DataFrame, list[dict]]:
+    """Merges neighbouring items until no merge is possible: ((device_id, item_no, into, kind_visit), what each round did).
 
-    Each round sums up the items, scores the candidates and makes all merges that are locally best; the kept item's
-    number goes to the samples of the others. A merged item keeps its kind. It ends, as every merge removes an item.
+    The result says for each item of ``samples`` which item it is part of now, and that item's kind. A round makes all merges that are
+    locally best. Samples are never rewritten, and after the first round only items next to a merge are summed up again: scores of
+    possible merges are kept, those that touch a changed item are replaced. ``current`` is the result of an earlier run to start from;
+    with ``changed`` (device_id, item_no) only what touches these of its items is scored at first, which is enough where nothing else was possible.
+    ``fits`` are sums of classifier scores by item (device_id, item_no, name, total, n), which add up when items merge. ``score`` as in scored().
     """
-    s = samples.withColumn("kind_visit", F.first(~I.moving()).over(W.partitionBy(*KEYS).orderBy("t", "sample_id")))
-    scratch = Scratch(samples.sparkSession)
-    s = scratch.staged(s, "merge")
+    spark = samples.sparkSession
+    scratch = Scratch(spark)
+    s = scratch.staged(samples, "merge")
+    first = s.groupBy(*KEYS).agg(F.min("t").alias("start_t"), F.min_by(~I.moving(), F.struct(*I.BY_TIME)).alias("own_kind"))
+    if current is None:
+        parts = first.withColumns({"into": F.col("item_no"), "kind_visit": F.col("own_kind")}).drop("own_kind")
+    else:
+        known = current.select(*KEYS, "into", "kind_visit")
+        parts = first.join(known, KEYS, "left").withColumns({"into": F.coalesce("into", "item_no"), "kind_visit": F.coalesce("kind_visit", "own_kind")}).drop("own_kind")
+    parts = scratch.staged(parts, "parts")
+    touched = None if changed is None else scratch.staged(changed.select("device_id", F.col("item_no").alias("into")).distinct(), "touched")
+    live, history = None, []
+    o = W.partitionBy("device_id").orderBy("start_t", "into")
     while True:
-        plain = s.withColumn("moving_state", F.when(F.col("kind_visit"), "stationary").otherwise("moving"))
-        rows = facts(I.summarize(plain, limits), plain, limits)
-        moves = chosen(scored(rows)).select("device_id", "k", F.col("keeper.is_visit").alias("kv"), F.explode(F.array_compact(F.array("b", "d"))).alias("item_no"))
+        items = parts.groupBy("device_id", "into").agg(F.min("start_t").alias("start_t")).withColumn("next_start", F.lead("start_t").over(o))
+        if touched is not None:
+            # the item before a changed one ends where that begins
+            items = items.join(touched.withColumn("_hit", F.lit(1)), ["device_id", "into"], "left")
+            items = items.withColumn("_hit", F.greatest(F.col("_hit"), F.lead("_hit").over(o)))
+            items = items.withColumn("_near", F.max("_hit").over(o.rowsBetween(-4, 4))).filter("_near is not null")
+            hit = scratch.staged(items.filter("_hit is not null").select("device_id", F.col("into").alias("i")), "hit")
+        items = scratch.staged(items.select("device_id", "into", "next_start"), "items")
+        own = parts.join(items, ["device_id", "into"]).select(*KEYS, "into", "kind_visit", "next_start")
+        x = s.join(own, KEYS).withColumns({"item_no": F.col("into"), "moving_state": F.when(F.col("kind_visit"), "stationary").otherwise("moving")})
+        given = None
+        if fits is not None:
+            given = fits.join(own.select(*KEYS, "into"), KEYS).groupBy("device_id", F.col("into").alias("item_no"), "name").agg((F.sum("total") / F.sum("n")).alias("fit"))
+        # written before it is filtered, or the plan would spell the score out three times
+        rows = scratch.staged(facts(I.summarize(x, limits, following="next_start"), x, limits).select("device_id", *FACTS), "rows")
+        every = scored(rows, x, given, score)
+        found = ranked(scratch.staged(every.select("device_id", "k", "b", "d", "score", "gap", "start", "visit"), "scored"))
+        if touched is not None:
+            of = lambda df: df.select("device_id", "rank", F.explode(F.array_compact(F.array("k", "b", "d"))).alias("i")).join(hit, ["device_id", "i"], "left_semi").select("device_id", "rank").distinct()  # noqa: E731, B023
+            found = found.join(of(found), ["device_id", "rank"], "left_semi")
+            if live is not None:
+                kept = live.join(of(live), ["device_id", "rank"], "left_anti")
+                gone_ids = moves.select("device_id", F.col("i"))
+                stale = kept.select("device_id", "rank", F.explode(F.array_compact(F.array("k", "b", "d"))).alias("i")).join(gone_ids, ["device_id", "i"], "left_semi").select("device_id", "rank").distinct()
+                found = found.unionByName(kept.join(stale, ["device_id", "rank"], "left_anti"))
+        live = scratch.staged(found, "live")
+        moves = chosen(live).select("device_id", F.col("k").alias("to"), "visit", F.explode(F.array_compact(F.array("b", "d"))).alias("i"))
         moves = scratch.staged(moves, "moves")
-        if not moves.limit(1).count():
-            return s
-        s = s.join(moves, KEYS, "left").withColumns({"item_no": F.coalesce("k", "item_no"), "kind_visit": F.coalesce("kv", "kind_visit")}).drop("k", "kv")
-        s = scratch.staged(s, "merge")
-        scratch.drop(but=(s,))  # the round before
+        n = moves.agg(F.countDistinct("device_id", "to"), F.count("*")).first()
+        history.append({"scored": items.count(), "possible": live.count(), "merges": n[0], "taken": n[1]})
+        if not n[1]:
+            scratch.drop(but=(parts, s))
+            return parts.select(*KEYS, "into", "kind_visit"), history
+        merged = parts.join(moves.withColumnRenamed("i", "into"), ["device_id", "into"], "left")
+        merged = merged.select(*KEYS, "start_t", F.coalesce("to", "into").alias("into"), F.coalesce("visit", "kind_visit").alias("kind_visit"))
+        parts = scratch.staged(merged, "parts")
+        touched = scratch.staged(moves.select("device_id", F.col("to").alias("into")).distinct(), "touched")
+        scratch.drop(but=(s, parts, live, moves, touched))  # the round before
+
+
+def merge_rounds(samples: DataFrame, limits: Thresholds = LIMITS, **options) -> DataFrame:
+    """Samples with the item numbers and kinds that remain after process(); the kept item's number goes to the samples of the others."""
+    parts, _ = process(samples, limits, **options)
+    return samples.join(parts, KEYS).withColumn("item_no", F.col("into")).drop("into")
+
+
+def updated(samples: DataFrame, current: DataFrame, edited: DataFrame, limits: Thresholds = LIMITS, **options) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """A finished timeline after an edit: (its items after, the rows of these that changed, what each round did).
+
+    ``current`` is what process() said before; ``samples`` are all samples as they are now, ``edited`` (sample_id, device_id, item_no) those
+    that changed, by their item of ``samples``. Their items and the neighbours of these are scored again, and what merges with them in
+    turn; everything else stays, and isn't summed up. Nothing but rows that differ is to be written.
+    """
+    held = edited.select(*KEYS).distinct().join(current, KEYS)
+    after, history = process(samples, limits, current=current, changed=held.select("device_id", F.col("into").alias("item_no")), **options)
+    before = current.select(*KEYS, F.col("into").alias("_into"), F.col("kind_visit").alias("_kind"))
+    both = after.join(before, KEYS, "left")
+    return after, both.filter(~(F.col("into").eqNullSafe(F.col("_into")) & F.col("kind_visit").eqNullSafe(F.col("_kind")))).drop("_into", "_kind"), history

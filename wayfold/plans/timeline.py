@@ -41,12 +41,17 @@ limited AS (
   SELECT *, CASE WHEN a.is_visit AND b.is_visit THEN 1.7976931348623157e308 WHEN a.is_visit THEN greatest(b.mps * gap * 4, 150) WHEN b.is_visit THEN greatest(a.mps * gap * 4, 150)
     ELSE CASE WHEN a.mps > 0 AND b.mps > 0 THEN (a.mps + b.mps) / 2 ELSE a.mps + b.mps END * gap * 4 END AS most FROM measured),
 judged AS (SELECT *, a.nolo OR b.nolo OR coalesce(dist <= most, false) OR gap >= 0 AS near FROM limited),
+pin AS (SELECT j.device_id, j.a.item_no AS a_no, j.b.item_no AS b_no, j.b.n_samples AS bn, j.b.duration AS bs, j.b.distance AS bm, n.t, n.sample_id, n.latitude, n.longitude
+  FROM judged j JOIN numbered n ON n.device_id = j.device_id AND n.item_no = j.b.item_no
+  WHERE j.a.is_visit AND j.a.valid AND NOT j.b.is_visit AND NOT j.b.valid AND {USABLE.replace('h_acc', 'n.h_acc').replace('latitude', 'n.latitude').replace('longitude', 'n.longitude')} AND {hav('n.latitude', 'n.longitude', 'j.a.latitude', 'j.a.longitude')} <= j.a.r1),
+pst AS (SELECT *, {hav('lag(latitude) OVER o', 'lag(longitude) OVER o', 'latitude', 'longitude')} AS s FROM pin WINDOW o AS (PARTITION BY device_id, a_no, b_no ORDER BY t, sample_id)),
+psh AS (SELECT device_id, a_no, b_no, (count(*) / max(bn)::DOUBLE + CASE WHEN max(bs) > 0 THEN (max(t) - min(t)) / max(bs) ELSE 0 END + CASE WHEN max(bm) > 0 THEN sum(coalesce(s, 0)) / max(bm) ELSE 0 END) / 3 AS share FROM pst GROUP BY ALL),
 scores AS (
-  SELECT *, CASE WHEN a.is_gap THEN CASE WHEN b.is_gap THEN 5 ELSE 0 END WHEN b.is_gap THEN CASE WHEN NOT b.valid THEN 3 ELSE 0 END WHEN a.nolo THEN CASE WHEN b.nolo THEN 5 ELSE 0 END WHEN b.nolo AND NOT b.valid THEN 3 WHEN NOT near THEN 0
-    WHEN a.is_visit THEN CASE WHEN b.is_visit THEN CASE WHEN coalesce(dist < 0, false) THEN CASE WHEN a.duration > b.duration THEN 5 ELSE 4 END ELSE 0 END WHEN a.valid AND NOT b.valid THEN 1 ELSE 0 END
+  SELECT judged.*, CASE WHEN a.is_gap THEN CASE WHEN b.is_gap THEN 5 ELSE 0 END WHEN b.is_gap THEN CASE WHEN NOT b.valid THEN 3 ELSE 0 END WHEN a.nolo THEN CASE WHEN b.nolo THEN 5 ELSE 0 END WHEN b.nolo AND NOT b.valid THEN 3 WHEN NOT near THEN 0
+    WHEN a.is_visit THEN CASE WHEN b.is_visit THEN CASE WHEN coalesce(dist < 0, false) THEN CASE WHEN a.duration > b.duration THEN 5 ELSE 4 END ELSE 0 END WHEN a.valid AND NOT b.valid THEN CASE WHEN coalesce(floor(round(share * 10, 9)) = 10, false) THEN 2 ELSE 1 END ELSE 0 END
     WHEN NOT a.valid THEN CASE WHEN NOT b.valid THEN 1 ELSE 0 END
     WHEN b.is_visit THEN CASE WHEN b.keeper THEN 0 WHEN a.keeper THEN CASE WHEN NOT b.valid THEN 3 ELSE 2 END WHEN NOT b.valid THEN 2 ELSE 1 END
-    WHEN a.kind IS NULL AND b.kind IS NULL THEN 3 WHEN a.kind IS NOT DISTINCT FROM b.kind THEN 5 ELSE 0 END AS score FROM judged)"""
+    WHEN a.kind IS NULL AND b.kind IS NULL THEN 3 WHEN a.kind IS NOT DISTINCT FROM b.kind THEN 5 ELSE 0 END AS score FROM judged LEFT JOIN psh ON psh.device_id = judged.device_id AND a_no = a.item_no AND b_no = b.item_no)"""
 )
 
 
@@ -60,6 +65,10 @@ def pairs(spark, sf):
     return s.select("device_id", "a", F.explode(F.array_compact(F.array("p", "n"))).alias("b"))
 
 
+def inside(spark, sf, p):
+    return merging.with_inside(p, numbered(spark, sf), "a", "b")
+
+
 A, B = (lambda: F.col("a")), (lambda: F.col("b"))
 PAIR = "device_id, a.item_no AS a_no, b.item_no AS b_no"
 
@@ -104,8 +113,8 @@ ROOT = "CASE WHEN a.item_no % 11 = 0 OR b.item_no % 11 = 0 OR a.item_no % 13 = 0
 def tl05(spark, sf):
     """Scores with the root rules; in the fixture, every 11th item is locked, every 13th deleted, every 17th empty."""
     nth = lambda x, k: x["item_no"] % k == 0
-    root = merging.root_score(merging.consumption(A(), B()), locked=nth(A(), 11) | nth(B(), 11), consumer_deleted=nth(A(), 13), consumee_empty=nth(B(), 17), consumer_empty=nth(A(), 17))
-    return pairs(spark, sf).select(*pair_ids(), root.alias("score"))
+    root = merging.root_score(merging.consumption(A(), B(), inside=F.col("inside")), locked=nth(A(), 11) | nth(B(), 11), consumer_deleted=nth(A(), 13), consumee_empty=nth(B(), 17), consumer_empty=nth(A(), 17))
+    return inside(spark, sf, pairs(spark, sf)).select(*pair_ids(), root.alias("score"))
 
 
 # paths of differing types are marked by -1 for the classifier to judge
@@ -131,7 +140,8 @@ def tl06(spark, sf):
 
 @query("tl07", FACTS + f" SELECT {PAIR}, score FROM scores WHERE a.is_visit")
 def tl07(spark, sf):
-    return pairs(spark, sf).filter("a.is_visit").select(*pair_ids(), merging.consumption(A(), B()).alias("score"))
+    p = inside(spark, sf, pairs(spark, sf).filter("a.is_visit"))
+    return p.select(*pair_ids(), merging.consumption(A(), B(), inside=F.col("inside")).alias("score"))
 
 
 CAND = ITEMS + """, nb AS (SELECT device_id, item_no AS w, keepness AS kw, is_gap AS gw, lag(item_no, 2) OVER o AS p2, lag(item_no) OVER o AS p1, lead(item_no) OVER o AS n1, lead(item_no, 2) OVER o AS n2,
@@ -168,12 +178,15 @@ BRIDGED = FACTS[: FACTS.index("duo AS (")] + CAND[len(ITEMS) + 2 :] + ",\ntwo AS
 @query("tl04", BRIDGED + " SELECT device_id, a.item_no AS k, between_no AS b, b.item_no AS d, score FROM scores")
 def tl04(spark, sf):
     """The score of each candidate: of the keeper taking the deadman, next to it or beyond a betweener."""
-    return merging.scored(candidate_rows(spark, sf)).select("device_id", "k", "b", "d", "score")
+    return merging.scored(candidate_rows(spark, sf), numbered(spark, sf)).select("device_id", "k", "b", "d", "score")
 
 
-@query("ord05")
+@query("ord05", BRIDGED + " SELECT device_id, k, b, d, score, row_number() OVER (PARTITION BY device_id ORDER BY score DESC, g, ks, k, d, b) AS place FROM (SELECT device_id, a.item_no AS k, between_no AS b, b.item_no AS d, score, abs(gap) AS g, a.start_t AS ks FROM scores WHERE score > 0)")
 def ord05(spark, sf):
-    return merging.chosen(merging.scored(candidate_rows(spark, sf))).select("device_id", "k", "b", "d", "score")
+    """Possible merges of each device from the best on: by score, then gap, then the keeper's start and the items."""
+    c = merging.scored(candidate_rows(spark, sf), numbered(spark, sf)).filter("score > 0")
+    place = F.row_number().over(W.partitionBy("device_id").orderBy(F.desc("score"), "gap", "start", "k", "d", F.asc_nulls_last("b")))
+    return c.select("device_id", "k", "b", "d", "score", place.alias("place"))
 
 
 @query("tl09")
