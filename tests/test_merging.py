@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.operators import items as I
-from wayfold.operators import merging
+from wayfold.operators import classifier, merging, update
 from wayfold.operators.tables import staged
 from wayfold.sources.samples import samples
 
@@ -90,3 +90,27 @@ def test_fits_let_paths_of_two_types_merge(spark):
     fits = spark.createDataFrame([(1, 2, "walking", 0.16, 2)], "device_id long, item_no long, name string, total double, n long")
     assert merging.process(s)[0].filter("into <> item_no").count() == 0
     assert [r.into for r in merging.process(s, fits=fits)[0].orderBy("item_no").collect()] == [1, 1]
+
+
+def test_segment_update_reclassifies_and_merges_what_was_edited(spark, sf):
+    s = samples(spark, sf).filter("device_id < 6").withColumn("previous_type", F.lag("confirmed_type").over(I.per_device()))
+    models = staged(classifier.train(s), "models")
+    names = classifier.known_names(models)
+    n = staged(I.number_items(s.filter("not deleted")), "numbered")
+    current, _ = merging.process(n)
+    item = n.filter("device_id = 3").groupBy("item_no").count().filter("count > 3").orderBy("item_no").first().item_no
+    hit = (F.col("device_id") == 3) & (F.col("item_no") == item)
+    after = n.withColumn("confirmed_type", F.when(hit & (F.col("sample_id") % 2 == 0), "walking").when(~hit, F.col("confirmed_type")))
+    retyped, changed, steps = update.segment_update(after, current, after.filter(hit), models, names, s)
+    into = current.filter(hit).first().into
+    own = after.join(current.filter((F.col("device_id") == 3) & (F.col("into") == into)).select("device_id", "item_no"), ["device_id", "item_no"])
+    chain = {r.sample_id: r.name for r in classifier.chained(own.withColumn("item_no", F.lit(into)), models, names, s).collect()}
+    want = {r.sample_id: chain[r.sample_id] for r in own.filter("confirmed_type is null").collect() if chain[r.sample_id] != (r.classified_type or "unknown")}
+    assert {r.sample_id: r.classified_type or "unknown" for r in retyped.collect()} == want
+    typed = after.join(retyped.select("device_id", "sample_id", F.col("classified_type").alias("_n"), F.lit(1).alias("_r")), ["device_id", "sample_id"], "left")
+    typed = typed.withColumn("classified_type", F.when(F.col("_r") == 1, F.col("_n")).otherwise(F.col("classified_type"))).drop("_n", "_r")
+    full, _ = merging.process(typed, current=current)
+    before = {(r.device_id, r.item_no): (r.into, r.kind_visit) for r in current.collect()}
+    moved = {k: v for k, v in ((((r.device_id, r.item_no)), (r.into, r.kind_visit)) for r in full.collect()) if before[k] != v}
+    assert {(r.device_id, r.item_no): (r.into, r.kind_visit) for r in changed.collect()} == moved
+    assert steps[0]["scored"] <= 10

@@ -3,7 +3,7 @@ import pytest
 from tests.compare import same
 from wayfold.registry import ORACLES, QUERIES
 
-SLOW = {"tl09"}
+SLOW = {"tl09", "tl20"}  # tests/test_merging.py runs what they call
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
