@@ -208,3 +208,39 @@ def test_frozen_windows_same_as_plain_lists(spark):
     assert [(r.n_present, r.n_past, r.frozen) for r in got] == plain_windows([(r[1], r[3], r[4], r[5], r[7] == "sleeping") for r in rows])
     assert any(r.frozen for r in got) and not got[-1].frozen and got[40].n_present == 1 and got[39].n_past == got[45].n_past
     assert [r.frozen for r in states(df).collect()] == [False] * 120
+
+
+def test_nearest_is_linear_and_settles_ties(spark):
+    import time
+
+    from wayfold.operators import joins
+
+    left = spark.range(40_000).select(F.lit(1).cast("long").alias("device_id"), (F.col("id") * 3).alias("t"))
+    right = spark.range(40_000).select(F.lit(1).cast("long").alias("device_id"), (F.col("id") * 2).alias("t"), F.col("id").alias("v"))
+    began = time.time()
+    got = {r.t: (r.near_t, r.near_v) for r in joins.nearest(left, right, "v").filter("t < 12").collect()}
+    assert got == {0: (0, 0), 3: (2, 1), 6: (6, 3), 9: (8, 4)} and time.time() - began < 30
+    tied = spark.createDataFrame([(1, 5, 7), (1, 5, 9), (1, 9, 3), (1, 9, 1)], "device_id long, t long, v long")
+    asked = spark.createDataFrame([(1, 6), (1, 8)], "device_id long, t long")
+    assert {(r.t, r.near_t, r.near_v) for r in joins.nearest(asked, tied, "v").collect()} == {(6, 5, 9), (8, 9, 1)}
+    assert {(r.t, r.right_v) for r in joins.as_of(asked, tied, ["v"]).collect()} == {(6, 9), (8, 9)}
+
+
+def test_trust_is_a_hook_of_the_filter(spark, sf):
+    s = samples(spark, sf)
+    plain = {r.sample_id: r.latitude for r in folds.kalman(s).collect()}
+    place = s.filter("latitude is not null").select("device_id", F.lit(0.0).alias("trust"), "latitude", "longitude")
+    distrust = place.select("device_id", "trust", F.round("latitude", 4).alias("lat4"), F.round("longitude", 4).alias("lng4")).distinct()
+    worse = {r.sample_id: r.latitude for r in folds.kalman(s, trust=distrust).collect()}
+    assert worse.keys() == plain.keys() and sum(worse[k] != plain[k] for k in plain) > len(plain) / 2
+    none = {r.sample_id: r.latitude for r in folds.kalman(s, trust=distrust.limit(0)).collect()}
+    assert none == plain
+
+
+def test_trust_is_by_device(spark):
+    from wayfold.operators import stats
+
+    row = "device_id long, t long, sample_id long, last_saved long, latitude double, longitude double, h_acc double, speed double, confirmed_type string"
+    rows = [(d, k, 10 * d + k, k, None if k == 3 else 10.0, 20.0, 5.0, float(d), "stationary") for d in (1, 2) for k in range(4)]
+    got = {r.device_id: (round(r.trust, 6)) for r in stats.coordinate_trust(spark.createDataFrame(rows, row), most=2).collect()}
+    assert got == {1: 0.28, 2: 0.0}

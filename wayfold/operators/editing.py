@@ -100,30 +100,28 @@ def edge_moves(rows: DataFrame, ends: DataFrame, limits: Thresholds = LIMITS) ->
     return x.select("device_id", m.alias("m"), (~a["is_visit"] & ~b["is_visit"]).alias("paths")).filter("m is not null").select("device_id", "m.*", "paths")
 
 
-def sanitise_edges(samples: DataFrame, limits: Thresholds = LIMITS, most: int = 30) -> DataFrame:
-    """Samples with the items they are in after edge_moves() were made, at all edges together, until none is left or ``most`` rounds.
+def sanitise_edges(samples: DataFrame, limits: Thresholds = LIMITS) -> DataFrame:
+    """Samples with the items they are in after edge_moves() were made, at all edges together, until none is left.
 
-    A sample moves once. A path that would fall to ``path_valid_samples`` or less by losing one at both ends loses the earlier alone.
-    ``most`` bounds a pass over the timeline, as the number of steals an item: call again for the rest.
+    A sample moves once, so it ends. A path that would fall to ``path_valid_samples`` or less by losing one at both ends loses the earlier alone.
     """
     s = samples.withColumns({"kind_visit": F.first(~I.moving()).over(W.partitionBy(*KEYS).orderBy(*I.BY_TIME)), "moved": F.lit(False)})
     scratch = Scratch(samples.sparkSession)
     s = scratch.staged(s, "edges")
-    for _ in range(most):
+    while True:
         plain = s.withColumn("moving_state", F.when(F.col("kind_visit"), "stationary").otherwise("moving"))
         moves = edge_moves(merging.facts(I.summarize(plain, limits), plain, limits), tips(plain), limits)
         first = F.row_number().over(W.partitionBy("device_id", "from_no").orderBy("t", "sample_id", "to_no"))
         moves = moves.withColumn("i", first).filter((F.col("i") == 1) | (F.col("from_n") > limits.path_valid_samples + 1))
         moves = scratch.staged(moves.dropDuplicates(["device_id", "sample_id"]).select("device_id", "sample_id", "from_no", "to_no"), "moves")
         if not moves.limit(1).count():
-            break
+            return s
         # what the taker is: a visit takes from paths and gives to them, paths take from paths
         kinds = s.groupBy("device_id", F.col("item_no").alias("to_no")).agg(F.first("kind_visit").alias("to_visit"))
         s = s.join(moves.join(kinds, ["device_id", "to_no"]).drop("from_no"), ["device_id", "sample_id"], "left")
         s = s.withColumns({"item_no": F.coalesce("to_no", "item_no"), "kind_visit": F.coalesce("to_visit", "kind_visit"), "moved": F.col("moved") | F.col("to_no").isNotNull()})
         s = scratch.staged(s.drop("to_no", "to_visit"), "edges")
         scratch.drop(but=(s,))  # the round before
-    return s
 
 
 def extracted(samples: DataFrame, segments: DataFrame, locked: DataFrame | None = None) -> DataFrame:

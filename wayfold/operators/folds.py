@@ -80,12 +80,18 @@ class Kalman:
         return self.values
 
 
-def kalman(fixes: DataFrame, q_place: float = 4.0, q_height: float = 3.0) -> DataFrame:
+def kalman(fixes: DataFrame, q_place: float = 4.0, q_height: float = 3.0, trust: DataFrame | None = None) -> DataFrame:
     """Filtered fixes: (sample_id, device_id, t, latitude, longitude, variance, altitude, v_acc).
 
+    With ``trust``, a table as stats.coordinate_trust() makes it or another's judgement of places, fixes in places that aren't trusted are followed less.
+
     A fix that is unusable or not newer than the last is left out. Heights need a vertical accuracy above 0 and may be
     of the same time; the first is taken as it is; before it, altitude is 0 and v_acc -1.
     """
+    if trust is not None:
+        from wayfold.operators.stats import worsened
+
+        fixes = worsened(fixes, trust)
     d = fixes.select("device_id", "t", "sample_id", "latitude", "longitude", "h_acc", "altitude", "v_acc")
 
     def start():

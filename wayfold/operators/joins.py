@@ -32,22 +32,26 @@ def overlaps(a: DataFrame, b: DataFrame, *, key: str = "device_id", width: int =
 
 
 def as_of(left: DataFrame, right: DataFrame, values: list[str], *, key: str = "device_id", t: str = "t", strict: bool = True) -> DataFrame:
-    """Each left row with the ``values`` of the latest right row before it (or at it, unless ``strict``), by a union and a running last."""
+    """Each left row with the ``values`` of the latest right row before it (or at it, unless ``strict``), by a union and a running last.
+
+    Of right rows at one time the one with the greatest ``values`` counts as the latest.
+    """
     marked = left.select("*", *[F.lit(None).cast(right.schema[v].dataType).alias(f"right_{v}") for v in values], F.lit(0 if strict else 1).alias("_side"))
     other = right.select(key, t, *[F.col(v).alias(f"right_{v}") for v in values], F.lit(1 if strict else 0).alias("_side"))
     both = marked.unionByName(other, allowMissingColumns=True).withColumn("_left", F.col("_side") == F.lit(0 if strict else 1))
-    over = W.partitionBy(key).orderBy(t, "_side").rowsBetween(W.unboundedPreceding, 0)
+    over = W.partitionBy(key).orderBy(t, "_side", *[f"right_{v}" for v in values]).rowsBetween(W.unboundedPreceding, 0)
     filled = {f"right_{v}": F.last(F.when(~F.col("_left"), F.struct(F.col(f"right_{v}").alias("v"))), ignorenulls=True).over(over)["v"] for v in values}
     return both.withColumns(filled).filter("_left").drop("_side", "_left")
 
 
 def nearest(left: DataFrame, right: DataFrame, value: str, *, key: str = "device_id", t: str = "t") -> DataFrame:
-    """Each left row with the right row nearest in whole seconds (near_t, near_<value>), the earlier of two, by a union and two running values."""
+    """Each left row with the right row nearest in whole seconds (near_t, near_<value>), the earlier of two, by a union and two running values. Of right rows at one time the greatest value counts before a left row, the least after it."""
     marked = left.select("*", F.lit(None).cast("struct<t:bigint,v:bigint>").alias("_r"))
     other = right.select(key, t, F.struct(F.col(t).alias("t"), F.col(value).cast("bigint").alias("v")).alias("_r"))
     both = marked.unionByName(other, allowMissingColumns=True)
-    over = W.partitionBy(key).orderBy(t)
-    both = both.withColumns({"_b": F.last("_r", True).over(over.rangeBetween(W.unboundedPreceding, 0)), "_a": F.first("_r", True).over(over.rangeBetween(0, W.unboundedFollowing))})
+    # looking ahead is a running value in the opposite order; rows of one time see each other both ways
+    back, ahead = (W.partitionBy(key).orderBy(by).rangeBetween(W.unboundedPreceding, 0) for by in (F.asc(t), F.desc(t)))
+    both = both.withColumns({"_b": F.max("_r").over(back), "_a": F.min("_r").over(ahead)})
     before = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col(t) - F.col("_b.t") <= F.col("_a.t") - F.col(t)))
     best = F.when(before, F.col("_b")).otherwise(F.col("_a"))
     return both.filter("_r is null").withColumns({"near_t": best["t"], f"near_{value}": best["v"]}).drop("_r", "_a", "_b")

@@ -319,9 +319,11 @@ def ord02(spark, sf):
     return store.latest(items(spark, sf), ["device_id"], ["end_t", "item_no"]).select("device_id", "item_no", "end_t")
 
 
-@query("ord03", S + " SELECT sample_id FROM samples WHERE confirmed_type = 'stationary' ORDER BY t DESC, sample_id DESC LIMIT 2000")
+@query("ord03", S + " SELECT sample_id FROM (SELECT sample_id, row_number() OVER (PARTITION BY device_id ORDER BY last_saved DESC, sample_id DESC) AS n FROM samples WHERE confirmed_type = 'stationary') x WHERE n <= 2000")
 def ord03(spark, sf):
-    return samples(spark, sf).filter("confirmed_type = 'stationary'").orderBy(F.desc("t"), F.desc("sample_id")).limit(2000).select("sample_id")
+    """The 2,000 confirmed stationary samples of each device that were saved last."""
+    newest = F.row_number().over(W.partitionBy("device_id").orderBy(F.desc("last_saved"), F.desc("sample_id")))
+    return samples(spark, sf).filter("confirmed_type = 'stationary'").withColumn("n", newest).filter("n <= 2000").select("sample_id")
 
 
 @query("ord06", S + " SELECT classified_type AS name, count(*) AS total_samples FROM samples WHERE classified_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1")

@@ -112,12 +112,10 @@ def jn12(spark, sf):
     return s.join(models, ["la", "lo"]).select("sample_id", "name")
 
 
-@query("jn13", "WITH trust AS (" + TRUST + f") , s AS ({S} SELECT *, sign(latitude) * floor(abs(latitude) * 10000 + 0.5) / 10000 AS lat4, sign(longitude) * floor(abs(longitude) * 10000 + 0.5) / 10000 AS lng4 FROM samples) SELECT sample_id, coalesce(trust, 1.0) AS trust FROM s LEFT JOIN trust USING (lat4, lng4)")
+@query("jn13", "WITH trust AS (" + TRUST + f") , s AS ({S} SELECT *, sign(latitude) * floor(abs(latitude) * 10000 + 0.5) / 10000 AS lat4, sign(longitude) * floor(abs(longitude) * 10000 + 0.5) / 10000 AS lng4 FROM samples) SELECT sample_id, coalesce(trust, 1.0) AS trust FROM s LEFT JOIN trust USING (device_id, lat4, lng4)")
 def jn13(spark, sf):
     s = samples(spark, sf)
-    t = stats.coordinate_trust(s).withColumn("trust", r("trust", 6))
-    keyed = s.withColumns({"lat4": geo.round_half_away(F.col("latitude"), 4), "lng4": geo.round_half_away(F.col("longitude"), 4)})
-    return keyed.join(t, ["lat4", "lng4"], "left").select("sample_id", F.coalesce("trust", F.lit(1.0)).alias("trust"))
+    return stats.trusted(s, stats.coordinate_trust(s)).select("sample_id", r("trust", 6).alias("trust"))
 
 
 @query("jn14", S + ", a AS (SELECT classified_type AS name, count(*) AS n FROM samples WHERE leg % 2 = 0 AND classified_type IS NOT NULL GROUP BY 1), b AS (SELECT confirmed_type AS name, count(*) AS n FROM samples WHERE leg % 2 = 1 AND confirmed_type IS NOT NULL GROUP BY 1) SELECT name, round(0.25 * coalesce(a.n, 0) + 0.75 * coalesce(b.n, 0), 3) AS score FROM a FULL JOIN b USING (name)")

@@ -173,8 +173,8 @@ def ag23(spark, sf):
     return items(spark, sf).filter("not is_visit").select("device_id", "item_no", r(v, 4).alias("mps"), r(v * 3.6, 4).alias("kmh"), r(v * 3.6 / 1.609344, 4).alias("mph"))
 
 
-TRUST = S + f""", top AS (SELECT * FROM samples WHERE confirmed_type = 'stationary' AND {USABLE} ORDER BY t DESC, sample_id DESC LIMIT 2000)
- SELECT sign(latitude) * floor(abs(latitude) * 10000 + 0.5) / 10000 AS lat4, sign(longitude) * floor(abs(longitude) * 10000 + 0.5) / 10000 AS lng4, round(1 - greatest(0, least(1, avg(greatest(speed, 0)) * 3.6 / 5)), 6) AS trust FROM top GROUP BY ALL"""
+TRUST = S + f""", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY last_saved DESC, sample_id DESC) AS newest FROM samples WHERE confirmed_type = 'stationary') x WHERE newest <= 2000 AND {USABLE})
+ SELECT device_id, sign(latitude) * floor(abs(latitude) * 10000 + 0.5) / 10000 AS lat4, sign(longitude) * floor(abs(longitude) * 10000 + 0.5) / 10000 AS lng4, round(1 - greatest(0, least(1, avg(greatest(speed, 0)) * 3.6 / 5)), 6) AS trust FROM top GROUP BY ALL"""
 
 
 @query("ag25", TRUST)

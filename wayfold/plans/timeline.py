@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wayfold.operators import classifier, folds, merging, segments
+from wayfold.operators import classifier, folds, merging, segments, stats
 from wayfold.operators import items as I
 from wayfold.plans.basics import items, linked
 from wayfold.plans.classify import SCORES
 from wayfold.plans.sqltext import I as ITEMS
 from wayfold.plans.sqltext import USABLE, S, hav
-from wayfold.plans.statistics import MODE, numbered
+from wayfold.plans.statistics import MODE, TRUST, numbered
 from wayfold.registry import query
 from wayfold.sources.samples import samples
 
@@ -268,10 +268,11 @@ def st03(spark, sf):
     return folds.kalman(samples(spark, sf)).select("sample_id", r("altitude", 4).alias("altitude"))
 
 
-@query("st04", S + " SELECT sample_id, h_acc + 100 * (1 - 0.01 * (sample_id % 101)) AS h_acc FROM samples".replace("0.01 * (sample_id % 101)", "1e-2 * (sample_id % 101)"))
+@query("st04", "WITH trust AS (" + TRUST + f"), s AS ({S} SELECT *, sign(latitude) * floor(abs(latitude) * 10000 + 0.5) / 10000 AS lat4, sign(longitude) * floor(abs(longitude) * 10000 + 0.5) / 10000 AS lng4 FROM samples) SELECT sample_id, round(h_acc + CASE WHEN trust < 1 THEN 100 * (1 - trust) ELSE 0 END, 4) AS h_acc FROM s LEFT JOIN trust USING (device_id, lat4, lng4)")
 def st04(spark, sf):
-    trust = F.lit(1e-2) * (F.col("sample_id") % 101)
-    return samples(spark, sf).select("sample_id", (F.col("h_acc") + F.when(trust < 1, 100 * (1 - trust)).otherwise(0.0)).alias("h_acc"))
+    """Accuracies worsened by what each device's standstills say of a place."""
+    s = samples(spark, sf)
+    return stats.worsened(s, stats.coordinate_trust(s)).select("sample_id", r("h_acc", 4).alias("h_acc"))
 
 
 @query("st05", HEIGHTS + " SELECT sample_id, device_id, t, round(altitude, 4) AS altitude, round(v_acc, 4) AS v_acc FROM heights")

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 
 # the plans fill the registry when they are imported
-from wayfold.plans import basics, classify, editing, geography, learned, matching, more, statistics, timeline  # noqa: E402, F401
+from wayfold.plans import basics, classify, editing, extensions, geography, learned, matching, more, statistics, timeline  # noqa: E402, F401
