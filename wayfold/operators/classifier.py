@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from wayfold.functions import geo
 from wayfold.operators import models as M
 from wayfold.operators.folds import fold
+from wayfold.operators.tables import staged
 from wayfold.schemas import BASE_TYPES, TYPES
 
 CELL = ["depth", "cell_lat", "cell_lng"]
@@ -38,14 +39,16 @@ def spread(samples: DataFrame, depths: tuple[int, ...] = (0, 1, 2)) -> DataFrame
     return out.filter((F.col("depth") == 2) | F.col("confirmed_type").isin(*BASE_TYPES))
 
 
-def train(samples: DataFrame, depths: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+def train(samples: DataFrame, depths: tuple[int, ...] = (0, 1, 2), cells: DataFrame | None = None) -> DataFrame:
     """Models by (depth, cell_lat, cell_lng, confirmed_type): histograms, shares, and counts of previous types as a map ``previous``.
 
     ``samples`` may have a column ``previous_type``, the confirmed type of the sample before; without it the map is empty.
-    Samples without a usable coordinate train nothing. ``top`` is the fullest bin of the model's places (0 at depth 0).
+    With ``cells`` (depth, cell_lat, cell_lng) only these are trained. Samples without a usable coordinate train nothing. ``top`` is the fullest bin of the model's places (0 at depth 0).
     """
     s = samples.filter(geo.usable(F.col("latitude"), F.col("longitude"), F.col("h_acc")))
     s = spread(s, depths)
+    if cells is not None:
+        s = s.join(cells, CELL, "left_semi")
     keys = [*CELL, "confirmed_type"]
     out = M.train(s, *CELL)
     if "previous_type" in s.columns:
@@ -58,6 +61,31 @@ def train(samples: DataFrame, depths: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     return out.join(top, keys, "left").withColumn("top", F.coalesce("top", F.lit(0).cast("bigint")))
 
 
+#: Seconds that a complete set stays fresh (a fixed value); one that is half complete, half as long.
+PATIENCE = 60 * 86400.0
+
+
+def due(models: DataFrame, new: DataFrame, now: float, patience: float = PATIENCE) -> DataFrame:
+    """(depth, cell_lat, cell_lng) of the sets that ``new`` samples call for: those with new confirmed samples that don't exist yet or are stale.
+
+    ``models`` have ``updated``, the seconds of their training; a set is as old as its newest model.
+    """
+    touched = spread(new.filter(geo.usable(F.col("latitude"), F.col("longitude"), F.col("h_acc")))).select(*CELL).distinct()
+    have = models.groupBy(*CELL).agg(F.max("updated").alias("_updated"), F.avg(F.when(F.col("confirmed_type") != "bogus", _complete(F.col("total_samples"), F.col("depth")))).alias("_complete"))
+    stale = F.col("_updated").isNull() | (now - F.col("_updated") >= patience * F.coalesce("_complete", F.lit(0.0)))
+    return touched.join(have, CELL, "left").filter(stale).select(*CELL)
+
+
+def refreshed(models: DataFrame, samples: DataFrame, new: DataFrame, now: float, patience: float = PATIENCE) -> tuple[DataFrame, DataFrame]:
+    """(models of the sets that are due, trained anew on ``samples``, and models that stay): together the table as it is now.
+
+    Only samples in cells that are due are read into training; a user writes the first and leaves the second where it lies.
+    """
+    cells = staged(due(models, new, now, patience), "due")
+    made = train(samples, cells=cells).withColumn("updated", F.lit(float(now)))
+    return made.select(*models.columns), models.join(cells, CELL, "left_anti").select(*models.columns)
+
+
 def places(spread_samples: DataFrame) -> DataFrame:
     """Counts of samples by model and bin of its place, for depths 1 and 2; only filled bins have a row."""
     s = spread_samples.filter("depth > 0")

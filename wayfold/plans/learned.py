@@ -120,3 +120,26 @@ def tl20(spark, sf):
     retyped, changed, _ = update.segment_update(after.drop("_late"), current, after.filter("_late"), m, names, s)
     told = retyped.select("device_id", "item_no", "sample_id", F.col("classified_type").alias("name"), F.lit(None).cast("bigint").alias("into"))
     return told.unionByName(changed.select("device_id", "item_no", F.lit(None).cast("bigint").alias("sample_id"), F.lit(None).cast("string").alias("name"), "into"))
+
+
+KEPT = MODELS + """, hour AS (SELECT max(last_saved) AS now, max(last_saved) - 1200 AS cut FROM samples),
+  old3 AS (SELECT depth, la, lo, confirmed_type AS name, count(*) AS n FROM tr, hour WHERE last_saved <= cut GROUP BY ALL),
+  olds AS (SELECT depth, la, lo, avg(CASE depth WHEN 0 THEN 1e0 WHEN 1 THEN least(1e0, n / 7200e0) ELSE least(1e0, n / 1800e0) END) AS complete FROM old3 GROUP BY ALL),
+  seen AS (SELECT depth, la, lo, max(last_saved) AS updated FROM tr, hour WHERE last_saved <= cut GROUP BY ALL),
+  due AS (SELECT t.* FROM (SELECT DISTINCT depth, la, lo FROM tr, hour WHERE last_saved > cut) t LEFT JOIN olds USING (depth, la, lo) LEFT JOIN seen USING (depth, la, lo), hour WHERE complete IS NULL OR now - updated >= 3000 * complete)
+  SELECT depth, round(la, 4) AS cell_lat, round(lo, 4) AS cell_lng, name, n AS total_samples, true AS trained FROM m3 JOIN due USING (depth, la, lo)
+  UNION ALL SELECT depth, round(la, 4), round(lo, 4), name, n, false FROM old3 o WHERE NOT EXISTS (SELECT 1 FROM due d WHERE d.depth = o.depth AND d.la = o.la AND d.lo = o.lo)"""
+
+
+@query("ml14", KEPT)
+def ml14(spark, sf):
+    """A table of models some minutes on: sets with new samples are trained anew if they are stale, others stay as they are."""
+    s = samples(spark, sf).withColumn("previous_type", F.lag("confirmed_type").over(I.per_device()))
+    now = s.agg(F.max("last_saved")).first()[0]
+    old = s.filter(F.col("last_saved") <= now - 1200)
+    usable = C.spread(old.filter(C.geo.usable(F.col("latitude"), F.col("longitude"), F.col("h_acc"))))
+    newest = usable.groupBy(*C.CELL).agg(F.max("last_saved").cast("double").alias("updated"))
+    models = staged(C.train(old).join(newest, C.CELL), "models")
+    made, kept = C.refreshed(models, s, s.filter(F.col("last_saved") > now - 1200), now, patience=3000.0)
+    show = lambda df, trained: df.select("depth", F.round("cell_lat", 4).alias("cell_lat"), F.round("cell_lng", 4).alias("cell_lng"), F.col("confirmed_type").alias("name"), "total_samples", F.lit(trained).alias("trained"))
+    return show(made, True).unionByName(show(kept, False))
