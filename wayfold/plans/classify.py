@@ -80,12 +80,6 @@ def ag31(spark, sf):
     return m.agg(r(F.avg(M.completeness(F.col("n"), 2)), 9).alias("completeness"), r(F.sum(F.col("a") * F.col("n")) / F.sum("n"), 9).alias("accuracy"), F.max("u").alias("last_updated"))
 
 
-@query("ag33", S + " SELECT sample_id, round(greatest(0, least(1, coalesce(course_variance, 1) * coalesce(step_hz, 1) * coalesce(xy_acc, 1))), 9) AS score FROM samples")
-def ag33(spark, sf):
-    factors = F.array(*[F.coalesce(c, F.lit(1.0)) for c in ("course_variance", "step_hz", "xy_acc")])
-    return samples(spark, sf).select("sample_id", r(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(factors, F.lit(1.0), lambda a, x: a * x))), 9).alias("score"))
-
-
 @query("ag37", S + ", " + SPEED + " SELECT k AS confirmed_type, list_max(bins)::INT AS top, round(list_max(bins) / list_sum(bins)::DOUBLE, 9) AS top_share FROM speed_h")
 def ag37(spark, sf):
     total = F.aggregate("bins", F.lit(0), lambda a, x: a + x)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfold.operators import classifier as C
 from wayfold.operators import items as I
 from wayfold.operators import merging, update
+from wayfold.operators import models as M
 from wayfold.operators.tables import staged
 from wayfold.plans.classify import factor_sql, hist_sql
 from wayfold.plans.geography import cell_sql
@@ -143,3 +144,47 @@ def ml14(spark, sf):
     made, kept = C.refreshed(models, s, s.filter(F.col("last_saved") > now - 1200), now, patience=3000.0)
     show = lambda df, trained: df.select("depth", F.round("cell_lat", 4).alias("cell_lat"), F.round("cell_lng", 4).alias("cell_lng"), F.col("confirmed_type").alias("name"), "total_samples", F.lit(trained).alias("trained"))
     return show(made, True).unionByName(show(kept, False))
+
+
+@query("fn13", MODELS + """ SELECT DISTINCT depth, round(la, 4) AS cell_lat, round(lo, 4) AS cell_lng, round(la + CASE depth WHEN 0 THEN 90 WHEN 1 THEN 5 ELSE 5e-2 END, 4) AS centre_lat, round(lo + CASE depth WHEN 0 THEN 180 WHEN 1 THEN 5 ELSE 5e-2 END, 4) AS centre_lng,
+  CASE depth WHEN 0 THEN 18 WHEN 1 THEN 100 ELSE 200 END AS lat_bins, CASE depth WHEN 0 THEN 36 WHEN 1 THEN 100 ELSE 200 END AS lng_bins, CASE depth WHEN 0 THEN 7200 WHEN 1 THEN 1800 ELSE 80 END AS cap FROM sd WHERE la IS NOT NULL""")
+def fn13(spark, sf):
+    """The cells of all samples: corner, centre, bins of places, and the samples that fill a bin."""
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), *[c.alias(n) for n, c in C.cell(d).items()]) for d in (0, 1, 2)])).alias("c")
+    c = samples(spark, sf).select(cells).select("c.*").filter("cell_lat is not null").distinct()
+    of = lambda values: F.when(F.col("depth") == 0, values[0]).when(F.col("depth") == 1, values[1]).otherwise(values[2])
+    bins = [of({d: M.MATRIX[d][k] for d in M.MATRIX}) for k in (0, 1)]
+    r4 = lambda x, name: F.round(x, 4).alias(name)
+    half = of({0: 90.0, 1: 5.0, 2: 0.05}), of({0: 180.0, 1: 5.0, 2: 0.05})
+    centre = [r4(F.col(c) + h, c.replace("cell", "centre")) for c, h in zip(("cell_lat", "cell_lng"), half)]
+    return c.select("depth", r4(F.col("cell_lat"), "cell_lat"), r4(F.col("cell_lng"), "cell_lng"), *centre, bins[0].alias("lat_bins"), bins[1].alias("lng_bins"), of(M.CAPS).alias("cap")).distinct()
+
+
+@query("ag33", MODELS + " SELECT sample_id, depth, name, round(greatest(0, least(1, raw)), 9) AS score FROM terms WHERE depth = 0")
+def ag33(spark, sf):
+    """The product of all factors of each model of the world for each sample, within 0 and 1."""
+    s = samples(spark, sf)
+    m = staged(C.train(s, depths=(0,)), "models")
+    names = C.known_names(m)
+    table = C.parts(s, m, names, ["sample_id"], depths=(0,))
+    raw = F.transform("parts", lambda x, i: F.struct(F.get(F.array(*map(F.lit, names)), i).alias("name"), F.get(x, F.lit(0))["raw"].alias("raw")))
+    x = table.select("sample_id", F.explode(raw).alias("x")).filter("x.raw is not null")
+    return x.select("sample_id", F.lit(0).alias("depth"), "x.name", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("x.raw"))), 9).alias("score"))
+
+
+@query("ml13", MODELS + """, right3 AS (SELECT k, count(*) FILTER (classified_type = confirmed_type) / nullif(count(classified_type), 0)::DOUBLE AS a FROM tr GROUP BY 1),
+  sets AS (SELECT depth, la, lo, sum(a * n) FILTER (a IS NOT NULL) / sum(n) FILTER (a IS NOT NULL) AS a, max(n) AS n FROM m3 JOIN right3 USING (k) GROUP BY depth, la, lo),
+  within AS (SELECT depth, la, lo, count(*) AS n_contained FROM sd WHERE la IS NOT NULL GROUP BY ALL)
+  SELECT depth, round(la, 4) AS cell_lat, round(lo, 4) AS cell_lng, n_contained, round(complete, 9) AS complete, round(complete * coalesce(a, 1e0), 9) AS coverage, complete * 30 < 1 AS stale FROM sets JOIN cs USING (depth, la, lo) JOIN within USING (depth, la, lo)""")
+def ml13(spark, sf):
+    """Sets of models: how many samples lie in their cells, coverage (how complete times how accurate), and whether they are stale two days after training."""
+    s, m, names = trained(spark, sf)
+    known = F.col("accuracy").isNotNull()
+    right = F.sum(F.when(known, F.col("accuracy") * F.col("total_samples"))) / F.sum(F.when(known, F.col("total_samples")))
+    have = C.sets(m, names).select(*C.CELL, "complete").join(m.groupBy(*C.CELL).agg(right.alias("a")), C.CELL)
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), *[c.alias(n) for n, c in C.cell(d).items()]) for d in (0, 1, 2)])).alias("c")
+    held = s.select(cells).select("c.*").filter("cell_lat is not null").groupBy(*C.CELL).agg(F.count(F.lit(1)).alias("n_contained"))
+    coverage = F.col("complete") * F.coalesce("a", F.lit(1.0))
+    stale = F.col("complete") * (C.PATIENCE / (2 * 86400)) < 1
+    x = have.join(held, C.CELL)
+    return x.select("depth", F.round("cell_lat", 4).alias("cell_lat"), F.round("cell_lng", 4).alias("cell_lng"), "n_contained", F.round("complete", 9).alias("complete"), F.round(coverage, 9).alias("coverage"), stale.alias("stale"))

@@ -26,6 +26,9 @@ def r(c, n):
     return F.round(c, n)
 
 
+#: Seconds of units, a month being 30 days and a year 365.
+UNITS = {"minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "year": 31536000}
+
 SEG_STAT = SEG + f""", su AS (SELECT *, {hav('lag(latitude) OVER k', 'lag(longitude) OVER k', 'latitude', 'longitude')} AS d FROM segs WHERE {USABLE} WINDOW k AS (PARTITION BY device_id, item_no, segment_no ORDER BY t, sample_id)),
   sdist AS (SELECT device_id, item_no, segment_no, sum(coalesce(d, 0)) AS distance FROM su GROUP BY ALL),
   se AS (SELECT *, coalesce(lead(start_t) OVER (PARTITION BY device_id, item_no ORDER BY segment_no), last_t) - start_t AS duration FROM sums),
@@ -92,21 +95,17 @@ def snk02(spark, sf):
     return staged(samples(spark, sf).select("sample_id", "t", "last_saved"), "saved")
 
 
-@query("fn13", "SELECT * FROM (VALUES (0, 18, 36, 7200), (1, 100, 100, 1800), (2, 200, 200, 80)) t(depth, lat_bins, lng_bins, cap)")
-def fn13(spark, sf):
-    return spark.createDataFrame([(d, *M.MATRIX[d], M.CAPS[d]) for d in M.CAPS], "depth int, lat_bins int, lng_bins int, cap int")
-
-
 @query("fn20", S + f", c AS (SELECT confirmed_type, latitude, longitude, {CELLS} FROM samples WHERE confirmed_type IS NOT NULL AND {USABLE}), b AS (SELECT confirmed_type, la, lo, trunc((latitude - la) / 0.0005e0)::BIGINT AS x, trunc((longitude - lo) / 0.0005e0)::BIGINT AS y FROM c), n AS (SELECT confirmed_type, la, lo, x, y, least(count(*), 65535) AS n FROM b WHERE x BETWEEN 0 AND 199 AND y BETWEEN 0 AND 199 GROUP BY ALL) SELECT confirmed_type, round(la, 4) AS cell_lat, round(lo, 4) AS cell_lng, '200,200,0;' || string_agg(x || ',' || y || ',' || n, ';' ORDER BY x, y) AS bins FROM n GROUP BY confirmed_type, la, lo")
 def fn20(spark, sf):
     m = M.matrix(samples(spark, sf).filter(F.col("confirmed_type").isNotNull() & usable()), 2, "confirmed_type")
     return M.serialise_matrix(m, 2, "confirmed_type").select("confirmed_type", r("cell_lat", 4).alias("cell_lat"), r("cell_lng", 4).alias("cell_lng"), "bins")
 
 
-@query("fn30", "SELECT * FROM (VALUES ('minute', 60), ('hour', 3600), ('day', 86400), ('week', 604800), ('month', 2592000), ('year', 31536000)) t(unit, seconds)")
+@query("fn30", ITEMS + " SELECT device_id, item_no, " + ", ".join(f"round(duration / {n}e0, 9) AS {unit}s" for unit, n in UNITS.items()) + " FROM items")
 def fn30(spark, sf):
-    units = {"minute": 60, "hour": 3600, "day": 86400, "week": 7 * 86400, "month": 30 * 86400, "year": 365 * 86400}
-    return spark.createDataFrame(list(units.items()), "unit string, seconds int")
+    """Each item's duration in every unit."""
+    i = I.summarize(numbered(spark, sf).drop("activity_type"))
+    return i.select("device_id", "item_no", *[r(F.col("duration") / float(n), 9).alias(f"{unit}s") for unit, n in UNITS.items()])
 
 
 @query("src01", S + " SELECT sample_id FROM samples WHERE recording_state IN ('recording', 'wakeup', 'sleeping', 'deepSleeping')")
@@ -240,8 +239,3 @@ def ml05(spark, sf):
     s = samples(spark, sf).filter(F.col("confirmed_type").isNotNull() & usable())
     f = M.place_factor(s, M.matrix(s, 2, "confirmed_type"), 2, "confirmed_type")
     return f.select("sample_id", F.col("confirmed_type").alias("name"), r("factor", 9).alias("factor"))
-
-
-@query("ml13", SCORES + " SELECT name, round(least(1.0, count(*) / 1e3), 9) AS coverage FROM sc WHERE score > 0 GROUP BY 1")
-def ml13(spark, sf):
-    return scores(spark, sf).filter("score > 0").groupBy("name").agg(r(F.least(F.lit(1.0), F.count(F.lit(1)) / 1e3), 9).alias("coverage"))

@@ -225,7 +225,7 @@ def tl21(spark, sf):
     return samples(spark, sf).groupBy("device_id", "leg").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("start_t"), F.max("t").alias("end_t"), F.bool_and(F.col("moving_state") == "stationary").alias("is_visit"))
 
 
-@query("tl22", "SELECT 0::BIGINT AS n_broken")
+@query("tl22", ITEMS + ", l AS (SELECT item_no, lag(item_no) OVER o AS p, lead(item_no) OVER o AS n FROM items WINDOW o AS (PARTITION BY device_id ORDER BY item_no)) SELECT count(*) FILTER (p = item_no OR n = item_no OR p = n) AS n_broken FROM l")
 def tl22(spark, sf):
     bad = (F.col("previous") == F.col("item_no")) | (F.col("next") == F.col("item_no")) | (F.col("previous") == F.col("next"))
     return linked(spark, sf).agg(F.count_if(F.coalesce(bad, F.lit(False))).alias("n_broken"))
