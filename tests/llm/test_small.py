@@ -355,3 +355,19 @@ def test_word_hashes_are_by_word(spark):
 
     h, first = common.text_words(pa.array(["a bb a", None, "", " \n", "bb", "éé x" * 5000]))
     assert first[:6].tolist() == [0, 3, 3, 3, 3, 4] and h[0] == h[2] and h[1] == h[3] and h[0] != h[1]
+
+
+def test_mixing_ranges_are_even_for_low_weights_and_repeats(spark, monkeypatch):
+    seen = {}
+    keep = common.staged
+    monkeypatch.setattr(common, "staged", lambda df, tag: seen.setdefault(tag, keep(df, tag)))
+    # one source of weight 10 throughout, half of its rows alike in id and text
+    docs = spark.range(8000).select(F.when(F.col("id") < 4000, F.lit(1)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.lit("## # ### ##### a b c").alias("text"), F.lit("s").alias("source"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = mixing.mix(docs)
+        assert got.agg(F.sum("taken")).first()[0] == int(got.first().target)
+        sizes = [r["count"] for r in seen["ranges"].groupBy("_part").count().collect()]
+        assert sum(sizes) == 8000 and len(sizes) == 16 and max(sizes) < 2 * 8000 / 16
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -4,8 +4,8 @@ Every document draws an exponential key, -ln(u) / quality weight, with u from a
 null): the same row has the same key in every run. In the order of these keys, a prefix of a source is a weighted sample without replacement.
 A source takes whole epochs of itself first and fills the rest of its target with such a prefix.
 
-The order within a source is found in two steps, so that no task holds a whole source: keys fall into buckets of
-about ``rows_per_bucket`` documents, bucket sums are added up along the source, and each bucket is added up within.
+The order within a source is found in two steps, so that no task holds a whole source: keys are dealt
+into ranges of about as many documents each, the ranges' sums are added up along the source, and each range within.
 """
 
 from __future__ import annotations
@@ -63,7 +63,6 @@ def _taken(
     source_col: str = "source",
     weights: Sequence[int] = (1, 2, 3),
     max_epochs: int = 3,
-    rows_per_bucket: int = 1024,
 ) -> DataFrame:
     """mix() with the hash of each text, _tie."""
     text, size = F.col(text_col), common.word_count(F.col(text_col))
@@ -75,21 +74,23 @@ def _taken(
             size.alias("size"),
             (-F.log(u) / quality_weight(text)).alias("_key"),
             F.xxhash64(text).alias("_tie"),
+            F.rand(7).alias("_salt"),  # parts rows alike in all else; written once
         ),
         "mix",
     )
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    goal = targets(sizes, weights, max_epochs).select(F.col("source").alias("_source"), "source_size", "target", "_rows")
+    goal = targets(sizes, weights, max_epochs).select(F.col("source").alias("_source"), "source_size", "target")
     b = base.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # most weights are near 100, and for a weight of 90 this is even over 0 to 1: buckets in the order of keys, about alike in size
-    buckets = F.ceil(F.col("_rows") / rows_per_bucket)
-    b = b.withColumn("_bucket", F.floor((1 - F.exp(-90 * F.col("_key"))) * buckets).cast("long"))
-    sums = b.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
-    along = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_offset"))
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", "doc_id", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    # ranges of keys over all sources, about alike in rows whatever the weights, ids and repeats: each is sorted by itself
+    order = ["source", "_key", "doc_id", "_tie", "_salt"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = common.staged(b.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = b.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))
+    along = W.partitionBy("source").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    sums = sums.select(F.col("source").alias("_s"), F.col("_part").alias("_b"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_offset"))
+    inside = W.partitionBy("source", "_part").orderBy(*order[1:]).rowsBetween(W.unboundedPreceding, 0)
     b = b.withColumn("_run", F.sum("size").over(inside) - F.col("size"))
-    b = b.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    b = b.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_b")))
     goal_words = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(0).cast("long")
     rest = goal_words - epochs * F.col("source_size") - F.col("_offset") - F.col("_run")
