@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
 
-#: Samples that fill a model, by the depth of its parent (fixed values).
+#: Samples that fill a model, by the depth of its parent, and latitude by longitude bins of places by depth.
 CAPS = {0: 7200, 1: 1800, 2: 80}
 MATRIX = {0: (18, 36), 1: (100, 100), 2: (200, 200)}
 

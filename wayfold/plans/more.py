@@ -6,17 +6,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wayfold.functions import geo
+from wayfold.operators import classifier as C
 from wayfold.operators import folds, segments
 from wayfold.operators import items as I
-from wayfold.operators import classifier as C
 from wayfold.operators import models as M
 from wayfold.operators.brain import states
+from wayfold.operators.tables import staged
 from wayfold.plans.basics import AS_OF, usable
-from wayfold.plans.classify import CELLS, SCORES, scores
+from wayfold.plans.classify import CELLS, SCORES
 from wayfold.plans.sqltext import I as ITEMS
 from wayfold.plans.sqltext import USABLE, S, hav
 from wayfold.plans.statistics import SEG, numbered
-from wayfold.operators.tables import staged
 from wayfold.registry import query
 from wayfold.schemas import LIMITS
 from wayfold.sources.samples import samples

@@ -21,7 +21,7 @@ RECORDING_STATES = ("off", "standby", *ACTIVE_STATES)
 
 @dataclass(frozen=True)
 class Thresholds:
-    """Limits that decide what a visit, a path and a gap are. Seconds and metres."""
+    """Limits that decide what a visit, a path and a gap are (fixed values by default). Seconds and metres."""
 
     visit_valid_s: float = 10.0
     visit_keeper_s: float = 120.0
