@@ -118,14 +118,6 @@ def jn13(spark, sf):
     return stats.trusted(s, stats.coordinate_trust(s)).select("sample_id", r("trust", 6).alias("trust"))
 
 
-@query("jn14", S + ", a AS (SELECT classified_type AS name, count(*) AS n FROM samples WHERE leg % 2 = 0 AND classified_type IS NOT NULL GROUP BY 1), b AS (SELECT confirmed_type AS name, count(*) AS n FROM samples WHERE leg % 2 = 1 AND confirmed_type IS NOT NULL GROUP BY 1) SELECT name, round(0.25 * coalesce(a.n, 0) + 0.75 * coalesce(b.n, 0), 3) AS score FROM a FULL JOIN b USING (name)")
-def jn14(spark, sf):
-    s = samples(spark, sf)
-    a = s.filter("leg % 2 = 0 and classified_type is not null").groupBy(F.col("classified_type").alias("name")).agg(F.count(F.lit(1)).alias("a"))
-    b = s.filter("leg % 2 = 1 and confirmed_type is not null").groupBy(F.col("confirmed_type").alias("name")).agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, "name", "full").select("name", r(0.25 * F.coalesce("a", F.lit(0)) + 0.75 * F.coalesce("b", F.lit(0)), 3).alias("score"))
-
-
 AROUND = ITEMS + f""", v AS (SELECT device_id, item_no + 1 AS path_no, latitude AS vla, longitude AS vlo, greatest(10.0, least(150.0, radius_mean + radius_sd)) AS vr FROM items WHERE is_visit AND latitude IS NOT NULL),
   x AS (SELECT n.sample_id, n.device_id, n.item_no, {USABLE.replace('h_acc', 'n.h_acc').replace('latitude', 'n.latitude').replace('longitude', 'n.longitude')} AND {hav('n.latitude', 'n.longitude', 'vla', 'vlo')} <= vr AS inside
   FROM numbered n JOIN v ON n.device_id = v.device_id AND n.item_no = v.path_no WHERE n.m)"""
