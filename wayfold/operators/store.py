@@ -41,6 +41,21 @@ def without_old_deleted(rows: DataFrame, time: str, before: int) -> DataFrame:
     return rows.filter(~(F.col("deleted") & (F.col(time) < before)))
 
 
+def delete_items(items: DataFrame, samples: DataFrame, keys: Sequence[str] = ("device_id", "item_no")) -> DataFrame:
+    """``items`` (keys, previous, next, locked) after all were asked to go: with ``deleted``, true for those that were, whose links are gone.
+
+    Locked items, and items that still hold a sample of ``samples`` that isn't deleted, refuse and stay as they are.
+    """
+    held = samples.filter(~F.col("deleted")).select(*keys).distinct().withColumn("_held", F.lit(True))
+    out = items.join(held, list(keys), "left").withColumn("deleted", ~F.col("locked") & F.col("_held").isNull()).drop("_held")
+    return out.withColumns({c: F.when(~F.col("deleted"), F.col(c)) for c in ("previous", "next")})
+
+
+def without_old_deleted_items(items: DataFrame, before: int) -> DataFrame:
+    """Items but those deleted whose end is before ``before`` or unknown."""
+    return items.filter(~(F.col("deleted") & F.coalesce(F.col("end_t") < before, F.lit(True))))
+
+
 def flag_events(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """A row for each flag that is true."""
     set_names = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))

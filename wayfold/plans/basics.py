@@ -9,7 +9,7 @@ from wayfold.functions import geo
 from wayfold.operators import items as I
 from wayfold.operators import store
 from wayfold.plans.sqltext import I as ITEMS
-from wayfold.plans.sqltext import USABLE, S, hav
+from wayfold.plans.sqltext import USABLE, N, S, hav
 from wayfold.registry import query
 from wayfold.schemas import ACTIVE_STATES, BASE_TYPES, SLEEP_STATES, STEP_TYPES
 from wayfold.sources.samples import samples, table
@@ -306,6 +306,33 @@ def snk08(spark, sf):
     return store.without_old_deleted(samples(spark, sf), "t", AS_OF - 3600).select("sample_id")
 
 
+#: Items of all samples, deleted ones too; some are left without a live sample. Every 11th is locked.
+HELD = N.replace(" WHERE NOT deleted", "", 1) + """, it AS (SELECT device_id, item_no, max(t) FILTER (NOT g) AS end_t, count(*) FILTER (NOT deleted) AS n_live FROM numbered GROUP BY ALL),
+  asked AS (SELECT *, n_live = 0 AND item_no % 11 <> 0 AS deleted, lag(item_no) OVER o AS p, lead(item_no) OVER o AS x FROM it WINDOW o AS (PARTITION BY device_id ORDER BY item_no))"""
+
+
+def asked_items(spark, sf):
+    s = I.number_items(samples(spark, sf))
+    end = F.max(F.when(~(I.moving() & (F.col("recording_state") == "off")), F.col("t"))).alias("end_t")
+    o = W.partitionBy("device_id").orderBy("item_no")
+    i = s.groupBy("device_id", "item_no").agg(end).withColumns({"previous": F.lag("item_no").over(o), "next": F.lead("item_no").over(o), "locked": F.col("item_no") % 11 == 0})
+    return store.delete_items(i, s)
+
+
+@query("snk07_items", HELD + " SELECT device_id, item_no, deleted, CASE WHEN NOT deleted THEN p END AS previous, CASE WHEN NOT deleted THEN x END AS next FROM asked")
+def snk07_items(spark, sf):
+    """All items asked to go: those that are locked or hold live samples refuse."""
+    return asked_items(spark, sf).select("device_id", "item_no", "deleted", "previous", "next")
+
+
+@query("snk08_items", HELD + ", d AS (SELECT quantile_disc(end_t, 0.5) AS before FROM it) SELECT device_id, item_no, deleted FROM asked, d WHERE NOT (deleted AND coalesce(end_t < before, true))")
+def snk08_items(spark, sf):
+    """Items after a purge of those deleted that ended before the middle of all ends, or have none."""
+    i = asked_items(spark, sf)
+    before = i.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY end_t)")).first()[0]
+    return store.without_old_deleted_items(i, before).select("device_id", "item_no", "deleted")
+
+
 # orders
 
 
