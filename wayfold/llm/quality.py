@@ -8,8 +8,8 @@ within a stratum this fixed sequence needs no correction, whatever the number of
 correction is Bonferroni's. So, but for a chance of delta over all strata, a stratum's rules reject at most ``alpha`` of
 its good documents. Of the certified steps the one is taken that parts the labelled bad from the good ones best.
 
-A stratum with too few good labels to certify anything, even without an error, joins the other such strata in a pool,
-which is tested as one: its guarantee is for the good documents of the pool together.
+Each stratum is certified on its own labels alone. One with too few good labels to certify a step, even without an error,
+has no such rules: only the base rules reject there.
 """
 
 from __future__ import annotations
@@ -116,33 +116,30 @@ def _add(a: Column, term: Column) -> Column:
 
 
 def thresholds(rows: DataFrame, labels: DataFrame, *, alpha: float = 0.04, delta: float = 0.05) -> DataFrame:
-    """The step of each stratum with a certified one: (stratum, pooled, step, n_good, n_errors, n_bad, n_caught, p_value).
+    """The step of each stratum with a certified one: (stratum, step, n_good, n_errors, n_bad, n_caught, p_value).
 
-    ``labels``: (doc_id, quality), 1 for good; a document with several labels counts once, by its lowest. Counts of a
-    pooled stratum are the pool's. Strata without labels have no row, nor have those whose first step fails.
+    ``labels``: (doc_id, quality), 1 for good; a document with several labels counts once, by its lowest. Bonferroni's
+    correction is over the strata that have good labels. Strata without any have no row, nor have those whose first
+    step fails, be it for errors or for want of labels.
     """
     marked = labels.select(F.col("doc_id").alias("_id"), "quality").groupBy("_id").agg(F.min("quality").alias("_q"))
     held = rows.filter(~base_failed()).join(marked, F.col("doc_id") == F.col("_id"))
     count = lambda q: F.count_if(F.col("_q") == q)
     counts = held.groupBy("stratum", level().alias("level")).agg(count(1).alias("good"), count(0).alias("bad"))
     # from here on a few rows a stratum
-    every = W.partitionBy()
-    strata = counts.groupBy("stratum").agg(F.sum("good").alias("_n")).filter("_n > 0").withColumn("_level", F.lit(delta) / F.count(F.lit(1)).over(every))
-    least = F.ceil(F.log("_level") / F.log(F.lit(1 - alpha)))
-    strata = strata.select(F.col("stratum").alias("_s"), "_level", (F.col("_n") < least).alias("pooled"), F.when(F.col("_n") >= least, F.col("stratum")).alias("group"))
-    mine = counts.join(strata, F.col("stratum").eqNullSafe(F.col("_s")))
-    steps = mine.select("pooled", "group", "_level", "level", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
+    strata = counts.groupBy(F.col("stratum").alias("_s")).agg(F.sum("good").alias("_n")).filter("_n > 0")
+    strata = strata.select("_s", (F.lit(delta) / F.count(F.lit(1)).over(W.partitionBy())).alias("_risk"))
+    steps = counts.join(strata, F.col("stratum").eqNullSafe(F.col("_s"))).select("stratum", "_risk", "level", "good", "bad", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"))
     fails = F.col("level") >= STEPS - F.col("step")
     some = lambda c: F.sum(F.when(fails, F.col(c)).otherwise(0))
-    tests = steps.groupBy("pooled", "group", "_level", "step").agg(F.sum("good").alias("n_good"), some("good").alias("n_errors"), F.sum("bad").alias("n_bad"), some("bad").alias("n_caught"))
+    tests = steps.groupBy("stratum", "_risk", "step").agg(F.sum("good").alias("n_good"), some("good").alias("n_errors"), F.sum("bad").alias("n_bad"), some("bad").alias("n_caught"))
     p = F.when(F.col("n_errors") <= F.col("n_good") * alpha, binomial_tail(F.col("n_good"), F.col("n_errors"), alpha)).otherwise(1.0)
-    on = W.partitionBy("pooled", "group").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    sound = tests.withColumn("p_value", p).withColumn("_sound", F.min(F.col("p_value") <= F.col("_level")).over(on)).filter("_sound")
+    on = W.partitionBy("stratum").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    sound = tests.withColumn("p_value", p).withColumn("_sound", F.min(F.col("p_value") <= F.col("_risk")).over(on)).filter("_sound")
     # share of bad texts caught less the share of good ones lost, in whole numbers; of equals the loosest
     worth = F.col("n_caught") * F.greatest("n_good", F.lit(1)) - F.col("n_errors") * F.greatest("n_bad", F.lit(1))
     best = F.min_by(F.struct("step", "n_good", "n_errors", "n_bad", "n_caught", "p_value"), F.struct(-worth, "step"))
-    cut = sound.groupBy(F.col("pooled").alias("_p"), F.col("group").alias("_g")).agg(best.alias("x"))
-    return strata.join(cut, (F.col("pooled") == F.col("_p")) & F.col("group").eqNullSafe(F.col("_g"))).select(F.col("_s").alias("stratum"), "pooled", "x.*")
+    return sound.groupBy("stratum").agg(best.alias("x")).select("stratum", "x.*")
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, alpha: float = 0.04, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -184,16 +181,14 @@ rated AS (
 levels AS MATERIALIZED (SELECT doc_id, max(k) AS level FROM (SELECT doc_id, r.rule, count(*) FILTER (v > cutoff * per) AS k FROM rated r JOIN grid g ON r.rule = g.rule GROUP BY ALL) GROUP BY doc_id),
 marked AS (SELECT doc_id, min(quality) AS q FROM labels GROUP BY doc_id),
 held AS MATERIALIZED (SELECT stratum, level, q FROM b JOIN marked USING (doc_id) JOIN levels USING (doc_id) WHERE NOT base_failed),
-strata AS (SELECT stratum, count(*) AS n, 0.05 / count(*) OVER () AS risk FROM held WHERE q = 1 GROUP BY stratum),
-grouped AS (SELECT stratum, risk, n < ceil(ln(risk) / ln(0.96)) AS pooled, CASE WHEN n >= ceil(ln(risk) / ln(0.96)) THEN stratum END AS g FROM strata),
+strata AS (SELECT stratum, 0.05 / count(*) OVER () AS risk FROM held WHERE q = 1 GROUP BY stratum),
 tests AS (
-  SELECT pooled, g, risk, step, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 0) AS bad, count(*) FILTER (q = 1 AND level >= 10 - step) AS x, count(*) FILTER (q = 0 AND level >= 10 - step) AS caught
-  FROM held JOIN grouped ON held.stratum IS NOT DISTINCT FROM grouped.stratum CROSS JOIN range(10) s(step) GROUP BY ALL),
+  SELECT held.stratum, risk, step, count(*) FILTER (q = 1) AS n, count(*) FILTER (q = 0) AS bad, count(*) FILTER (q = 1 AND level >= 10 - step) AS x, count(*) FILTER (q = 0 AND level >= 10 - step) AS caught
+  FROM held JOIN strata ON held.stratum IS NOT DISTINCT FROM strata.stratum CROSS JOIN range(10) s(step) GROUP BY ALL),
 tails AS (
   SELECT *, CASE WHEN x > n * 0.04 THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.04) + (n - k) * ln(0.96))) FROM generate_series(0, x) t(k)) END AS p FROM tests),
-passed AS (SELECT *, bool_and(p <= risk) OVER (PARTITION BY pooled, g ORDER BY step) AS ok FROM tails),
-cut AS (SELECT pooled, g, arg_min(step, (x * greatest(bad, 1) - caught * greatest(n, 1), step)) AS step FROM passed WHERE ok GROUP BY ALL),
-mine AS (SELECT stratum, step FROM grouped r JOIN cut c ON r.pooled = c.pooled AND r.g IS NOT DISTINCT FROM c.g)
+passed AS (SELECT *, bool_and(p <= risk) OVER (PARTITION BY stratum ORDER BY step) AS ok FROM tails),
+mine AS (SELECT stratum, arg_min(step, (x * greatest(bad, 1) - caught * greatest(n, 1), step)) AS step FROM passed WHERE ok GROUP BY stratum)
 SELECT b.doc_id, b.stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(level >= 10 - step, false) AS kept
 FROM b JOIN levels USING (doc_id) LEFT JOIN mine ON b.stratum IS NOT DISTINCT FROM mine.stratum
 """
