@@ -4,7 +4,9 @@ Words are lower-cased and stripped of punctuation. Runs of ``seed`` words are se
 of words that lie in seeds of the benchmark matter, since every tile consists of such: a first map keeps these, with a
 bitmap of the benchmark's seed hashes of a fixed size, so that nearly all text stays where it is. Spark joins the
 stretches' seeds with the items' seeds by hash, and counts how many of an item's words the seeds that it shares with a
-document cover: tiles can't cover more. The pairs that may reach the threshold are tiled: the longest run of
+document cover: tiles can't cover more. A pair that reaches the threshold shares more than any seeds that cover less of
+the item; so the item's most frequent seeds, as long as together they cover less, need not find candidates: a passage that
+many documents and many items share makes no pairs by itself. The pairs that may reach the threshold are tiled: the longest run of
 words that both have, unmarked, is marked in both, again and again, until none of ``seed`` words is left. The share of the item's
 words under tiles is its coverage: passages that were cut up and reordered count as much as whole ones.
 
@@ -161,6 +163,30 @@ def _stretches(batches, shared, sizes: list[int]):
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), part.column(1).take(pa.array(some)), a, common.list_array(seeds, of).take(pa.array(some))], ["id", "v", "a", "seeds"])
 
 
+def _telling(batches, threshold: float):
+    """Of each item the places of seeds that every document reaching the threshold shares one of.
+
+    Left out are the seeds found in most stretches, the most frequent first, while all those left out cover less of
+    the item than the threshold asks.
+    """
+    import pyarrow as pa
+
+    for b in batches:
+        n = b.schema.names.index
+        out = []
+        for words, size, places, counts in zip(*(b.column(n(c)).to_pylist() for c in ("words", "size", "places", "counts"))):
+            under, left, covered = np.zeros(words, bool), set(places), 0
+            for count, pos in sorted(zip(counts, places), key=lambda x: (-x[0], x[1])):
+                more = size - int(under[pos : pos + size].sum())
+                if count < 2 or covered + more >= threshold * words:
+                    break
+                under[pos : pos + size] = True
+                covered += more
+                left.discard(pos)
+            out.append(sorted(left))
+        yield pa.RecordBatch.from_arrays([b.column(n("k")), pa.array(out, pa.list_(pa.int64()))], ["k", "places"])
+
+
 def _tiled(batches):
     import pyarrow as pa
 
@@ -200,7 +226,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, seed: int = 5, threshold: fl
     d = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("v"), plain(F.col(text_col)).alias("text")).filter("text <> ''")
     found = common.arrow_map(d, lambda it: _stretches(it, shared, sizes), f"id {kinds[0]}, v bigint, a array<bigint>, seeds array<bigint>")
     found = scratch.staged(found.withColumn("r", F.xxhash64("id", "v", "a")), "stretches")
-    hits = found.select("r", F.explode("seeds").alias("h")).distinct().join(placed, "h")
+    held = found.select("r", F.explode("seeds").alias("h"))
+    # no row of a document is needed for the counts but its seeds, added up where they lie
+    often = placed.join(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "h", "left").select("k", "size", "pos", F.coalesce("n", F.lit(0)).alias("n"))
+    often = often.groupBy("k", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "n"))).alias("x"))
+    often = often.join(items.select("k", F.size("b").alias("words")), "k").select("k", "size", "words", F.col("x.pos").alias("places"), F.col("x.n").alias("counts"))
+    telling = common.arrow_map(often, lambda it: _telling(it, threshold), "k bigint, places array<bigint>").select("k", F.explode("places").alias("pos"))
+    telling = placed.join(telling, ["k", "pos"]).select("k", "h").distinct()
+    pairs = scratch.staged(held.join(telling, "h").select("r", "k").distinct(), "candidates")
+    # all seeds that a candidate pair shares
+    hits = pairs.join(placed, "k").join(held, ["r", "h"], "left_semi")
     pairs = hits.groupBy("r", "k", "size").agg(F.array_sort(F.collect_set(F.col("pos").cast("bigint"))).alias("at"))
     # words of an item in the seeds it shares: each adds those that the seed before doesn't have
     reach = F.aggregate(
