@@ -1,9 +1,11 @@
+import random
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import Row
 
 from wayfold.llm import common, neardup
+from wayfold.llm.components import components, joined
 from wayfold.llm.queries import QUERIES
 
 
@@ -111,3 +113,15 @@ def test_texts_and_their_repeated_selves(spark):
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = partition([r[0] for r in rows], brute(rows))
     assert len(want) == 30 and partition([r.id for r in got], [r.class_id for r in got]) == want
+
+
+def test_components_joined_by_further_edges(spark):
+    rng = random.Random(4)
+    for n in (3, 40, 120):
+        first = [(rng.randrange(80), rng.randrange(80)) for _ in range(n)]
+        more = [(rng.randrange(120), rng.randrange(120)) for _ in range(n // 3)]
+        one, two, both = (spark.createDataFrame([e for e in x if e[0] != e[1]], "a long, b long") for x in (first, more, first + more))
+        scratch = common.Scratch(spark)
+        got = joined(components(one, scratch), two, scratch)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components(both, scratch).collect()))
+        assert sorted(map(tuple, joined(components(one, scratch), two.limit(0), scratch).collect())) == sorted(map(tuple, components(one, scratch).collect()))

@@ -27,3 +27,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if not labels.filter("changed").limit(1).count():
             scratch.drop(edges)
             return labels.select("v", "root")
+
+
+def joined(roots: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, root) of components() with the further ``edges`` (a, b), from its result so far.
+
+    Only edges between different components count, each as one between their roots: their number, not that of the
+    vertices, is what the rounds work on.
+    """
+    ends = edges.select("a", "b").join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
+    ends = ends.join(roots.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b", "left")
+    between = ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").distinct()
+    top = components(scratch.staged(between, "between"), scratch)
+    # a vertex that had no edge before is in ``top`` by itself
+    known = roots.join(top.select(F.col("v").alias("root"), F.col("root").alias("top")), "root", "left").select("v", F.coalesce("top", "root").alias("root"))
+    fresh = top.join(roots.select("v"), "v", "left_anti").select("v", "root")
+    return scratch.staged(known.unionByName(fresh), "joined")

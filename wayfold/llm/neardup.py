@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .common import mix
-from .components import components
+from .components import components, joined
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(16)])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -216,14 +216,12 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     main = now.join(sizes, "h").join(ends, "v", "left").filter("root = main")
     hubs = main.groupBy("h").agg(F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), "v")).alias("p")).select("h", F.col("p.v").alias("w"))
     pairs = now.join(sizes, "h").filter("root <> main").join(hubs, "h").select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    links = links.union(scratch.staged(_verified(pairs, sets, similarity), "links"))
-    roots = components(links, scratch)
+    roots = joined(roots, scratch.staged(_verified(pairs, sets, similarity), "links"), scratch)
 
     now, sizes = _mixed(keyed, roots, scratch)
     strays = now.join(sizes, "h").filter("root <> main").select("v").distinct()
     pairs = _meeting(sets.join(now.select("v", "root").distinct(), "v"), strays, similarity, scratch)
-    links = links.union(scratch.staged(_verified(pairs, sets, similarity), "links"))
-    roots = components(links, scratch)
+    roots = joined(roots, scratch.staged(_verified(pairs, sets, similarity), "links"), scratch)
 
     members = signed.join(roots, "v", "left").select("id", "v", F.coalesce("root", "v").alias("root"))
     members = scratch.staged(members, "members")
