@@ -200,25 +200,27 @@ def weighed(samples: DataFrame, models: DataFrame, names: tuple[str, ...], depth
     return s
 
 
-def _terms(d: int, names: tuple[str, ...], bins: Column | None):
+def _terms(d: int, names: tuple[str, ...], bins: Column | None, model=raw_score):
     """The term of a model at a depth, null for no model or a depth that doesn't count."""
 
     def of(m: Column) -> Column:
         most = F.coalesce(F.array_max(F.map_values(m["previous"])), F.lit(0))
         moves = F.transform(F.array(*map(F.lit, names)), lambda n: (F.coalesce(F.element_at(m["previous"], n), F.lit(0)) + MARKOV_PRIOR) / (most + MARKOV_PRIOR))
         weight = F.col(f"w{d}") * m["total_samples"] / (1 + F.col(f"c{d}.total"))
-        raw = raw_score(m, d, _place(m, bins, d) if bins is not None else None)
+        raw = model(m, d, _place(m, bins, d) if bins is not None else None)
         known = m.isNotNull() & (F.col(f"w{d}") > 0)
         return F.when(known, F.struct(raw.alias("raw"), weight.alias("weight"), F.when((m["name"] != "bogus") & m["previous"].isNotNull(), moves).alias("moves")))
 
     return of
 
 
-def parts(samples: DataFrame, models: DataFrame, names: tuple[str, ...], kept: list[str], depths: tuple[int, ...] = (0, 1, 2), trained: DataFrame | None = None) -> DataFrame:
+def parts(samples: DataFrame, models: DataFrame, names: tuple[str, ...], kept: list[str], depths: tuple[int, ...] = (0, 1, 2), trained: DataFrame | None = None, model=raw_score) -> DataFrame:
     """``kept`` columns and ``parts``: for each of ``names`` the terms of its score, from the sample's set of each depth that counts.
 
     A term is (raw, weight, moves): weight is how much the depth counts times the model's share of its set's samples, moves are factors by
     the previous type's place in ``names`` (null where the model knows none). ``trained`` are the confirmed samples that made the models, for the places' bins.
+    ``model`` is a hook, a function of (a model's columns, depth, its place's factor) that gives another score of a sample by a model, from
+    whatever columns both have; null is as good as 1.
     """
     s = weighed(samples, models, names, depths)
     for d in depths:
@@ -231,7 +233,7 @@ def parts(samples: DataFrame, models: DataFrame, names: tuple[str, ...], kept: l
             where = {f"{n}{d}": c for n, c in _bins(F.lit(d), *on).items()}
             s, bins = s.withColumns(where).join(filled, [*on, *where], "left"), F.col(f"b{d}")
         none = F.array_repeat(F.lit(None).cast("struct<raw:double,weight:double,moves:array<double>>"), len(names))
-        s = s.withColumn(f"p{d}", F.coalesce(F.transform(f"c{d}.models", _terms(d, names, bins)), none))
+        s = s.withColumn(f"p{d}", F.coalesce(F.transform(f"c{d}.models", _terms(d, names, bins, model)), none))
     joined = F.transform(f"p{depths[0]}", lambda a: F.array(a))
     for d in depths[1:]:
         joined = F.zip_with(joined, f"p{d}", lambda a, b: F.concat(a, F.array(b)))
@@ -254,15 +256,15 @@ def scores(table: DataFrame, names: tuple[str, ...], kept: list[str], before: Co
     return table.select(*kept, F.explode(F.filter(named, lambda x: x["score"].isNotNull())).alias("_s")).select(*kept, "_s.*")
 
 
-def world(samples: DataFrame) -> DataFrame:
-    """(sample_id, name, score) by the models of the world alone, of all types that have confirmed samples."""
+def world(samples: DataFrame, model=raw_score) -> DataFrame:
+    """(sample_id, name, score) by the models of the world alone, of all types that have confirmed samples; ``model`` as in parts()."""
     m = M.train(samples).withColumns({"depth": F.lit(0), **cell(0), "previous": F.lit(None).cast("map<string,bigint>"), "top": F.lit(0).cast("bigint")})
-    return scores(parts(samples, m, TYPES, ["sample_id"], depths=(0,)), TYPES, ["sample_id"])
+    return scores(parts(samples, m, TYPES, ["sample_id"], depths=(0,), model=model), TYPES, ["sample_id"])
 
 
-def classify(samples: DataFrame, models: DataFrame, names: tuple[str, ...], trained: DataFrame) -> DataFrame:
-    """(sample_id, name, score) by all three depths, each sample for itself."""
-    return scores(parts(samples, models, names, ["sample_id"], trained=trained), names, ["sample_id"])
+def classify(samples: DataFrame, models: DataFrame, names: tuple[str, ...], trained: DataFrame, model=raw_score) -> DataFrame:
+    """(sample_id, name, score) by all three depths, each sample for itself; ``model`` as in parts()."""
+    return scores(parts(samples, models, names, ["sample_id"], trained=trained, model=model), names, ["sample_id"])
 
 
 def best_place(parts_: Column, before: Column | None, digits: int = 12) -> Column:
@@ -272,14 +274,14 @@ def best_place(parts_: Column, before: Column | None, digits: int = 12) -> Colum
     return F.struct(F.coalesce(-top["at"], F.lit(-1)).alias("at"), top["score"].alias("score"))
 
 
-def chained(samples: DataFrame, models: DataFrame, names: tuple[str, ...], trained: DataFrame, keys: tuple[str, ...] = ("device_id", "item_no"), seconds: int = 3600) -> DataFrame:
+def chained(samples: DataFrame, models: DataFrame, names: tuple[str, ...], trained: DataFrame, keys: tuple[str, ...] = ("device_id", "item_no"), seconds: int = 3600, model=raw_score) -> DataFrame:
     """(keys, sample_id, t, previous, name, score): the best type of each sample, a factor of which is the best type of the sample before in its chain.
 
     A chain is the samples of ``keys`` in the order of (t, sample_id); its first has no previous type, nor has one after a
-    sample that no model scores. ``seconds`` is the span composed at a time; it changes no result.
+    sample that no model scores. ``seconds`` is the span composed at a time; it changes no result. ``model`` as in parts().
     """
     kept = [*keys, "sample_id", "t"]
-    table = parts(samples, models, names, kept, trained=trained)
+    table = parts(samples, models, names, kept, trained=trained, model=model)
     k = len(names)
     # place k stands for no previous type; parts are named k + 1 times, so they are worked out once
     row = F.array(*[best_place(F.col("parts"), F.lit(p)) for p in range(k)], best_place(F.col("parts"), None))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfold.functions import tables
-from wayfold.operators import folds, stats
+from wayfold.operators import classifier, folds, stats
 from wayfold.plans.basics import THROTTLED
-from wayfold.plans.sqltext import S
+from wayfold.plans.sqltext import USABLE, S
 from wayfold.plans.statistics import TRUST
 from wayfold.plans.timeline import KALMAN
 from wayfold.registry import query
@@ -55,3 +55,19 @@ def ux03(spark, sf):
     """The coordinate filter with trust in places as a hook: here each device's own coordinate_trust()."""
     s = samples(spark, sf)
     return folds.kalman(s, trust=stats.coordinate_trust(s)).select("sample_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
+@query(
+    "ux04",
+    S
+    + f""", m AS (SELECT confirmed_type AS name, count(*) AS n, coalesce(count(*) FILTER (moving_state = 'moving') / nullif(count(*) FILTER (moving_state <> 'uncertain'), 0)::DOUBLE, 0.5) AS p
+  FROM samples WHERE confirmed_type IS NOT NULL AND {USABLE} GROUP BY 1)
+SELECT sample_id, name, round(n / (1 + (SELECT sum(n) FROM m)) * CASE moving_state WHEN 'moving' THEN p WHEN 'stationary' THEN 1 - p ELSE 1 END, 9) AS score FROM samples CROSS JOIN m""",
+)
+def ux04(spark, sf):
+    """Classification with another model as a hook: here one that knows a type's share of moving samples and nothing else."""
+
+    def by_motion(m, depth, place):
+        return F.when(F.col("moving_state") == "moving", m["moving_pct"]).when(F.col("moving_state") == "stationary", 1 - m["moving_pct"]).otherwise(1.0)
+
+    return classifier.world(samples(spark, sf), model=by_motion).select("sample_id", "name", F.round("score", 9).alias("score"))
