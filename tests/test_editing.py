@@ -1,6 +1,7 @@
 """Samples that change sides at the edges of a visit, worked out by hand."""
 
-from wayfold.operators import editing
+from wayfold.operators import editing, merging
+from wayfold.operators import items as I
 
 COLUMNS = "sample_id long, device_id long, t long, latitude double, longitude double, h_acc double, speed double, moving_state string, recording_state string, confirmed_type string, classified_type string, item_no long"
 
@@ -36,3 +37,12 @@ def test_nothing_to_do(spark):
     assert editing.sanitise_edges(rows(spark, (True, [0] * 3)).limit(0)).count() == 0
     alone = rows(spark, (True, [0] * 3))
     assert {r.item_no for r in editing.sanitise_edges(alone).collect()} == {1}
+
+
+def test_a_path_that_lies_in_the_visit_is_deleted_into_it_with_a_higher_score(spark):
+    def score(*path):
+        s = rows(spark, (True, [0] * 10), (False, path))
+        return {r.item_no: (r.k, r.b, r.d, r.score) for r in editing.safe_deletes(merging.facts(I.summarize(s), s), s).collect()}[2]
+
+    assert score(0, 1, 2) == (1, None, 2, 2)
+    assert score(500, 501, 502) == (1, None, 2, 1)  # none inside
