@@ -39,6 +39,14 @@ def test_nothing_to_do(spark):
     assert {r.item_no for r in editing.sanitise_edges(alone).collect()} == {1}
 
 
+def test_an_item_that_ends_after_all_others_begin_is_linked_on(spark):
+    # no item begins at or after the broken edge's time, so the nearest one lies before it
+    columns = "device_id long, item_no long, start_t long, end_t long, is_visit boolean, previous long, next long, current boolean, gone boolean, locked boolean"
+    items = spark.createDataFrame([(1, 1, 0, 500, False, None, None, False, False, False), (1, 2, 100, 140, True, None, None, True, False, False)], columns)
+    got = {r.item_no: (r.absorbed_by, r.previous, r.next) for r in editing.healed(items).collect()}
+    assert got == {1: (None, 2, 2), 2: (None, 1, None)}
+
+
 def test_a_path_that_lies_in_the_visit_is_deleted_into_it_with_a_higher_score(spark):
     def score(*path):
         s = rows(spark, (True, [0] * 10), (False, path))
