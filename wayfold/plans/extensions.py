@@ -70,4 +70,4 @@ def ux04(spark, sf):
     def by_motion(m, depth, place):
         return F.when(F.col("moving_state") == "moving", m["moving_pct"]).when(F.col("moving_state") == "stationary", 1 - m["moving_pct"]).otherwise(1.0)
 
-    return classifier.world(samples(spark, sf), model=by_motion).select("sample_id", "name", F.round("score", 9).alias("score"))
+    return classifier.world(samples(spark, sf), model=by_motion, features=()).select("sample_id", "name", F.round("score", 9).alias("score"))
