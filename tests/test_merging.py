@@ -129,3 +129,19 @@ def test_a_place_on_the_border_of_a_visit_is_inside_whatever_the_last_digit(spar
     for radius, share in ((math.nextafter(d, 0), 1 / 3), (d, 1 / 3), (d - 1e-3, None)):
         pair = spark.sql(f"SELECT 1L AS device_id, struct(1L AS item_no, true AS is_visit, true AS valid, 13.7D AS latitude, 100.5D AS longitude, {radius!r}D AS radius1sd) AS a, struct(2L AS item_no, false AS is_visit, false AS valid, 1L AS n_samples, 0D AS duration, 0D AS distance) AS b")
         assert merging.with_inside(pair, sample, "a", "b").first()["inside"] == share
+
+
+def test_facts_in_one_pass_are_those_of_summaries(spark, some):
+    from tests.compare import norm
+
+    rows = lambda df: {(r.device_id, r.item_no): tuple(norm(r[c]) for c in merging.FACTS) for r in df.collect()}
+    got = rows(merging.told(some))
+    assert got == rows(merging.facts(I.summarize(some), some)) and len(got) > 10
+
+
+def test_samples_are_not_shuffled_again_for_facts(spark, some):
+    from wayfold.operators.tables import Scratch
+
+    s = Scratch(spark).dealt(some.select(*merging.SAMPLE, F.lit(0).alias("next_start")), "test", *merging.KEYS)
+    plan = merging.told(s, following="next_start")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" in plan
