@@ -54,3 +54,12 @@ def test_a_path_that_lies_in_the_visit_is_deleted_into_it_with_a_higher_score(sp
 
     assert score(0, 1, 2) == (1, None, 2, 2)
     assert score(500, 501, 502) == (1, None, 2, 1)  # none inside
+
+
+def test_edges_are_judged_where_the_samples_lie(spark):
+    from wayfold.operators.tables import Scratch
+
+    s = Scratch(spark).dealt(rows(spark, (False, [3000, 2000, 1000]), (True, [0] * 10)), "test", "device_id")
+    moves = editing.edge_moves(merging.told(editing._beside(s), merging.LIMITS, None, *editing._tips()))
+    assert "Exchange" not in moves._jdf.queryExecution().executedPlan().toString()
+    assert [(r.sample_id, r.from_no, r.to_no, r.to_visit) for r in moves.collect()] == [(3, 2, 1, False)]
