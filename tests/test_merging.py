@@ -145,3 +145,20 @@ def test_samples_are_not_shuffled_again_for_facts(spark, some):
     s = Scratch(spark).dealt(some.select(*merging.SAMPLE, F.lit(0).alias("next_start")), "test", *merging.KEYS)
     plan = merging.told(s, following="next_start")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" in plan
+
+
+def test_an_update_stages_types_alone(spark, some, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(df, tag):
+        if tag == "typed":
+            raise Seen(sorted(df.columns))
+        return df
+
+    monkeypatch.setattr(update, "staged", stop)
+    monkeypatch.setattr(update, "reclassified", lambda samples, *_: samples)
+    current = some.select("device_id", "item_no", F.col("item_no").alias("into"), F.lit(True).alias("kind_visit")).distinct()
+    with pytest.raises(Seen) as seen:
+        update.segment_update(some, current, some.limit(1), None, (), None)
+    assert seen.value.args[0] == ["classified_type", "device_id", "item_no", "sample_id"]

@@ -32,7 +32,7 @@ def segment_update(samples: DataFrame, current: DataFrame, edited: DataFrame, mo
     placed = edited.select(*KEYS).distinct().join(current.select(*KEYS, "into"), KEYS, "left")
     items = staged(placed.select("device_id", F.coalesce("into", "item_no").alias("into")).distinct(), "edited")
     known = current.select(*KEYS, "into", "kind_visit").unionByName(placed.filter("into is null").select(*KEYS, F.col("item_no").alias("into"), F.lit(None).cast("boolean").alias("kind_visit")))
-    typed = staged(reclassified(samples, known, items, models, names, trained), "typed")
+    typed = staged(reclassified(samples, known, items, models, names, trained).select("device_id", "sample_id", "item_no", "classified_type"), "typed")
     before = samples.select("device_id", "sample_id", F.col("classified_type").alias("_before"))
     retyped = typed.join(before, ["device_id", "sample_id"]).filter(~F.col("classified_type").eqNullSafe(F.col("_before"))).select("device_id", "sample_id", "item_no", "classified_type")
     new = typed.select("device_id", "sample_id", F.col("classified_type").alias("_new"), F.lit(True).alias("_typed"))
