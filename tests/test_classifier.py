@@ -77,3 +77,34 @@ def test_no_sample_carries_a_set_of_models_through_a_shuffle(spark, sf):
     moved = [block for block in plan.split("\n\n") if "Exchange\n" in block and "sample_id#" in block and "h_acc#" in block]
     assert moved
     assert not [block for block in moved if any(f"{c}#" in block.replace("[", " ").replace(",", " ").split("Arguments")[0] for c in (" c0", " c1", " c2"))], moved
+
+
+def broadcast_rows(spark, run):
+    """The rows of each broadcast that ``run`` makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    wait = spark._jsc.sc().listenerBus().waitUntilEmpty
+    wait()
+    listed = lambda seq: [seq.apply(k) for k in range(seq.size())]
+    before = {x.executionId() for x in listed(store.executionsList())}
+    run()
+    wait()
+    rows = []
+    for i in {x.executionId() for x in listed(store.executionsList())} - before:
+        values, it = {}, store.executionMetrics(i).iterator()
+        while it.hasNext():
+            pair = it.next()
+            values[pair._1()] = pair._2()
+        for node in listed(store.planGraph(i).allNodes().toSeq()):
+            if node.name() == "BroadcastExchange":
+                counts = [values.get(m.accumulatorId()) for m in listed(node.metrics().toSeq()) if m.name() == "number of output rows"]
+                rows += [int(n.replace(",", "")) for n in counts if n]
+    return rows
+
+
+def test_training_broadcasts_what_is_known_of_keys_and_never_the_values(spark):
+    n, keys = 20_000, 5
+    values = staged(spark.range(n).select((F.col("id") % keys).alias("k"), F.sqrt(F.col("id").cast("double")).alias("value")), "values")
+    made = []
+    rows = broadcast_rows(spark, lambda: made.extend(M.histograms(values, "k", trim=True, low=0.0).collect()))
+    assert sorted(r.k for r in made) == list(range(keys)) and all(sum(r.bins) == n / keys + len(r.bins) for r in made)
+    assert rows and max(rows) <= keys, rows
