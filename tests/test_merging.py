@@ -162,3 +162,19 @@ def test_an_update_stages_types_alone(spark, some, monkeypatch):
     with pytest.raises(Seen) as seen:
         update.segment_update(some, current, some.limit(1), None, (), None)
     assert seen.value.args[0] == ["classified_type", "device_id", "item_no", "sample_id"]
+
+
+def test_a_small_edit_broadcasts_no_samples(spark, sf):
+    from tests.test_classifier import broadcast_rows
+
+    s = samples(spark, sf).withColumn("previous_type", F.lag("confirmed_type").over(I.per_device()))
+    models = staged(classifier.train(s), "models")
+    names = classifier.known_names(models)
+    n = staged(I.number_items(s.filter("not deleted")), "numbered")
+    current = staged(n.select("device_id", "item_no", F.col("item_no").alias("into"), F.lit(True).alias("kind_visit")).distinct(), "current")
+    hit = "device_id = 3 and item_no = 1"
+    after = n.withColumn("confirmed_type", F.when(F.expr(hit) & (F.col("sample_id") % 2 == 0), "walking").otherwise(F.col("confirmed_type")))
+    made = []
+    rows = broadcast_rows(spark, lambda: made.extend(update.segment_update(after, current, after.filter(hit), models, names, s)[0].select("sample_id").collect()))
+    assert {r.sample_id for r in made} <= {r.sample_id for r in n.filter(hit).collect()}
+    assert rows and max(rows) < n.count(), (max(rows), n.count())

@@ -14,7 +14,8 @@ KEYS = merging.KEYS
 
 def reclassified(samples: DataFrame, current: DataFrame, items: DataFrame, models: DataFrame, names: tuple[str, ...], trained: DataFrame) -> DataFrame:
     """Samples of ``items`` (device_id, into) with the type that their item's chain gives those without a confirmed one; an unknown type is none."""
-    own = samples.join(current.select(*KEYS, "into").join(items, ["device_id", "into"], "left_semi"), KEYS)
+    wanted = staged(current.select(*KEYS, "into").join(items, ["device_id", "into"], "left_semi"), "wanted")
+    own = staged(samples.join(merging.handed(wanted, wanted.count()), KEYS), "own")
     chain = classifier.chained(own.drop("item_no").withColumnRenamed("into", "item_no"), models, names, trained)
     told = chain.select("device_id", "sample_id", F.when(F.col("name") != "unknown", F.col("name")).alias("_told"))
     out = own.join(told, ["device_id", "sample_id"], "left").withColumn("classified_type", F.when(F.col("confirmed_type").isNull(), F.col("_told")).otherwise(F.col("classified_type")))
@@ -34,8 +35,9 @@ def segment_update(samples: DataFrame, current: DataFrame, edited: DataFrame, mo
     known = current.select(*KEYS, "into", "kind_visit").unionByName(placed.filter("into is null").select(*KEYS, F.col("item_no").alias("into"), F.lit(None).cast("boolean").alias("kind_visit")))
     typed = staged(reclassified(samples, known, items, models, names, trained).select("device_id", "sample_id", "item_no", "classified_type"), "typed")
     before = samples.select("device_id", "sample_id", F.col("classified_type").alias("_before"))
-    retyped = typed.join(before, ["device_id", "sample_id"]).filter(~F.col("classified_type").eqNullSafe(F.col("_before"))).select("device_id", "sample_id", "item_no", "classified_type")
+    n = typed.count()
+    retyped = merging.handed(typed, n).join(before, ["device_id", "sample_id"]).filter(~F.col("classified_type").eqNullSafe(F.col("_before"))).select("device_id", "sample_id", "item_no", "classified_type")
     new = typed.select("device_id", "sample_id", F.col("classified_type").alias("_new"), F.lit(True).alias("_typed"))
-    now = samples.join(new, ["device_id", "sample_id"], "left").withColumn("classified_type", F.when(F.col("_typed"), F.col("_new")).otherwise(F.col("classified_type"))).drop("_new", "_typed")
+    now = samples.join(merging.handed(new, n), ["device_id", "sample_id"], "left").withColumn("classified_type", F.when(F.col("_typed"), F.col("_new")).otherwise(F.col("classified_type"))).drop("_new", "_typed")
     _, changed, history = merging.updated(now, current, edited, limits)
     return retyped, changed, history
